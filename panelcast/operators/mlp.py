@@ -242,7 +242,10 @@ def score_mlp(
     keyed = [*by, "_score_block"]
     blocked = examples.withColumn("_score_block", F.floor(F.col(order) / rows))
     wanted = blocked.select(*keyed).distinct()
+    # New names on the model side: both sides descend from the same examples.
     placed = models.select(*by, "width", "layers").join(wanted, by)
+    placed = placed.select("width", "layers", *[F.col(c).alias(f"_model_{c}") for c in keyed])
+    model_keys = [f"_model_{c}" for c in keyed]
     kept = [f for f in examples.schema.fields if f.name != "features"]
     schema = T.StructType([*kept, T.StructField("prediction", T.DoubleType())])
     names = [f.name for f in kept]
@@ -253,4 +256,4 @@ def score_mlp(
         layers = unpack(right["layers"].iloc[0], int(right["width"].iloc[0]))
         return left[names].assign(prediction=predict(layers, _matrix(left["features"])))
 
-    return blocked.groupBy(*keyed).cogroup(placed.groupBy(*keyed)).applyInPandas(score, schema)
+    return blocked.groupBy(*keyed).cogroup(placed.groupBy(*model_keys)).applyInPandas(score, schema)
