@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +10,6 @@ from pyspark.sql import functions as F
 from panelcast.functions.scalar import abs_error, to_count
 from panelcast.operators.blocks import with_history
 from panelcast.operators.contracts import (
-    ContractError,
     check_counts,
     check_feature_shape,
     check_no_missing,
@@ -275,23 +273,3 @@ def evaluate(
         truth.select(*keys, F.col(spec.target)), keys
     )
     return joined.withColumn("abs_error", abs_error(spec.target, "predicted_count")), models
-
-
-def sweep(
-    examples: DataFrame, by: Sequence[str], variants: dict[str, str], seeds: Sequence[int]
-) -> DataFrame:
-    """Copy examples into every (variant, seed) group; ``variants`` maps a name to its config.
-
-    Architectures compared under the same folds are just more groups of the same training job.
-    """
-    copies = F.array(
-        *[
-            F.struct(F.lit(v).alias("variant"), F.lit(c).alias("config"), F.lit(s).cast("long").alias("seed"))
-            for v, c in variants.items()
-            for s in seeds
-        ]
-    )
-    kept = [c for c in examples.columns if c not in ("variant", "config", "seed")]
-    if missing := set(by) - set(kept):
-        raise ContractError(f"examples lack {sorted(missing)}")
-    return examples.select(*kept, F.inline(copies))

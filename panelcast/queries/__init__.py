@@ -1,6 +1,6 @@
 """Every operator as a query over the star-schema tables, with its SQL check."""
 
-from panelcast.queries import history, prepare  # noqa: F401
+from panelcast.queries import evaluate, history, models, prepare, profile  # noqa: F401
 from panelcast.queries.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]
