@@ -1,8 +1,9 @@
 """Grouped neural networks: one model per (entity, fold, seed, config) group, trained by Spark tasks.
 
-The scale axis is the number of groups. One group's task holds at most ``row_budget`` examples: the
-solver visits epochs x steps x batch rows in shuffled order, so a longer series is represented by the
-rows a first pass over its shuffled order would reach, and the others could not be visited at all.
+The scale axis is the number of groups. A solver run visits epochs x steps x batch rows in shuffled
+order (``row_budget``). A group with more rows than that never finishes one pass, so its task receives
+exactly as many rows, drawn uniformly: the others could not be visited. Everything measured on all rows
+(training error, validation error, predictions) is computed by distributed scoring for such groups.
 """
 
 from __future__ import annotations
@@ -63,6 +64,11 @@ def predict(layers: Layers, x: np.ndarray) -> np.ndarray:
     return x[:, 0]
 
 
+def _count_errors(layers: Layers, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Absolute errors of the predictions as rounded counts."""
+    return np.abs(np.floor(np.maximum(predict(layers, x), 0.0) + 0.5) - y)
+
+
 def loss_gradients(
     layers: Layers, x: np.ndarray, y: np.ndarray, masks: Sequence[np.ndarray]
 ) -> tuple[float, Layers]:
@@ -98,7 +104,11 @@ def fit_network(
     config: MlpConfig,
     seed: int,
     validation: tuple[np.ndarray, np.ndarray] | None = None,
+    measure: bool = True,
+    after_epoch=None,
 ) -> tuple[Layers, list[dict]]:
+    """Train one network. ``measure`` records the error on all of ``x`` after every epoch;
+    ``after_epoch`` is called with the layers."""
     rng = np.random.default_rng(seed)
     layers = new_layers([x.shape[1], *config.hidden, 1], rng)
     caches = [(np.zeros_like(w), np.zeros_like(b)) for w, b in layers]
@@ -126,13 +136,14 @@ def fit_network(
             "epoch": epoch,
             "train_mae_dropout": mean_loss,
             "lr": rate,
-            "train_mae": float(np.mean(np.abs(predict(layers, x) - y))),
+            "train_mae": float(np.mean(np.abs(predict(layers, x) - y))) if measure else None,
             "val_mae": None,
         }
         if validation is not None:
-            counts = np.floor(np.maximum(predict(layers, validation[0]), 0.0) + 0.5)
-            record["val_mae"] = float(np.mean(np.abs(counts - validation[1])))
+            record["val_mae"] = float(np.mean(_count_errors(layers, *validation)))
         history.append(record)
+        if after_epoch:
+            after_epoch(layers)
         stale = 0 if mean_loss < best else stale + 1
         best = min(best, mean_loss)
         if stale >= config.patience:
@@ -161,23 +172,19 @@ def _matrix(features: pd.Series) -> np.ndarray:
 # --- Spark jobs -------------------------------------------------------------------------------------
 
 
-def solver_rows(examples: DataFrame, by: Sequence[str], configs: dict[str, MlpConfig], order: str) -> DataFrame:
-    """The training rows each group's solver can reach, and all validation rows of the group.
+def solver_rows(rows: DataFrame, by: Sequence[str], configs: dict[str, MlpConfig], order: str) -> DataFrame:
+    """The rows each group's solver can reach, plus one more where the group has more of them.
 
-    Rows are drawn by a hash of the group and position, so the draw does not depend on partitioning;
-    a group within its budget keeps every row. Spark applies the row limit per task before the shuffle.
+    ``_draw`` ranks the rows by a hash of group and position, so a draw does not depend on
+    partitioning. Spark applies the limit inside each task before rows are shuffled.
     """
     budget = F.element_at(
         F.create_map(*[F.lit(v) for name, c in configs.items() for v in (name, c.row_budget)]), F.col("config")
     )
     most = max(c.row_budget for c in configs.values())
-    draw = Window.partitionBy(*by, "role").orderBy(F.xxhash64(*by, order), order)
-    return (
-        examples.withColumn("_draw", F.row_number().over(draw))
-        .where(F.col("_draw") <= most)
-        .where(F.col("_draw") <= budget)
-        .drop("_draw")
-    )
+    draw = Window.partitionBy(*by).orderBy(F.xxhash64(*by, order), order)
+    ranked = rows.withColumn("_draw", F.row_number().over(draw))
+    return ranked.where(F.col("_draw") <= most + 1).where(F.col("_draw") <= budget + 1)
 
 
 def train_grouped_mlp(
@@ -186,22 +193,24 @@ def train_grouped_mlp(
     configs: dict[str, MlpConfig],
     order: str = "pos",
     target: str = "y",
+    snapshots: bool = False,
 ) -> DataFrame:
     """One row per group: its ``layers``, training ``history``, row count and input width.
 
-    ``by`` must contain ``config`` and ``seed`` (an integer column). ``role`` marks rows as ``train``
-    or ``validate``; validation rows only feed ``val_mae``. Rows are put in ``order`` before training,
-    so a group's result depends on its rows, config and seed alone. Use ``save_point`` on the result
-    when it is read more than once.
+    ``by`` must contain ``config`` and ``seed`` (an integer column). An optional ``role`` marks rows as
+    ``train`` or ``validate``; validation rows only feed ``val_mae``. Rows are put in ``order`` before
+    training, so a group's result depends on its rows, config and seed alone. A group above its row
+    budget has null errors in its history; ``snapshots`` keeps the layers of every epoch, from which
+    ``training_history`` measures them over all rows. Use ``save_point`` on a result read repeatedly.
     """
     by = list(by)
     if not {"config", "seed"} <= set(by):
         raise ValueError("group columns must include 'config' and 'seed'")
-    roles = examples if "role" in examples.columns else examples.withColumn("role", F.lit("train"))
-    rows = solver_rows(
-        roles.select(*by, order, "role", F.col(target).cast("double").alias("_y"), "features"), by, configs, order
-    )
-    types = {f.name: f.dataType for f in rows.schema.fields}
+    columns = [*by, order, F.col(target).cast("double").alias("_y"), "features"]
+    has_roles = "role" in examples.columns
+    train = examples.where(F.col("role") == "train") if has_roles else examples
+    train = solver_rows(train.select(*columns), by, configs, order)
+    types = {f.name: f.dataType for f in train.schema.fields}
     schema = T.StructType(
         [T.StructField(c, types[c]) for c in by]
         + [
@@ -209,43 +218,61 @@ def train_grouped_mlp(
             T.StructField("train_rows", T.LongType()),
             T.StructField("layers", T._parse_datatype_string(LAYERS_TYPE)),
             T.StructField("history", T._parse_datatype_string(HISTORY_TYPE)),
+            T.StructField("snapshots", T._parse_datatype_string(f"array<{LAYERS_TYPE}>")),
         ]
     )
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        key = pdf[by].iloc[:1].reset_index(drop=True)
-        train, held = pdf[pdf["role"] == "train"], pdf[pdf["role"] == "validate"]
-        if train.empty:
-            raise ValueError(f"no training rows for {key.to_dict('records')[0]}")
-        x, y = _matrix(train["features"]), train["_y"].to_numpy(np.float64)
-        validation = (_matrix(held["features"]), held["_y"].to_numpy(np.float64)) if len(held) else None
-        layers, history = fit_network(x, y, configs[key["config"][0]], int(key["seed"][0]), validation)
-        return key.assign(width=x.shape[1], train_rows=len(x), layers=[_pack(layers)], history=[history])
-
-    return rows.groupBy(*by).applyInPandas(fit, schema)
-
-
-def training_history(models: DataFrame, by: Sequence[str]) -> DataFrame:
-    return models.select(*by, F.inline("history"))
+    def reached(pdf: pd.DataFrame, budget: int) -> tuple[np.ndarray, np.ndarray, bool]:
+        whole = len(pdf) <= budget
+        pdf = pdf[pdf["_draw"] <= budget].sort_values(order, kind="stable")
+        return _matrix(pdf["features"]), pdf["_y"].to_numpy(np.float64), whole
+
+    def fit(key: tuple, pdf: pd.DataFrame, held: pd.DataFrame | None = None) -> pd.DataFrame:
+        group = dict(zip(by, key, strict=True))
+        if pdf.empty:
+            raise ValueError(f"no training rows for {group}")
+        config = configs[group["config"]]
+        x, y, whole = reached(pdf, config.row_budget)
+        validation = None
+        if held is not None and 0 < len(held) <= config.row_budget:
+            validation = reached(held.rename(columns=lambda c: c.removeprefix("_held_")), config.row_budget)[:2]
+        kept: list = []
+        layers, history = fit_network(
+            x, y, config, int(group["seed"]), validation, whole,
+            (lambda now: kept.append(_pack(now))) if snapshots else None,
+        )
+        return pd.DataFrame([group]).assign(
+            width=x.shape[1], train_rows=len(x), layers=[_pack(layers)], history=[history], snapshots=[kept]
+        )
+
+    if not has_roles:
+        return train.groupBy(*by).applyInPandas(lambda key, pdf: fit(key, pdf), schema)
+    held = solver_rows(examples.where(F.col("role") == "validate").select(*columns), by, configs, order)
+    held = held.select(*[F.col(c).alias(f"_held_{c}") for c in held.columns])
+    return train.groupBy(*by).cogroup(held.groupBy(*[f"_held_{c}" for c in by])).applyInPandas(
+        lambda key, a, b: fit(key, a, b), schema
+    )
 
 
-def score_mlp(
-    examples: DataFrame, models: DataFrame, by: Sequence[str], order: str = "pos", rows: int = SCORE_ROWS
-) -> DataFrame:
-    """Add ``prediction`` to every example whose group has a model; ``features`` is dropped.
+def _meet(examples: DataFrame, models: DataFrame, by: Sequence[str], order: str, rows: int, weights: str):
+    """Cogroup blocks of ``rows`` positions with the model of their group.
 
-    Examples are cut into blocks of ``rows`` positions and the model of a group is sent once to each of
-    its blocks, so weights never travel with single rows and a large group is scored by many tasks.
+    A model is sent once to every block of its group: weights never travel with single rows, and a
+    large group is spread over many tasks. ``examples`` are read twice, so save them beforehand.
     """
-    by = list(by)
     keyed = [*by, "_score_block"]
     blocked = examples.withColumn("_score_block", F.floor(F.col(order) / rows))
     wanted = blocked.select(*keyed).distinct()
     # New names on the model side: both sides descend from the same examples.
-    placed = models.select(*by, "width", "layers").join(wanted, by)
-    placed = placed.select("width", "layers", *[F.col(c).alias(f"_model_{c}") for c in keyed])
-    model_keys = [f"_model_{c}" for c in keyed]
+    placed = models.select(*by, "width", weights).join(wanted, list(by))
+    placed = placed.select("width", weights, *[F.col(c).alias(f"_model_{c}") for c in keyed])
+    return blocked.groupBy(*keyed).cogroup(placed.groupBy(*[f"_model_{c}" for c in keyed]))
+
+
+def score_mlp(
+    examples: DataFrame, models: DataFrame, by: Sequence[str], order: str = "pos", rows: int = SCORE_ROWS
+) -> DataFrame:
+    """Add ``prediction`` to every example whose group has a model; ``features`` is dropped."""
     kept = [f for f in examples.schema.fields if f.name != "features"]
     schema = T.StructType([*kept, T.StructField("prediction", T.DoubleType())])
     names = [f.name for f in kept]
@@ -256,4 +283,59 @@ def score_mlp(
         layers = unpack(right["layers"].iloc[0], int(right["width"].iloc[0]))
         return left[names].assign(prediction=predict(layers, _matrix(left["features"])))
 
-    return blocked.groupBy(*keyed).cogroup(placed.groupBy(*model_keys)).applyInPandas(score, schema)
+    return _meet(examples, models, by, order, rows, "layers").applyInPandas(score, schema)
+
+
+def epoch_errors(
+    examples: DataFrame,
+    models: DataFrame,
+    by: Sequence[str],
+    order: str = "pos",
+    target: str = "y",
+    rows: int = SCORE_ROWS,
+) -> DataFrame:
+    """(group, epoch, train_mae, val_mae) over all rows, from the snapshots of every epoch.
+
+    Each block of rows returns error sums only. Validation errors are those of rounded counts.
+    """
+    by = list(by)
+    if "role" not in examples.columns:
+        examples = examples.withColumn("role", F.lit("train"))
+    data = examples.select(*by, order, "role", F.col(target).cast("double").alias("_y"), "features")
+    schema = T.StructType(
+        [f for f in data.schema.fields if f.name in by]
+        + [T.StructField(n, T._parse_datatype_string(t)) for n, t in
+           (("role", "string"), ("epoch", "int"), ("total", "double"), ("rows", "long"))]
+    )
+    names = [f.name for f in schema.fields]
+
+    def measure(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({n: [] for n in names})
+        key, width = left[by].iloc[0].to_dict(), int(right["width"].iloc[0])
+        out = []
+        for role, part in left.groupby("role"):
+            x, y = _matrix(part["features"]), part["_y"].to_numpy(np.float64)
+            for epoch, packed in enumerate(right["snapshots"].iloc[0], 1):
+                layers = unpack(packed, width)
+                errors = _count_errors(layers, x, y) if role == "validate" else np.abs(predict(layers, x) - y)
+                out.append({**key, "role": role, "epoch": epoch, "total": errors.sum(), "rows": len(y)})
+        return pd.DataFrame(out, columns=names)
+
+    sums = _meet(data, models, by, order, rows, "snapshots").applyInPandas(measure, schema)
+    mean = lambda role: (
+        F.sum(F.when(F.col("role") == role, F.col("total"))) / F.sum(F.when(F.col("role") == role, F.col("rows")))
+    )
+    return sums.groupBy(*by, "epoch").agg(mean("train").alias("train_mae"), mean("validate").alias("val_mae"))
+
+
+def training_history(
+    models: DataFrame, by: Sequence[str], examples: DataFrame | None = None, order: str = "pos", target: str = "y"
+) -> DataFrame:
+    """One row per (group, epoch). With ``examples`` both errors are measured over all of them, which
+    needs models trained with ``snapshots``."""
+    recorded = models.select(*by, F.inline("history"))
+    if examples is None:
+        return recorded
+    measured = epoch_errors(examples, models, by, order, target)
+    return recorded.drop("train_mae", "val_mae").join(measured, [*by, "epoch"], "left")

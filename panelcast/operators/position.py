@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelcast.operators.storage import save_point
 from panelcast.spec import HORIZON_ROWS, LEAD_ROWS, STEP_SECONDS
@@ -15,10 +16,20 @@ SEQ = "seq"
 LENGTH = "n"
 
 
-def time_slot(time: str, step: str, steps: int = SLOT_STEPS) -> Column:
+def seconds_of(df: DataFrame, time: str) -> Column:
+    """Seconds on the column's own clock, increasing with it whatever the session time zone is."""
+    kind, t = df.schema[time].dataType, F.col(time)
+    if isinstance(kind, T.TimestampType):
+        return F.unix_seconds(t)
+    days = F.unix_date(F.to_date(t)).cast("long") * 86400
+    if isinstance(kind, T.DateType):
+        return days
+    return days + F.hour(t) * 3600 + F.minute(t) * 60 + F.floor(F.second(t))
+
+
+def time_slot(df: DataFrame, time: str, step: str, steps: int = SLOT_STEPS) -> Column:
     """Coarse time bucket: with unique times it holds at most ``steps`` rows of a series."""
-    seconds = F.unix_seconds(F.col(time).cast("timestamp"))
-    return F.floor(seconds / (STEP_SECONDS[step] * steps))
+    return F.floor(seconds_of(df, time) / (STEP_SECONDS[step] * steps))
 
 
 def row_position(df: DataFrame, by: Sequence[str], time: str, step: str, steps: int = SLOT_STEPS) -> DataFrame:
@@ -27,7 +38,7 @@ def row_position(df: DataFrame, by: Sequence[str], time: str, step: str, steps:
     Counts per (series, time slot) give each slot its first position; rows are numbered inside their
     slot. Neither step puts a whole series into one task.
     """
-    slotted = df.withColumn("_slot", time_slot(time, step, steps))
+    slotted = df.withColumn("_slot", time_slot(df, time, step, steps))
     counts = slotted.groupBy(*by, "_slot").agg(F.count(F.lit(1)).alias("_rows"))
     series = Window.partitionBy(*by)
     earlier = series.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)

@@ -15,15 +15,15 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per group with the linearly interpolated quantiles named in ``wanted``; nulls are skipped.
 
-    Equal values are counted before anything is ranked. A bounded sketch only chooses where each
-    group's value range is cut; positions come from exact counts, so the sketch cannot change a result.
-    A group is ranked in ``cuts`` pieces, not in one task. All numbers travel as doubles.
+    Equal values are counted before anything is ranked. A bounded sketch of the distinct values only
+    chooses where a group's range is cut; positions come from exact counts, so the sketch cannot change
+    a result. A group is ranked in ``cuts`` pieces, not in one task. All numbers travel as doubles.
     """
     by = list(by)
     values = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     counts = values.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    edges = values.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"),
+    edges = counts.groupBy(*by).agg(
+        F.sum("_c").alias("_n"),
         F.percentile_approx("_v", [i / cuts for i in range(1, cuts)], 4 * cuts).alias("_edges"),
     )
     placed = counts.join(edges, by).select(

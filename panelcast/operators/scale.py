@@ -23,16 +23,28 @@ def _moments(column: str, inside: Column | None) -> list[Column]:
     ]
 
 
-def fit_zscore(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), weight_tail: int = 0) -> DataFrame:
-    """``{c}_mean`` and ``{c}_std`` (population), skipping nulls: one row, or one per group of ``by``.
+def fit_scaling(
+    df: DataFrame,
+    columns: Sequence[str],
+    minmax_columns: Sequence[str] = (),
+    by: Sequence[str] = (),
+    weight_tail: int = 0,
+) -> DataFrame:
+    """All scaling parameters in one pass: one row, or one per group of ``by``.
 
-    With ``weight_tail`` the last rows of each series count twice. Both parts are aggregated in one
-    pass and merged from their counts, means and variances.
+    ``{c}_mean`` and ``{c}_std`` (population) of ``columns``, ``{c}_low`` and ``{c}_high`` of
+    ``minmax_columns``; nulls are skipped. With ``weight_tail`` the last rows of each series count
+    twice in the moments, merged from the counts, means and variances of both parts.
     """
     tail = F.col(SEQ) >= F.col(LENGTH) - weight_tail if weight_tail else None
     parts = [m for c in columns for m in _moments(c, None)]
     if tail is not None:
         parts += [m for c in columns for m in _moments(c, tail)]
+    bounds = []
+    for c in minmax_columns:
+        x = F.col(c).cast("double")
+        parts += [F.min(x).alias(f"{c}_low"), F.max(x).alias(f"{c}_high")]
+        bounds += [f"{c}_low", f"{c}_high"]
     fitted = df.groupBy(*by).agg(*parts)
     out = []
     for c in columns:
@@ -46,12 +58,15 @@ def fit_zscore(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), we
         else:
             mean, spread = m, v
         out += [mean.alias(f"{c}_mean"), F.sqrt(spread).alias(f"{c}_std")]
-    return fitted.select(*by, *out)
+    return fitted.select(*by, *out, *bounds)
+
+
+def fit_zscore(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), weight_tail: int = 0) -> DataFrame:
+    return fit_scaling(df, columns, by=by, weight_tail=weight_tail)
 
 
 def fit_minmax(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
-    x = F.col(column).cast("double")
-    return df.groupBy(*by).agg(F.min(x).alias(f"{column}_low"), F.max(x).alias(f"{column}_high"))
+    return fit_scaling(df, [], [column], by)
 
 
 def apply_params(

@@ -20,7 +20,7 @@ from panelcast.operators.history import (
 )
 from panelcast.operators.mlp import score_mlp, train_grouped_mlp
 from panelcast.operators.position import expanding_folds
-from panelcast.operators.scale import apply_params, fit_minmax, fit_zscore
+from panelcast.operators.scale import apply_params, fit_scaling
 from panelcast.operators.storage import save_point
 from panelcast.spec import HORIZON_ROWS, MlpConfig, PanelSpec
 
@@ -34,10 +34,9 @@ def fold_panel(panel: DataFrame, spec: PanelSpec, folds: int, horizon: int = HOR
     """
     by = [spec.entity, "fold"]
     spread = expanding_folds(panel, folds, horizon).withColumn(SCALED_WEEK, F.col(spec.week))
-    filled = interpolate_linear(spread, spec.entity, spec.signals, by=["fold", "role"])
-    train = filled.where("role = 'train'")
-    scaled = apply_params(filled, fit_zscore(train, spec.signals, by), columns=spec.signals, by=by)
-    return apply_params(scaled, fit_minmax(train, SCALED_WEEK, by), minmax_columns=[SCALED_WEEK], by=by)
+    filled = save_point(interpolate_linear(spread, spec.entity, spec.signals, by=["fold", "role"]))
+    params = fit_scaling(filled.where("role = 'train'"), spec.signals, [SCALED_WEEK], by)
+    return apply_params(filled, params, spec.signals, [SCALED_WEEK], by)
 
 
 def fold_examples(

@@ -33,7 +33,7 @@ from panelcast.operators.history import (
 from panelcast.operators.mlp import score_mlp, train_grouped_mlp
 from panelcast.operators.position import LENGTH, SEQ, concat_fold, holdout_split, row_position
 from panelcast.operators.relational import attach_predictions, drop_columns, join_one_to_one
-from panelcast.operators.scale import apply_params, fit_minmax, fit_zscore
+from panelcast.operators.scale import apply_params, fit_scaling
 from panelcast.operators.storage import save_point
 from panelcast.sources.csv import write_submission
 from panelcast.spec import HISTORY_ROWS, HORIZON_ROWS, LEAD_ROWS, PanelSpec, RunSettings
@@ -73,11 +73,9 @@ def scaled_split(train: DataFrame, split: DataFrame, spec: PanelSpec, settings:
     by = [] if settings.scale_entity else [spec.entity]
     source = train.where(F.col(spec.entity) == settings.scale_entity) if settings.scale_entity else train
     source = source.withColumn(SCALED_WEEK, F.col(spec.week))
-    params = fit_zscore(source, spec.signals, by, settings.scale_tail)
-    weeks = fit_minmax(source, SCALED_WEEK, by)
+    params = fit_scaling(source, spec.signals, [SCALED_WEEK], by, settings.scale_tail)
     ready = split.withColumn(SCALED_WEEK, F.col(spec.week))
-    ready = apply_params(ready, params, columns=spec.signals, by=by)
-    return apply_params(ready, weeks, minmax_columns=[SCALED_WEEK], by=by)
+    return apply_params(ready, params, spec.signals, [SCALED_WEEK], by)
 
 
 def lead_in(train: DataFrame, test: DataFrame, spec: PanelSpec, settings: RunSettings) -> DataFrame:

@@ -58,10 +58,18 @@ def history_rows(spark, d):
     """Per-epoch metrics of every fold and entity, with the validation error of the fold."""
     folded = save_point(fold_panel(flag_week(spark, d), FLAG_SPEC, 2))
     examples = fold_examples(folded, FLAG_SPEC, ["multiscale"])
-    models, _ = run_grid(examples, FLAG_SPEC, {"quick": QUICK}, [42])
+    models, _ = run_grid(save_point(examples), FLAG_SPEC, {"quick": QUICK}, [42])
     return training_history(models, ["entity", "fold"])
 
 
+@query("training_history_all_rows")
+def history_all_rows(spark, d):
+    """The same errors from the snapshots of every epoch, measured by distributed scoring."""
+    examples = save_point(_examples(spark, d))
+    models = save_point(train_grouped_mlp(examples, GROUP, {"quick": QUICK}, snapshots=True))
+    return training_history(models, GROUP, examples)
+
+
 def _weight(i: int) -> float:
     return round(math.sin(i + 1), 6)
 

@@ -1,7 +1,7 @@
 """Panels built from the star-schema tables, as Spark plans and as SQL.
 
-Weekly and hourly panels are aggregated from the raw table once and saved before rows are numbered, so
-no plan reads the raw table twice. Signals are logarithms of averages.
+Panels are aggregated from the raw table once and saved before rows are numbered or filled, so no plan
+reads the raw table twice. Signals are logarithms of averages.
 """
 
 from __future__ import annotations
@@ -69,7 +69,7 @@ def region_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
     located = customers.join(nations.join(regions, F.col("n_regionkey") == F.col("r_regionkey")),
                              F.col("c_nationkey") == F.col("n_nationkey"))
-    daily = (
+    daily = save_point(
         orders.select("o_custkey", "o_totalprice", F.to_date("o_orderdate").alias("time"))
         .join(located.select("c_custkey", "c_acctbal", F.col("r_name").alias("entity")),
               F.col("o_custkey") == F.col("c_custkey"))
@@ -80,9 +80,7 @@ def region_day(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.log(F.avg("c_acctbal") + 1001.0).alias("balance"),
         )
     )
-    span = orders.agg(
-        F.struct(F.to_date(F.min("o_orderdate")).alias("lo"), F.to_date(F.max("o_orderdate")).alias("hi")).alias("s")
-    ).scalar()
+    span = daily.agg(F.struct(F.min("time").alias("lo"), F.max("time").alias("hi")).alias("s")).scalar()
     days = F.sequence(span["lo"], span["hi"])
     calendar = regions.select(
         F.col("r_name").alias("entity"),
@@ -123,7 +121,7 @@ REGION_SQL = """WITH daily AS (
          LN(AVG(o_totalprice)) AS price, LN(AVG(c_acctbal) + 1001.0) AS balance
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
   JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2),
-span AS (SELECT MIN(CAST(o_orderdate AS DATE)) AS lo, MAX(CAST(o_orderdate AS DATE)) AS hi FROM orders),
+span AS (SELECT MIN(time) AS lo, MAX(time) AS hi FROM daily),
 calendar AS (
   SELECT r_name AS entity, CAST(UNNEST(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS time FROM region, span),
 region_day AS (

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from conftest import SIGNALS, make_panel, to_spark
 from panelcast.operators.contracts import ContractError, check_output_schema
-from panelcast.operators.mlp import fit_network, loss_gradients, new_layers, predict, score_mlp, train_grouped_mlp
+from panelcast.operators.mlp import fit_network, loss_gradients, new_layers, predict, score_mlp, train_grouped_mlp, training_history
 from panelcast.plans.forecast import city_features, evaluate, forecast, prepare
 from panelcast.sources.csv import label_schema, read_back
 from panelcast.spec import (
+    CLIMATE_PANEL,
+    CLIMATE_SIGNALS,
     RAW_LAG_ROWS_IQ,
     RAW_LAG_ROWS_SJ,
     EntityPlan,
@@ -204,5 +206,42 @@ def test_long_series_train_on_the_rows_the_solver_reaches(spark):
         F.array(F.lit(1.0), F.col("id") / 2000).cast("array<float>").alias("features"),
     )
     tiny = MlpConfig(hidden=(2, 2), dropout=(0.0, 0.0), epochs=2, steps=5)
-    model = train_grouped_mlp(df, ["city", "seed", "config"], {"t": tiny}).first()
-    assert model["train_rows"] == tiny.row_budget == 160
+    by = ["city", "seed", "config"]
+    models = train_grouped_mlp(df, by, {"t": tiny}, snapshots=True).cache()
+    assert models.first()["train_rows"] == tiny.row_budget == 160
+    assert all(h["train_mae"] is None for h in models.first()["history"])
+    measured = training_history(models, by, df).orderBy("epoch").toPandas()
+    scored = score_mlp(df, models, by).select(F.avg(F.abs(F.col("y") - F.col("prediction")))).first()[0]
+    assert measured["train_mae"].iloc[-1] == pytest.approx(scored)
+
+
+def test_measured_errors_equal_recorded_ones(spark):
+    rng = np.random.default_rng(4)
+    rows = [
+        ("a", 1, "m", "train" if p < 70 else "validate", p, float(p % 5), [float(v) for v in rng.normal(size=3)])
+        for p in range(90)
+    ]
+    df = spark.createDataFrame(
+        rows, "city string, seed long, config string, role string, pos long, y double, features array<float>"
+    )
+    by = ["city", "seed", "config"]
+    models = train_grouped_mlp(df, by, {"m": SMALL}, snapshots=True).cache()
+    recorded = training_history(models, by).orderBy("epoch").toPandas()
+    measured = training_history(models, by, df).orderBy("epoch").toPandas()
+    for c in ("train_mae", "val_mae", "lr", "train_mae_dropout"):
+        np.testing.assert_allclose(recorded[c], measured[c], rtol=1e-9)
+
+
+def test_published_vector_widths(spark):
+    pdf = make_panel({"sj": 150, "iq": 140}, signals=CLIMATE_SIGNALS)
+    cut = pdf.groupby("city").cumcount() >= pdf.groupby("city")["city"].transform("size") - 30
+    settings = historical_settings()
+    spec = CLIMATE_PANEL
+    train = prepare(to_spark(spark, pdf[~cut]), spec, settings)
+    test = prepare(to_spark(spark, pdf[cut].drop(columns=["total_cases"])), spec, settings)
+    sizes = city_features(train, test, spec, settings).groupBy("city", "split").agg(
+        F.max(F.size("features")), F.count("*")
+    ).collect()
+    assert {tuple(r) for r in sizes} == {
+        ("sj", "train", 180, 120), ("sj", "test", 180, 30), ("iq", "train", 380, 110), ("iq", "test", 380, 30)
+    }
