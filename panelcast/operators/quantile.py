@@ -3,60 +3,69 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CUTS = 64
+RESOLUTION = 65536
+
+
+def value_piece(value: Column, resolution: int = RESOLUTION) -> Column:
+    """Monotone piece number of a value: neighbours within about 1/resolution of it share a piece."""
+    size = F.rint(F.log(F.abs(value)) * resolution) + 1e9
+    return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0.0))
 
 
 def exact_quantiles(
-    df: DataFrame, by: Sequence[str], value: str, wanted: dict[str, float], cuts: int = CUTS
+    df: DataFrame, by: Sequence[str], value: str, wanted: dict[str, float], resolution: int = RESOLUTION
 ) -> DataFrame:
-    """One row per group with the linearly interpolated quantiles named in ``wanted``; nulls are skipped.
+    """One row per group with the linearly interpolated quantiles named in ``wanted``.
 
-    Equal values are counted before anything is ranked. A bounded sketch of the distinct values only
-    chooses where a group's range is cut; positions come from exact counts, so the sketch cannot change
-    a result. A group is ranked in ``cuts`` pieces, not in one task. All numbers travel as doubles.
+    Nulls and NaN are skipped; all numbers travel as doubles. The first pass counts rows per piece of
+    the value range, combined on the map side, and finds the pieces that hold a wanted rank. The second
+    pass looks at those pieces only, counts equal values and ranks them. A group is never sorted as a
+    whole: the rows of a large group meet in one task only as far as they agree to five digits.
     """
     by = list(by)
-    values = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    counts = values.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    edges = counts.groupBy(*by).agg(
-        F.sum("_c").alias("_n"),
-        F.percentile_approx("_v", [i / cuts for i in range(1, cuts)], 4 * cuts).alias("_edges"),
-    )
-    placed = counts.join(edges, by).select(
-        *by, "_v", "_c", "_n", F.size(F.filter("_edges", lambda e: e < F.col("_v"))).alias("_cut")
-    )
-    # At most ``cuts`` rows per group.
-    earlier = Window.partitionBy(*by).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        placed.groupBy(*by, "_cut")
-        .agg(F.sum("_c").alias("_w"))
-        .select(*by, "_cut", F.coalesce(F.sum("_w").over(earlier), F.lit(0)).alias("_start"))
+    v = F.col(value).cast("double")
+    values = df.select(*by, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    values = values.withColumn("_piece", value_piece(F.col("_v"), resolution))
+
+    ranks = {}
+    for name, q in wanted.items():
+        h = (F.col("_n") - 1) * F.lit(float(q))
+        ranks[name] = (F.floor(h), F.ceil(h), h - F.floor(h))
+
+    # One row per piece of a group; the number of pieces is bounded by the range of the doubles.
+    group = Window.partitionBy(*by)
+    earlier = group.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = (
+        values.groupBy(*by, "_piece")
+        .agg(F.count(F.lit(1)).alias("_w"))
+        .withColumn("_start", F.coalesce(F.sum("_w").over(earlier), F.lit(0)))
+        .withColumn("_n", F.sum("_w").over(group))
     )
-    running = Window.partitionBy(*by, "_cut").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = placed.join(starts, [*by, "_cut"]).select(
-        *by, "_v", "_c", "_n", (F.col("_start") + F.sum("_c").over(running)).alias("_end")
+    inside = lambda rank: (F.col("_start") <= rank) & (rank < F.col("_start") + F.col("_w"))
+    holds = reduce(lambda a, b: a | b, [inside(r) for lo, hi, _ in ranks.values() for r in (lo, hi)])
+    needed = pieces.where(holds).select(*by, "_piece", "_start", "_n")
+
+    running = Window.partitionBy(*by, "_piece").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = (
+        values.join(needed, [*by, "_piece"])
+        .groupBy(*by, "_piece", "_v", "_start", "_n")
+        .agg(F.count(F.lit(1)).alias("_c"))
+        .withColumn("_end", F.col("_start") + F.sum("_c").over(running))
     )
 
     def at(rank):
         covers = (F.col("_end") - F.col("_c") <= rank) & (rank < F.col("_end"))
         return F.max(F.when(covers, F.col("_v")))
 
-    picks = []
-    for name, q in wanted.items():
-        h = (F.col("_n") - 1) * F.lit(float(q))
-        picks += [
-            at(F.floor(h)).alias(f"_{name}_lo"),
-            at(F.ceil(h)).alias(f"_{name}_hi"),
-            F.max(h - F.floor(h)).alias(f"_{name}_f"),
-        ]
-    return ranked.groupBy(*by).agg(*picks).select(
-        *by,
-        *[
-            (F.col(f"_{name}_lo") + (F.col(f"_{name}_hi") - F.col(f"_{name}_lo")) * F.col(f"_{name}_f")).alias(name)
-            for name in wanted
-        ],
-    )
+    picks = [
+        p
+        for name, (lo, hi, share) in ranks.items()
+        for p in (at(lo).alias(f"_{name}_lo"), at(hi).alias(f"_{name}_hi"), F.max(share).alias(f"_{name}_f"))
+    ]
+    between = lambda n: F.col(f"_{n}_lo") + (F.col(f"_{n}_hi") - F.col(f"_{n}_lo")) * F.col(f"_{n}_f")
+    return ranked.groupBy(*by).agg(*picks).select(*by, *[between(n).alias(n) for n in wanted])

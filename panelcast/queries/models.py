@@ -118,7 +118,7 @@ def score(spark, d):
         ).alias("layers"),
     )
     rows = panel.select("entity", "time", "seq", F.array(*SIGNALS).cast("array<float>").alias("features"))
-    return rounded(score_mlp(rows, models, ["entity"], order="seq", rows=128), "entity", "time", prediction="prediction")
+    return rounded(score_mlp(rows, models, ["entity"], order="seq"), "entity", "time", prediction="prediction")
 
 
 @query("predict_entity")

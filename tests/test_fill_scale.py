@@ -77,16 +77,17 @@ def test_params_per_entity(spark):
     assert collected(out) == {"a": [-1, 1], "b": [-1, 1]}
 
 
-@pytest.mark.parametrize("cuts", [2, 64])
-def test_quantiles_match_numpy(spark, cuts):
+@pytest.mark.parametrize("resolution", [1, 4, 65536])
+def test_quantiles_match_numpy(spark, resolution):
     rng = np.random.default_rng(2)
     rows = [("ties", float(v)) for v in rng.integers(0, 4, 500)]
     rows += [("tail", float(v)) for v in rng.lognormal(0, 3, 700)]
+    rows += [("signs", float(v)) for v in rng.normal(0, 1e-3, 300)] + [("signs", 0.0), ("signs", -0.0)]
     rows += [("one", 5.0), ("two", 1.0), ("two", 2.0), ("none", None)]
     df = spark.createDataFrame(rows, "g string, v double").repartition(5)
     wanted = {"q0": 0.0, "q25": 0.25, "q50": 0.5, "q90": 0.9, "q1": 1.0}
-    got = {r["g"]: r for r in exact_quantiles(df, ["g"], "v", wanted, cuts).collect()}
-    assert set(got) == {"ties", "tail", "one", "two"}
+    got = {r["g"]: r for r in exact_quantiles(df, ["g"], "v", wanted, resolution).collect()}
+    assert set(got) == {"ties", "tail", "signs", "one", "two"}
     for g in got:
         values = [v for k, v in rows if k == g]
         for name, q in wanted.items():
