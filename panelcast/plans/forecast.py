@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +26,6 @@ from panelcast.operators.history import (
     lead_in_none,
     lead_in_previous,
     multiscale_features,
-    multiscale_names,
     raw_lag_features,
     raw_plus_summaries,
 )
@@ -36,7 +35,7 @@ from panelcast.operators.relational import attach_predictions, drop_columns, joi
 from panelcast.operators.scale import apply_params, fit_scaling
 from panelcast.operators.storage import save_point
 from panelcast.sources.csv import write_submission
-from panelcast.spec import HISTORY_ROWS, HORIZON_ROWS, LEAD_ROWS, PanelSpec, RunSettings
+from panelcast.spec import HISTORY_ROWS, HORIZON_ROWS, LEAD_ROWS, EntityPlan, PanelSpec, RunSettings
 
 SPLIT = "split"
 MODEL = ["config", "seed"]
@@ -102,17 +101,37 @@ def lead_in(train: DataFrame, test: DataFrame, spec: PanelSpec, settings: RunSet
 
 
 def _entity_setting(spec: PanelSpec, settings: RunSettings, attribute: str) -> Column:
+    """A plan attribute per row: listed entities by name, the default for all others."""
+    default = F.lit(getattr(settings.default, attribute)) if settings.default else F.lit(None)
+    if not settings.entities:
+        return default
     pairs = [F.lit(v) for e, plan in settings.entities.items() for v in (e, getattr(plan, attribute))]
-    return F.element_at(F.create_map(*pairs), F.col(spec.entity))
+    return F.coalesce(F.element_at(F.create_map(*pairs), F.col(spec.entity)), default)
 
 
-def representation_width(spec: PanelSpec, settings: RunSettings, representation: str, entity: str) -> int:
-    summaries, raw = len(multiscale_names(spec.signals)), sum(settings.raw_lags.get(entity, {}).values())
-    return {"multiscale": summaries, "raw_lags": raw, "both": raw + summaries}[representation]
+def modelled(spec: PanelSpec, settings: RunSettings) -> Column:
+    return F.lit(True) if settings.default else F.col(spec.entity).isin(list(settings.entities))
+
+
+def representation_groups(spec: PanelSpec, settings: RunSettings) -> list[tuple[EntityPlan, Column]]:
+    """Distinct representations with the rows they apply to."""
+    groups: list[tuple[EntityPlan, list]] = []
+    for entity, plan in settings.entities.items():
+        for known, members in groups:
+            if (known.representation, known.lags) == (plan.representation, plan.lags):
+                members.append(entity)
+                break
+        else:
+            groups.append((plan, [entity]))
+    out = [(plan, F.col(spec.entity).isin(members)) for plan, members in groups]
+    if settings.default:
+        listed = list(settings.entities)
+        out.append((settings.default, ~F.col(spec.entity).isin(listed) if listed else F.lit(True)))
+    return out
 
 
 def build_examples(
-    context: DataFrame, spec: PanelSpec, settings: RunSettings, representation: str, lags: dict[str, int] | None
+    context: DataFrame, spec: PanelSpec, settings: RunSettings, plan: EntityPlan
 ) -> DataFrame:
     """(entity, split, pos, y, config, seed, features) of every row that ends a full history."""
     by = [spec.entity, SPLIT]
@@ -130,7 +149,8 @@ def build_examples(
         *spec.signals,
     )
     keep = [spec.entity, SPLIT, POS, "y", *MODEL]
-    lengths = {SCALED_WEEK if c == spec.week else c: n for c, n in (lags or {}).items()}
+    lengths = {SCALED_WEEK if c == spec.week else c: n for c, n in plan.lags.items()}
+    representation = plan.representation
     if representation == "multiscale":
         return multiscale_features(ready, by, spec.signals, spec.week, keep=keep)
     if representation == "raw_lags":
@@ -141,27 +161,19 @@ def build_examples(
 
 
 def city_features(train: DataFrame, test: DataFrame, spec: PanelSpec, settings: RunSettings) -> DataFrame:
-    """Examples of both splits for all listed entities.
+    """Examples of both splits for all modelled entities.
 
-    Entities sharing a representation (and history lengths) are built by the same plan; the number of
-    plans is the number of distinct representations, not of entities.
+    Entities sharing a representation are built by the same plan: the number of plans is the number of
+    distinct representations, not of entities.
     """
     context = lead_in(
         scaled_split(train, train, spec, settings), scaled_split(train, test, spec, settings), spec, settings
     )
-    groups: dict[tuple, list] = {}
-    for entity, plan in settings.entities.items():
-        lags = settings.raw_lags.get(entity, {}) if plan.representation != "multiscale" else {}
-        groups.setdefault((plan.representation, tuple(lags.items())), []).append(entity)
-    parts = []
-    for (representation, lags), entities in groups.items():
-        rows = context.where(F.col(spec.entity).isin(entities))
-        examples = save_point(build_examples(rows, spec, settings, representation, dict(lags)))
-        check_feature_shape(examples, representation_width(spec, settings, representation, entities[0]))
-        parts.append(examples)
-    stacked = parts[0]
-    for part in parts[1:]:
-        stacked = stacked.unionByName(part)
+    stacked = None
+    for plan, applies in representation_groups(spec, settings):
+        examples = save_point(build_examples(context.where(applies), spec, settings, plan))
+        check_feature_shape(examples, plan.width(spec))
+        stacked = examples if stacked is None else stacked.unionByName(examples)
     return stacked
 
 
@@ -178,10 +190,8 @@ def predict_entities(
 
 
 def count_column(spec: PanelSpec, settings: RunSettings, prediction: str = "prediction") -> Column:
-    nearest = [e for e, plan in settings.entities.items() if plan.rounding == "nearest"]
-    return F.when(F.col(spec.entity).isin(nearest), to_count(prediction, "nearest")).otherwise(
-        to_count(prediction, "truncate")
-    )
+    nearest = _entity_setting(spec, settings, "rounding") == "nearest"
+    return F.when(nearest, to_count(prediction, "nearest")).otherwise(to_count(prediction, "truncate"))
 
 
 def attach_test(scored: DataFrame, test: DataFrame, spec: PanelSpec, settings: RunSettings) -> DataFrame:
@@ -250,8 +260,10 @@ def evaluate(
     proportional part of the other series). Returns (scored hold-out rows, models).
     """
     keys = spec.join_keys
-    if set(settings.entities) != {reference}:
-        raise ValueError("evaluate() models one reference entity; restrict settings.entities to it")
+    plan = settings.entities.get(reference, settings.default)
+    if plan is None:
+        raise ValueError(f"no plan for {reference!r}")
+    settings = replace(settings, entities={reference: plan}, default=None)
     raw = row_position(join_one_to_one(features, labels, keys), [spec.entity], spec.time, spec.step)
     fold_rows = concat_fold(raw, spec.entity, reference, horizon).drop(SEQ, LENGTH)
     held = holdout_split(raw.where(F.col(spec.entity) == reference), horizon)[1].drop(SEQ, LENGTH)

@@ -426,7 +426,7 @@ def raw_plus_summaries(spark, d):
 
 
 FLAG_SETTINGS = RunSettings(
-    entities={e: EntityPlan("multiscale", "m", "nearest") for e in ("N", "A", "R")},
+    default=EntityPlan("multiscale", "m", "nearest"),
     configs={"m": MlpConfig(hidden=(16, 8), dropout=(0.1, 0.1), epochs=2, steps=20)},
     scale_entity="N",
     scale_tail=53,

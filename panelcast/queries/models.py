@@ -8,6 +8,7 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelcast.operators import trees
 from panelcast.operators.evaluate import mae
@@ -20,14 +21,17 @@ from panelcast.operators.history import (
     tree_feature_names,
 )
 from panelcast.operators.mlp import score_mlp, train_grouped_mlp, training_history
-from panelcast.operators.storage import save_point
+from panelcast.operators.storage import save_point, scratch_path
 from panelcast.plans.experiments import fold_examples, fold_panel, run_grid, summarise_grid
-from panelcast.plans.forecast import SPLIT, city_features, count_column, evaluate, predict_entities
+from panelcast.plans.forecast import SPLIT, city_features, count_column, evaluate, forecast, predict_entities
 from panelcast.queries.history import FLAG_LAGS, FLAG_SETTINGS, tree_panel
 from panelcast.queries.panels import FLAG_SPEC, FLAG_SQL, SIGNALS, SUPPLIER_SQL, flag_week, supplier_week, weekly_raw
 from panelcast.queries.prepare import SELU_SQL, split_at
 from panelcast.queries.registry import query, rounded, sql6
-from panelcast.spec import EntityPlan, MlpConfig
+from panelcast.sources import csv as io
+from panelcast.spec import EntityPlan, MlpConfig, RunSettings
+
+SUPPLIER_FILE = T.StructType([T.StructField(c, T.LongType()) for c in ("entity", "year", "week", "target")])
 
 GROUP = ["entity", "config", "seed"]
 QUICK = MlpConfig(hidden=(16, 8), dropout=(0.1, 0.1), epochs=3, steps=20)
@@ -138,14 +142,35 @@ def predict_entity(spark, d):
 @query("validate_holdout")
 def validate_holdout(spark, d):
     panel = save_point(weekly_raw(spark, d))
-    settings = dataclasses.replace(
-        FLAG_SETTINGS, entities={"N": EntityPlan("multiscale", "m", "nearest")}, fill_scope="frame"
-    )
+    settings = dataclasses.replace(FLAG_SETTINGS, fill_scope="frame")
     keys = list(FLAG_SPEC.keys)
     scored, _ = evaluate(panel.drop("target"), panel.select(*keys, "target"), FLAG_SPEC, settings, "N")
     return scored.select(*keys, "target", "predicted_count", "abs_error")
 
 
+@query(
+    "forecast",
+    f"{SUPPLIER_SQL} SELECT entity, year, week, true AS predicted FROM supplier_week WHERE seq >= n - 52",
+)
+def forecast_all(spark, d):
+    """One model per supplier, trained on all but the last 52 weeks, which are predicted.
+
+    Checked: every template row has exactly one prediction and it is not negative.
+    """
+    panel = save_point(supplier_week(spark, d))
+    train, test = split_at(panel)
+    keys = list(FLAG_SPEC.keys)
+    path = scratch_path(spark, "template")
+    io.write_csv(test.orderBy("time", "entity").select(*keys, "target"), path)
+    template = io.read_template(spark, path, SUPPLIER_FILE)
+    drop = ("seq", "n")
+    settings = RunSettings(configs={"quick": QUICK}, default=EntityPlan("multiscale", "quick", "nearest"))
+    result = forecast(
+        train.drop("target", *drop), train.select(*keys, "target"), test.drop("target", *drop), template, FLAG_SPEC, settings
+    )
+    return result.submission.select(*keys, (F.col("target") >= 0).alias("predicted"))
+
+
 @query("architecture_sweep")
 def architecture_sweep(spark, d):
     folded = save_point(fold_panel(flag_week(spark, d), FLAG_SPEC, 2))

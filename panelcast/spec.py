@@ -55,6 +55,13 @@ class EntityPlan:
     config: str
     rounding: str
     seed: int = 42
+    lags: dict[str, int] = field(default_factory=dict)
+
+    def width(self, spec: PanelSpec) -> int:
+        """Inputs of the network."""
+        per_signal = 1 + len(MEAN_WINDOWS) + len(STD_WINDOWS) + 2
+        summaries, raw = per_signal * len(spec.signals) + 4, sum(self.lags.values())
+        return {"multiscale": summaries, "raw_lags": raw, "both": raw + summaries}[self.representation]
 
 
 # History windows in rows, context length, split length.
@@ -121,12 +128,14 @@ class RunSettings:
 
     By default nothing wraps or crosses series: no circular history, fill and scaling per entity. An
     offset of k rows makes a prediction rest on history ending k rows before its row; ``train_offset``
-    and ``test_offset`` set it for either split. ``historical_settings`` are the published choices.
+    and ``test_offset`` set it for either split. ``entities`` lists series with a plan of their own, all
+    others follow ``default``, or are left out without one. ``historical_settings`` are the published
+    choices.
     """
 
-    entities: dict[str, EntityPlan]
     configs: dict[str, MlpConfig]
-    raw_lags: dict[str, dict[str, int]] = field(default_factory=dict)
+    entities: dict[object, EntityPlan] = field(default_factory=dict)
+    default: EntityPlan | None = None
     fill_scope: str = "entity"
     fill_method: str = "linear"
     scale_entity: str | None = None
@@ -144,17 +153,16 @@ class RunSettings:
 def historical_settings() -> RunSettings:
     """The published two-city run: shared scaling, frame-wide fill, circular lead-in, two-row offset."""
     return RunSettings(
-        entities={
-            "sj": EntityPlan("multiscale", "sj", "nearest"),
-            "iq": EntityPlan("raw_lags", "iq", "truncate"),
-        },
         configs={
             "sj": MlpConfig(),
             "iq": MlpConfig(
                 hidden=(70, 18), dropout=(0.5, 0.5), learning_rate=0.001, patience=5, reshuffle=False
             ),
         },
-        raw_lags={"iq": raw_lag_table(RAW_LAG_ROWS_IQ), "sj": raw_lag_table(RAW_LAG_ROWS_SJ)},
+        entities={
+            "sj": EntityPlan("multiscale", "sj", "nearest"),
+            "iq": EntityPlan("raw_lags", "iq", "truncate", lags=raw_lag_table(RAW_LAG_ROWS_IQ)),
+        },
         fill_scope="frame",
         scale_entity="sj",
         scale_tail=LEAD_ROWS,

@@ -29,12 +29,12 @@ SPEC = PanelSpec(
 )
 SMALL = MlpConfig(hidden=(8, 4), dropout=(0.1, 0.1), epochs=3, steps=10)
 SETTINGS = RunSettings(
-    entities={"sj": EntityPlan("multiscale", "m", "nearest"), "iq": EntityPlan("raw_lags", "m", "truncate")},
     configs={"m": SMALL},
-    raw_lags={"iq": {"rain": 33, "heat": 4, "damp": 41, "weekofyear": 3}},
+    entities={"iq": EntityPlan("raw_lags", "m", "truncate", lags={"rain": 33, "heat": 4, "damp": 41, "weekofyear": 3})},
+    default=EntityPlan("multiscale", "m", "nearest"),
 )
 HISTORICAL = dataclasses.replace(
-    SETTINGS, fill_scope="frame", scale_entity="sj", scale_tail=53, lead_in="circular", test_offset=2
+    SETTINGS, default=None, entities={"sj": SETTINGS.default, **SETTINGS.entities}, fill_scope="frame", scale_entity="sj", scale_tail=53, lead_in="circular", test_offset=2
 )
 
 
@@ -125,8 +125,7 @@ def test_historical_alignment_matches_numpy(spark, tables):
 
 
 def test_evaluate_holds_out_the_last_rows(tables):
-    settings = dataclasses.replace(HISTORICAL, entities={"sj": HISTORICAL.entities["sj"]})
-    scored, models = evaluate(tables["features"], tables["labels"], SPEC, settings, "sj")
+    scored, models = evaluate(tables["features"], tables["labels"], SPEC, HISTORICAL, "sj")
     rows = scored.toPandas()
     assert len(rows) == 52 and rows["abs_error"].notna().all()
     labels = tables["labels"].where("city = 'sj'").toPandas()
@@ -137,7 +136,7 @@ def test_evaluate_holds_out_the_last_rows(tables):
 
 
 def test_offsets_beyond_the_context_lengthen_it(tables):
-    settings = dataclasses.replace(SETTINGS, train_offset=5, test_offset=5, entities={"sj": SETTINGS.entities["sj"]})
+    settings = dataclasses.replace(SETTINGS, train_offset=5, test_offset=5)
     assert settings.lead_rows == 56
     scored, _ = evaluate(tables["features"], tables["labels"], SPEC, settings, "sj")
     assert scored.count() == 52
