@@ -7,9 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.operators.blocks import BLOCK, BLOCK_ROWS, block_of
+from panelcast.operators.blocks import BLOCK, block_of
 from panelcast.operators.position import LENGTH, SEQ, ordered_scan
 
+# Running frames need no rows from other blocks, so a block may be long; the carry table has one row
+# per block.
+FILL_ROWS = 65536
+
 
 def _known(column: str, position: str | Column) -> Column:
     """(position, value) where a value is present, null otherwise."""
@@ -63,7 +67,7 @@ def interpolate_linear(
     method: str = "linear",
     by: Sequence[str] = (),
     entity_order: Sequence[str] | None = None,
-    rows: int = BLOCK_ROWS,
+    rows: int = FILL_ROWS,
 ) -> DataFrame:
     """Fill missing values of ``columns`` by position, forward only.
 

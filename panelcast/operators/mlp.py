@@ -98,6 +98,37 @@ def _batches(count: int, size: int, reshuffle: bool, rng: np.random.Generator) -
             order = rng.permutation(count)
 
 
+class _RmsProp:
+    """Scales each gradient by a running mean of its square and applies it in place."""
+
+    def __init__(self, layers: Layers):
+        self.memory = [np.zeros_like(value) for layer in layers for value in layer]
+
+    def apply(self, layers: Layers, gradients: Layers, rate: float) -> None:
+        values = (value for layer in layers for value in layer)
+        slopes = (slope for layer in gradients for slope in layer)
+        for value, memory, slope in zip(values, self.memory, slopes, strict=True):
+            bounded = slope.clip(-GRADIENT_LIMIT, GRADIENT_LIMIT)
+            memory += (1.0 - RMS_DECAY) * (bounded * bounded - memory)
+            value -= rate * bounded / (np.sqrt(memory) + RMS_EPSILON)
+
+
+class _PlateauRate:
+    """Learning rate that drops after ``patience`` epochs in a row without a new lowest loss."""
+
+    def __init__(self, rate: float, patience: int):
+        self.rate, self.patience = rate, patience
+        self.lowest, self.waited = np.inf, 0
+
+    def observe(self, loss: float) -> None:
+        if loss < self.lowest:
+            self.lowest, self.waited = loss, 0
+            return
+        self.waited += 1
+        if self.waited == self.patience:
+            self.rate, self.waited = max(RATE_FLOOR, RATE_DECAY * self.rate), 0
+
+
 def fit_network(
     x: np.ndarray,
     y: np.ndarray,
@@ -111,43 +142,30 @@ def fit_network(
     ``after_epoch`` is called with the layers."""
     rng = np.random.default_rng(seed)
     layers = new_layers([x.shape[1], *config.hidden, 1], rng)
-    caches = [(np.zeros_like(w), np.zeros_like(b)) for w, b in layers]
+    solver, schedule = _RmsProp(layers), _PlateauRate(config.learning_rate, config.patience)
     batches = _batches(len(x), config.batch, config.reshuffle, rng)
-    rate, best, stale, history = config.learning_rate, np.inf, 0, []
+    dropouts = list(zip(config.hidden, (1.0 - d for d in config.dropout), strict=True))
+
+    def step() -> float:
+        rows = next(batches)
+        masks = [(rng.random((len(rows), width)) < keep) / keep for width, keep in dropouts]
+        loss, gradients = loss_gradients(layers, x[rows], y[rows], masks)
+        solver.apply(layers, gradients, schedule.rate)
+        return loss
 
+    history = []
     for epoch in range(1, config.epochs + 1):
-        losses = []
-        for _ in range(config.steps):
-            rows = next(batches)
-            masks = [
-                (rng.random((len(rows), width)) < 1.0 - drop) / (1.0 - drop)
-                for width, drop in zip(config.hidden, config.dropout, strict=True)
-            ]
-            loss, gradients = loss_gradients(layers, x[rows], y[rows], masks)
-            losses.append(loss)
-            for parameters, cache, gradient in zip(layers, caches, gradients):
-                for value, memory, slope in zip(parameters, cache, gradient):
-                    slope = np.clip(slope, -GRADIENT_LIMIT, GRADIENT_LIMIT)
-                    memory *= RMS_DECAY
-                    memory += (1.0 - RMS_DECAY) * slope**2
-                    value -= rate * slope / (np.sqrt(memory) + RMS_EPSILON)
-        mean_loss = float(np.mean(losses))
-        record = {
+        loss = float(np.mean([step() for _ in range(config.steps)]))
+        history.append({
             "epoch": epoch,
-            "train_mae_dropout": mean_loss,
-            "lr": rate,
-            "train_mae": float(np.mean(np.abs(predict(layers, x) - y))) if measure else None,
-            "val_mae": None,
-        }
-        if validation is not None:
-            record["val_mae"] = float(np.mean(_count_errors(layers, *validation)))
-        history.append(record)
+            "train_mae_dropout": loss,
+            "lr": schedule.rate,
+            "train_mae": float(np.abs(predict(layers, x) - y).mean()) if measure else None,
+            "val_mae": float(_count_errors(layers, *validation).mean()) if validation else None,
+        })
         if after_epoch:
             after_epoch(layers)
-        stale = 0 if mean_loss < best else stale + 1
-        best = min(best, mean_loss)
-        if stale >= config.patience:
-            rate, stale = max(rate * RATE_DECAY, RATE_FLOOR), 0
+        schedule.observe(loss)
     return layers, history
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from panelcast.operators.storage import save_point
 from panelcast.spec import HORIZON_ROWS, LEAD_ROWS, STEP_SECONDS
 
-SLOT_STEPS = 4096
+SLOT_STEPS = 16384
 SEQ = "seq"
 LENGTH = "n"
 

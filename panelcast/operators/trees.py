@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector
@@ -104,6 +105,21 @@ def boosted_regressor(
     return _fit(boosted, train, columns, target, False)
 
 
+def predict_by_entity(
+    train: DataFrame, held: DataFrame, entity: str, fits: Mapping[object, Callable[[DataFrame], FittedTree]]
+) -> DataFrame:
+    """One model per listed entity on its own rows, predictions stacked.
+
+    For a short, declared list of series that differ in kind: every fit is a distributed job of its own.
+    Many similar series belong into one grouped job (``train_grouped_mlp``) or one pooled model.
+    """
+    parts = [
+        fit(train.where(F.col(entity) == name)).predict(held.where(F.col(entity) == name))
+        for name, fit in fits.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def window_screen(
     panel: DataFrame,
     entity: str,

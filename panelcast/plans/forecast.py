@@ -225,6 +225,7 @@ def forecast(
     ``template`` and, if it should be checked against it, ``test`` carry ``pos``.
     """
     keys = spec.join_keys
+    template = save_point(template)
     if POS in test.columns:
         check_row_order(test, template, keys)
         test = test.drop(POS)

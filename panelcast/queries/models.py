@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelcast.functions.scalar import round_nearest_nonneg
 from panelcast.operators import trees
 from panelcast.operators.evaluate import mae
 from panelcast.operators.history import (
@@ -204,9 +205,9 @@ def fold_example_rows(spark, d):
     )
 
 
-def _design(spark, d) -> tuple[DataFrame, DataFrame, list[str]]:
+def _design(panel: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
     """Tree features of all series with a full history, cut before the last 52 rows."""
-    panel = lead_in_none(supplier_week(spark, d))
+    panel = lead_in_none(panel)
     wide = tree_panel(panel)
     names = tree_feature_names(panel, wide, SIGNALS)
     rows = save_point(history_complete(wide).select("entity", "time", "seq", "n", "target", *names))
@@ -215,21 +216,31 @@ def _design(spark, d) -> tuple[DataFrame, DataFrame, list[str]]:
 
 @query("forest_regressor")
 def forest(spark, d):
-    train, held, names = _design(spark, d)
+    train, held, names = _design(supplier_week(spark, d))
     model = trees.forest_regressor(train, names, "target", log_target=True, trees=20, max_depth=6)
     return model.predict(held).select("entity", "time", "target", "prediction")
 
 
+@query("forest_by_entity")
+def forest_by_entity(spark, d):
+    """A count forest for one series and a log forest for the others, each on its own rows."""
+    train, held, names = _design(flag_week(spark, d))
+    plain = lambda rows: trees.forest_regressor(rows, names, "target", trees=10, max_depth=5)
+    logged = lambda rows: trees.forest_regressor(rows, names, "target", True, trees=10, max_depth=5)
+    out = trees.predict_by_entity(train, held, "entity", {"N": plain, "A": logged, "R": logged})
+    return out.select("entity", "time", "target", "prediction", round_nearest_nonneg("prediction").alias("count"))
+
+
 @query("boosted_regressor")
 def boosted(spark, d):
-    train, held, names = _design(spark, d)
+    train, held, names = _design(supplier_week(spark, d))
     model = trees.boosted_regressor(train, names, "target", rounds=10, learning_rate=0.1, depth=3)
     return model.predict(held).select("entity", "time", "target", "prediction")
 
 
 @query("boosted_regressor_poisson")
 def poisson(spark, d):
-    train, held, names = _design(spark, d)
+    train, held, names = _design(supplier_week(spark, d))
     model = trees.boosted_regressor(train, names, "target", objective="poisson")
     return model.predict(held).select("entity", "time", "target", "prediction")
 
