@@ -47,12 +47,18 @@ def season_terms(week) -> dict[str, Column]:
     return fourier_terms(week, harmonics=2)
 
 
+def _nonneg(x) -> Column:
+    """max(x, 0); a missing prediction stays missing instead of becoming a count of zero."""
+    x = _col(x).cast("double")
+    return F.when(x.isNotNull() & ~F.isnan(x), F.greatest(x, F.lit(0.0)))
+
+
 def round_nearest_nonneg(x) -> Column:
-    return F.floor(F.greatest(_col(x), F.lit(0.0)) + 0.5).cast("long")
+    return F.floor(_nonneg(x) + 0.5).cast("long")
 
 
 def truncate_nonneg(x) -> Column:
-    return F.greatest(_col(x), F.lit(0.0)).cast("long")
+    return _nonneg(x).cast("long")
 
 
 def to_count(x, rounding: str) -> Column:
@@ -74,7 +80,7 @@ def is_finite(x) -> Column:
 
 def selu(x) -> Column:
     x = _col(x)
-    negative = SELU_ALPHA * F.expm1(F.greatest(x, F.lit(-30.0)))
+    negative = SELU_ALPHA * F.expm1(F.when(x < -30.0, F.lit(-30.0)).otherwise(x))
     return SELU_SCALE * F.when(x > 0, x).otherwise(negative)
 
 
@@ -122,6 +128,14 @@ def abs_error(y, prediction) -> Column:
     return F.abs(_col(y).cast("double") - _col(prediction).cast("double"))
 
 
+def pair_corr(x, y) -> Column:
+    """Aggregate: correlation over rows holding both values, null where either is constant."""
+    x, y = _col(x), _col(y)
+    both = x.isNotNull() & y.isNotNull()
+    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+    return F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))
+
+
 def nan_to_null(x) -> Column:
     x = _col(x)
     return F.when(~F.isnan(x), x)

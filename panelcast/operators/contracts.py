@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,12 +54,16 @@ def check_row_order(left: DataFrame, right: DataFrame, keys: Sequence[str], orde
         raise ContractError(f"{report['mismatches']} of {report['positions']} rows out of order")
 
 
-def feature_shape_report(df: DataFrame, width: int, features: str = "features", by: Sequence[str] = ()) -> DataFrame:
+def _all_finite(features: str) -> Column:
     finite = F.forall(features, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
+    return F.coalesce(finite, F.lit(False))
+
+
+def feature_shape_report(df: DataFrame, width: int, features: str = "features", by: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(F.coalesce(F.size(features) != width, F.lit(True))).alias("wrong_width"),
-        F.count_if(~F.coalesce(finite, F.lit(False))).alias("not_finite"),
+        F.count_if(~_all_finite(features)).alias("not_finite"),
     )
 
 
@@ -69,6 +73,12 @@ def check_feature_shape(df: DataFrame, width: int, rows: int | None = None, feat
         raise ContractError(f"invalid features (expected rows={rows}, width={width}): {report.asDict()}")
 
 
+def check_finite_features(df: DataFrame, keys: Sequence[str], features: str = "features") -> None:
+    bad = df.where(~_all_finite(features)).select(*keys).first()
+    if bad is not None:
+        raise ContractError(f"missing or infinite feature at {bad.asDict()}")
+
+
 def count_report(df: DataFrame, target: str, by: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("rows"),

@@ -148,7 +148,7 @@ def amplitude_check(df: DataFrame, entity: str, model: str, fold: str, y: str, p
     return per_fold.groupBy(entity, model).agg(
         F.max("_peak").alias("peak"),
         F.max("_reached").alias("predicted_peak"),
-        F.avg(F.col("_reached") / F.col("_peak")).alias("peak_ratio"),
+        F.avg(F.try_divide("_reached", "_peak")).alias("peak_ratio"),
         F.stddev_pop("_mae").alias("fold_mae_std"),
     )
 

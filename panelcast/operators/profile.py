@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelcast.functions.scalar import pair_corr
 from panelcast.operators.blocks import with_history
 from panelcast.operators.quantile import exact_quantiles
 
@@ -60,7 +61,7 @@ def autocorrelation(df: DataFrame, entity: str, order: str, target: str, lags: i
         lambda w: {name: F.lag("_y", k).over(w) for k, name in enumerate(names, 1)},
         back=lags,
     )
-    pairs = wide.groupBy(entity).agg(*[F.corr("_y", name).alias(name) for name in names])
+    pairs = wide.groupBy(entity).agg(*[pair_corr("_y", name).alias(name) for name in names])
     long = pairs.unpivot(entity, names, "lag", "corr")
     return long.withColumn("lag", F.substring_index("lag", "_", -1).cast("long"))
 
@@ -91,6 +92,6 @@ def lag_correlation(
     )
     narrow = wide.select(entity, "_y", F.inline(per_signal))
     names = [f"_x_{k}" for k in ks]
-    pairs = narrow.groupBy(entity, "variable").agg(*[F.corr(name, "_y").alias(name) for name in names])
+    pairs = narrow.groupBy(entity, "variable").agg(*[pair_corr(name, "_y").alias(name) for name in names])
     long = pairs.unpivot([entity, "variable"], names, "lag", "corr")
     return long.withColumn("lag", F.substring_index("lag", "_", -1).cast("long"))

@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelcast.operators.contracts import check_finite_features
 from panelcast.operators.evaluate import fold_summary, outbreak_threshold
 from panelcast.operators.fill import interpolate_linear
 from panelcast.operators.history import (
@@ -76,7 +77,11 @@ def grid(examples: DataFrame, configs: Sequence[str], seeds: Sequence[int]) -> D
 def run_grid(
     examples: DataFrame, spec: PanelSpec, configs: Mapping[str, MlpConfig], seeds: Sequence[int]
 ) -> tuple[DataFrame, DataFrame]:
-    """Train every group and score its validation rows: (models, predictions)."""
+    """Train every group and score its validation rows: (models, predictions).
+
+    ``examples`` are read several times, so save them beforehand.
+    """
+    check_finite_features(examples, [spec.entity, "fold", "role", "representation", "pos"])
     by = [spec.entity, "fold", "representation", "config", "seed"]
     cells = grid(examples, list(configs), seeds)
     models = save_point(train_grouped_mlp(cells, by, dict(configs)))
