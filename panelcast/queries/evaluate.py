@@ -31,7 +31,7 @@ ROW = ["entity", "fold", "time"]
 
 
 def fold_parts(spark, d) -> tuple[DataFrame, DataFrame]:
-    spread = folds(save_point(supplier_week(spark, d)))
+    spread = folds(save_point(supplier_week(spark, d, signals=[])))
     return spread.where("role = 'train'"), spread.where("role = 'validate'")
 
 
@@ -167,7 +167,7 @@ def best_blend(spark, d):
 def seed_ensemble(spark, d):
     """Three members per row: means over the last 2, 4 and 8 weeks."""
     windows = (2, 4, 8)
-    wide = with_history(supplier_week(spark, d), ["entity"], "seq",
+    wide = with_history(supplier_week(spark, d, signals=[]), ["entity"], "seq",
                         lambda w: {f"m{k}": trailing_mean("target", k, w) for k in windows}, back=7)
     members = F.array(*[F.struct(F.lit(i).alias("seed"), F.col(f"m{k}").alias("prediction")) for i, k in enumerate(windows)])
     out = V.seed_ensemble(wide.select("entity", "time", F.inline(members)), ["entity", "time"])
@@ -212,7 +212,7 @@ def rounding_comparison(spark, d):
     "FROM supplier_week WHERE seq >= n - 52 GROUP BY 1",
 )
 def submission_summary(spark, d):
-    last = supplier_week(spark, d).where("seq >= n - 52")
+    last = supplier_week(spark, d, signals=[]).where("seq >= n - 52")
     return rounded(V.submission_summary(last, "entity", "target"), "entity", "count", "min", "max", mean="mean")
 
 

@@ -46,7 +46,7 @@ def over(rows: int, order: str = "seq", last: int = 0) -> str:
 
 @query("row_position", f"{SUPPLIER_SQL} SELECT entity, time, seq, n FROM supplier_week")
 def row_position(spark, d):
-    return supplier_week(spark, d).select("entity", "time", "seq", "n")
+    return supplier_week(spark, d, signals=[]).select("entity", "time", "seq", "n")
 
 
 def _gap_sql(column: str, partition: str, order: str) -> str:
@@ -113,7 +113,7 @@ def interpolate_last(spark, d):
 )
 def zscore_params(spark, d):
     names = ["qty_mean", "qty_std", "price_mean", "price_std"]
-    fitted = fit_zscore(supplier_week(spark, d), ["qty", "price"], E, weight_tail=53)
+    fitted = fit_zscore(supplier_week(spark, d, signals=["qty", "price"]), ["qty", "price"], E, weight_tail=53)
     return rounded(fitted, "entity", **{n: n for n in names})
 
 
@@ -123,7 +123,7 @@ def zscore_params(spark, d):
     "FROM supplier_week GROUP BY 1",
 )
 def minmax_params(spark, d):
-    return fit_minmax(weekly_raw(spark, d, "l_suppkey"), "week", E)
+    return fit_minmax(weekly_raw(spark, d, "l_suppkey", signals=[]), "week", E)
 
 
 # --- window functions -------------------------------------------------------------------------------
@@ -131,7 +131,7 @@ def minmax_params(spark, d):
 
 @query("current_value", f"{SUPPLIER_SQL} SELECT entity, time, {sql6('qty', 'v')} FROM supplier_week")
 def current_value(spark, d):
-    return rounded(weekly_raw(spark, d, "l_suppkey"), "entity", "time", v="qty")
+    return rounded(weekly_raw(spark, d, "l_suppkey", signals=["qty"]), "entity", "time", v="qty")
 
 
 @query(
@@ -142,7 +142,7 @@ def current_value(spark, d):
 )
 def trailing_mean(spark, d):
     columns = {f"mean_{k}": (lambda w, k=k: H.trailing_mean("qty", k, w)) for k in MEAN_WINDOWS}
-    return windowed(supplier_week(spark, d), 51, **columns)
+    return windowed(supplier_week(spark, d, signals=["qty"]), 51, **columns)
 
 
 @query(
@@ -153,7 +153,7 @@ def trailing_mean(spark, d):
 )
 def trailing_std(spark, d):
     columns = {f"std_{k}": (lambda w, k=k: H.trailing_std("qty", k, w)) for k in STD_WINDOWS}
-    return windowed(supplier_week(spark, d), 12, **columns)
+    return windowed(supplier_week(spark, d, signals=["qty"]), 12, **columns)
 
 
 @query(
@@ -161,7 +161,7 @@ def trailing_std(spark, d):
     f"{SUPPLIER_SQL} SELECT entity, time, {sql6(f'AVG(qty) {over(4)} - AVG(qty) {over(13)}', 'gap')} FROM supplier_week",
 )
 def short_long_gap(spark, d):
-    return windowed(supplier_week(spark, d), 12,
+    return windowed(supplier_week(spark, d, signals=["qty"]), 12,
                     gap=lambda w: H.trailing_mean("qty", 4, w) - H.trailing_mean("qty", 13, w))
 
 
@@ -172,7 +172,7 @@ def short_long_gap(spark, d):
     + " FROM supplier_week",
 )
 def trend_13(spark, d):
-    return windowed(supplier_week(spark, d), 12, trend=lambda w: H.trend("qty", 12, w))
+    return windowed(supplier_week(spark, d, signals=["qty"]), 12, trend=lambda w: H.trend("qty", 12, w))
 
 
 @query(
@@ -181,7 +181,7 @@ def trend_13(spark, d):
     "WHERE seq >= 51",
 )
 def history_complete(spark, d):
-    wide = with_history(H.lead_in_none(supplier_week(spark, d)), E, POS,
+    wide = with_history(H.lead_in_none(supplier_week(spark, d, signals=["price"])), E, POS,
                         lambda w: {"m": H.trailing_mean("price", 52, w)}, back=51)
     return rounded(H.history_complete(wide), "entity", "time", m="m")
 
@@ -192,7 +192,7 @@ def history_complete(spark, d):
     f"SELECT entity, time, {sql6('LAG(a, 2) OVER (PARTITION BY entity ORDER BY seq)', 'a')} FROM m",
 )
 def endpoint_offset(spark, d):
-    mean = with_history(supplier_week(spark, d), E, P.SEQ, lambda w: {"now": H.trailing_mean("qty", 4, w)}, back=3)
+    mean = with_history(supplier_week(spark, d, signals=["qty"]), E, P.SEQ, lambda w: {"now": H.trailing_mean("qty", 4, w)}, back=3)
     return rounded(H.endpoint_offset(mean, E, P.SEQ, {"now": "a"}, 2), "entity", "time", a="a")
 
 
@@ -238,7 +238,7 @@ def raw_lags_other(spark, d):
     + " FROM supplier_week",
 )
 def sparse_lags(spark, d):
-    wide = H.sparse_lags(supplier_week(spark, d), E, P.SEQ, ["qty"])
+    wide = H.sparse_lags(supplier_week(spark, d, signals=["qty"]), E, P.SEQ, ["qty"])
     return rounded(wide, "entity", "time", **{f"qty_lag_{k}": f"qty_lag_{k}" for k in TREE_LAGS})
 
 
@@ -250,7 +250,7 @@ def sparse_lags(spark, d):
 )
 def past_mean_shifted(spark, d):
     columns = {f"past_{k}": (lambda w, k=k: H.past_mean_shifted("qty", k, w)) for k in TREE_MEANS}
-    return windowed(supplier_week(spark, d), max(TREE_MEANS), **columns)
+    return windowed(supplier_week(spark, d, signals=["qty"]), max(TREE_MEANS), **columns)
 
 
 # --- sorting and splits -----------------------------------------------------------------------------
@@ -258,12 +258,12 @@ def past_mean_shifted(spark, d):
 
 @query("sort_time", f"{SUPPLIER_SQL} SELECT entity, time, target FROM supplier_week ORDER BY 1, 2")
 def sort_time(spark, d):
-    return P.sort_time(weekly_raw(spark, d, "l_suppkey"), "entity", "time").select("entity", "time", "target")
+    return P.sort_time(weekly_raw(spark, d, "l_suppkey", signals=[]), "entity", "time").select("entity", "time", "target")
 
 
 @query("tail_rows", f"{SUPPLIER_SQL} SELECT entity, time, seq FROM supplier_week WHERE seq >= n - 53")
 def tail_rows(spark, d):
-    return P.tail_rows(supplier_week(spark, d)).select("entity", "time", "seq")
+    return P.tail_rows(supplier_week(spark, d, signals=[])).select("entity", "time", "seq")
 
 
 @query(
@@ -271,7 +271,7 @@ def tail_rows(spark, d):
     f"{SUPPLIER_SQL} SELECT entity, time, CASE WHEN seq < n - 52 THEN 'train' ELSE 'holdout' END AS part FROM supplier_week",
 )
 def holdout_split(spark, d):
-    train, held = P.holdout_split(save_point(supplier_week(spark, d)))
+    train, held = P.holdout_split(save_point(supplier_week(spark, d, signals=[])))
     train, held = (x.select("entity", "time", F.lit(part).alias("part")) for x, part in ((train, "train"), (held, "holdout")))
     return train.unionByName(held)
 
@@ -282,7 +282,7 @@ def holdout_split(spark, d):
     "WHERE entity <> 'N' AND seq < GREATEST(53, FLOOR(n * (rn - 52) / rn))",
 )
 def proportional_prefix(spark, d):
-    return P.proportional_prefix(flag_week(spark, d), "entity", "N").select("entity", "time")
+    return P.proportional_prefix(flag_week(spark, d, signals=[]), "entity", "N").select("entity", "time")
 
 
 def folds_sql(panel: str, folds: int = 3) -> str:
@@ -300,13 +300,13 @@ def folds(df: DataFrame, count: int = 3) -> DataFrame:
 
 @query("expanding_folds", SUPPLIER_SQL + folds_sql("supplier_week") + " SELECT entity, time, fold, role FROM folds")
 def expanding_folds(spark, d):
-    return folds(supplier_week(spark, d)).select("entity", "time", "fold", "role")
+    return folds(supplier_week(spark, d, signals=[])).select("entity", "time", "fold", "role")
 
 
 @query("head_rows", f"{SUPPLIER_SQL} SELECT entity, time, target, (time - DATE '1990-01-01') * 100000 + entity AS place FROM supplier_week ORDER BY 4 LIMIT 10")
 def head_rows(spark, d):
     place = F.datediff("time", F.lit("1990-01-01")).cast("long") * 100000 + F.col("entity")
-    rows = weekly_raw(spark, d, "l_suppkey").select("entity", "time", "target", place.alias("place"))
+    rows = weekly_raw(spark, d, "l_suppkey", signals=[]).select("entity", "time", "target", place.alias("place"))
     return P.head_rows(rows, "place", 10)
 
 

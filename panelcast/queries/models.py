@@ -247,6 +247,6 @@ def poisson(spark, d):
 
 @query("window_screen")
 def window_screen(spark, d):
-    panel = save_point(flag_week(spark, d))
+    panel = save_point(flag_week(spark, d, signals=["qty", "price"]))
     screen = trees.window_screen(panel, "entity", "seq", "target", ["qty", "price"], [3, 26], ["A", "N", "R"], folds=2)
     return trees.best_window(screen, "entity")

@@ -6,6 +6,8 @@ reads the raw table twice. Signals are logarithms of averages.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,30 +37,32 @@ def _calendar(df: DataFrame) -> DataFrame:
     )
 
 
-def _weekly(spark: SparkSession, sf_dir: str, entity: str) -> DataFrame:
+def _weekly(spark: SparkSession, sf_dir: str, entity: str, signals: Sequence[str]) -> DataFrame:
+    levels = {
+        "qty": F.avg("l_quantity"),
+        "price": F.avg("l_extendedprice"),
+        "discount": F.avg("l_discount") + 0.01,
+        "tax": F.avg("l_tax") + 0.01,
+    }
     lines = table(spark, sf_dir, "lineitem")
     return lines.groupBy(
         F.col(entity).alias("entity"), F.date_trunc("week", "l_shipdate").cast("date").alias("time")
-    ).agg(
-        F.count(F.lit(1)).alias("target"),
-        F.log(F.avg("l_quantity")).alias("qty"),
-        F.log(F.avg("l_extendedprice")).alias("price"),
-        F.log(F.avg("l_discount") + 0.01).alias("discount"),
-        F.log(F.avg("l_tax") + 0.01).alias("tax"),
-    )
+    ).agg(F.count(F.lit(1)).alias("target"), *[F.log(levels[s]).alias(s) for s in signals])
 
 
-def weekly_raw(spark: SparkSession, sf_dir: str, entity: str = "l_returnflag") -> DataFrame:
-    """The weekly panel before rows are numbered."""
-    return _calendar(save_point(_weekly(spark, sf_dir, entity)))
+def weekly_raw(
+    spark: SparkSession, sf_dir: str, entity: str = "l_returnflag", signals: Sequence[str] = SIGNALS
+) -> DataFrame:
+    """The weekly panel before rows are numbered; only the columns of ``signals`` are read."""
+    return _calendar(save_point(_weekly(spark, sf_dir, entity, signals)))
 
 
-def flag_week(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return row_position(weekly_raw(spark, sf_dir), ["entity"], "time", "week")
+def flag_week(spark: SparkSession, sf_dir: str, signals: Sequence[str] = SIGNALS) -> DataFrame:
+    return row_position(weekly_raw(spark, sf_dir, signals=signals), ["entity"], "time", "week")
 
 
-def supplier_week(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return row_position(weekly_raw(spark, sf_dir, "l_suppkey"), ["entity"], "time", "week")
+def supplier_week(spark: SparkSession, sf_dir: str, signals: Sequence[str] = SIGNALS) -> DataFrame:
+    return row_position(weekly_raw(spark, sf_dir, "l_suppkey", signals), ["entity"], "time", "week")
 
 
 def region_day(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,7 +72,7 @@ def read_features(spark, d):
 @query("read_labels", f"{FLAG_SQL} SELECT entity, year, week, target FROM flag_week")
 def read_labels(spark, d):
     path = scratch_path(spark, "labels")
-    io.write_csv(weekly_raw(spark, d).select(*KEYS, "target"), path)
+    io.write_csv(weekly_raw(spark, d, signals=[]).select(*KEYS, "target"), path)
     return io.read_labels(spark, path, LABEL_FILE)
 
 
@@ -83,7 +83,7 @@ def read_labels(spark, d):
 )
 def read_template(spark, d):
     path = scratch_path(spark, "template")
-    ordered = weekly_raw(spark, d, "l_suppkey").orderBy("entity", "time")
+    ordered = weekly_raw(spark, d, "l_suppkey", signals=[]).orderBy("entity", "time")
     io.write_csv(ordered.select(*KEYS, "target"), path)
     return io.read_template(spark, path, LABEL_FILE)
 
@@ -96,7 +96,7 @@ def parse_date(spark, d):
 
 def _submission(spark, d) -> DataFrame:
     """Rounded trailing means as predictions, in a template order that is not time order."""
-    mean = with_history(flag_week(spark, d), ["entity"], SEQ,
+    mean = with_history(flag_week(spark, d, signals=[]), ["entity"], SEQ,
                         lambda w: {"p": trailing_mean("target", 4, w)}, back=3)
     return mean.select(*KEYS, S.round_nearest_nonneg("p").alias("target"), (F.col("n") - 1 - F.col("seq")).alias("back"))
 
@@ -132,12 +132,12 @@ def read_back(spark, d):
 
 @query("filter_entity", f"{FLAG_SQL} SELECT entity, time, target FROM flag_week WHERE entity = 'R'")
 def filter_entity(spark, d):
-    return R.filter_entity(weekly_raw(spark, d), "entity", "R").select("entity", "time", "target")
+    return R.filter_entity(weekly_raw(spark, d, signals=[]), "entity", "R").select("entity", "time", "target")
 
 
 @query("project_keys", f"{SUPPLIER_SQL} SELECT entity, year, week FROM supplier_week")
 def project_keys(spark, d):
-    return R.project_keys(weekly_raw(spark, d, "l_suppkey"), KEYS)
+    return R.project_keys(weekly_raw(spark, d, "l_suppkey", signals=[]), KEYS)
 
 
 @query("drop_target", f"{FLAG_SQL} SELECT entity, time, year, week, seq, n, {SIGNALS_SQL} FROM flag_week")
@@ -172,7 +172,7 @@ def numeric_columns(spark, d):
 
 @query("with_column", f"{FLAG_SQL} SELECT entity, time, target * 2 AS target, {sql6('LN(1 + target)', 'z')} FROM flag_week")
 def with_column(spark, d):
-    changed = weekly_raw(spark, d).withColumns({"z": S.log1p_target("target"), "target": F.col("target") * 2})
+    changed = weekly_raw(spark, d, signals=[]).withColumns({"z": S.log1p_target("target"), "target": F.col("target") * 2})
     return rounded(changed, "entity", "time", "target", z="z")
 
 
@@ -208,7 +208,7 @@ def join_labels(spark, d):
     "CASE WHEN seq >= n - 52 THEN target END AS target FROM flag_week",
 )
 def join_template(spark, d):
-    panel = save_point(flag_week(spark, d))
+    panel = save_point(flag_week(spark, d, signals=[]))
     path = scratch_path(spark, "template")
     io.write_csv(panel.orderBy("time", "entity").select("entity", "time"), path)
     layout = T.StructType([T.StructField("entity", T.StringType()), T.StructField("time", T.DateType())])
@@ -228,7 +228,7 @@ CIRCULAR_SQL = """, circular AS (
     + " SELECT entity, pos - 51 AS example, target FROM circular WHERE pos >= 51 AND pos < n + 51",
 )
 def align_target(spark, d):
-    rows = history_complete(lead_in_circular(supplier_week(spark, d), 53, 2))
+    rows = history_complete(lead_in_circular(supplier_week(spark, d, signals=[]), 53, 2))
     return rows.select("entity", (F.col("pos") - 51).alias("example"), "target")
 
 
@@ -247,7 +247,7 @@ SELECT t.entity, t.year, t.week, {sql6('m', 'prediction')}
 FROM test t JOIN ends e ON t.entity = e.entity AND t.i = e.pos - 51""",
 )
 def attach_predictions(spark, d):
-    train, test = split_at(save_point(supplier_week(spark, d)))
+    train, test = split_at(save_point(supplier_week(spark, d, signals=["qty"])))
     context = lead_in_previous(train, test, ["entity"], 53, 2)
     scored = with_history(context, ["entity"], "pos", lambda w: {"prediction": trailing_mean("qty", 52, w)}, back=51)
     scored = history_complete(scored).select("entity", "pos", "prediction")
@@ -262,7 +262,7 @@ params AS (SELECT AVG(qty) AS m, STDDEV_POP(qty) AS s, MIN(week) AS lo, MAX(week
 
 
 def _scaled(spark, d) -> DataFrame:
-    panel = flag_week(spark, d)
+    panel = flag_week(spark, d, signals=["qty"])
     source = R.filter_entity(panel, "entity", "N")
     scaled = apply_params(panel, fit_zscore(source, ["qty"], weight_tail=53), columns=["qty"])
     return apply_params(scaled, fit_minmax(source, "week"), minmax_columns=["week"])
@@ -286,7 +286,7 @@ SELECT entity, COUNT(*) FILTER (WHERE seq >= 4) AS compared,
   COUNT(*) FILTER (WHERE seq < 4) AS left_only, CAST(0 AS BIGINT) AS right_only FROM p GROUP BY 1""",
 )
 def diff_tables(spark, d):
-    mean = save_point(with_history(supplier_week(spark, d), ["entity"], SEQ,
+    mean = save_point(with_history(supplier_week(spark, d, signals=[]), ["entity"], SEQ,
                                    lambda w: {"m": trailing_mean("target", 4, w)}, back=3))
     nearest = mean.select(*KEYS, S.round_nearest_nonneg("m").alias("v"))
     cut = mean.where("seq >= 4").select(*KEYS, S.truncate_nonneg("m").alias("v"))
@@ -301,7 +301,7 @@ def diff_tables(spark, d):
     SUPPLIER_SQL + CIRCULAR_SQL.format(t="supplier_week") + f" SELECT entity, pos, time, {sql6('qty', 'qty')} FROM circular",
 )
 def circular(spark, d):
-    return rounded(lead_in_circular(supplier_week(spark, d), 53, 2), "entity", "pos", "time", qty="qty")
+    return rounded(lead_in_circular(supplier_week(spark, d, signals=["qty"]), 53, 2), "entity", "pos", "time", qty="qty")
 
 
 @query(
@@ -309,7 +309,7 @@ def circular(spark, d):
     SUPPLIER_SQL + PREVIOUS_SQL.format(t="supplier_week") + f" SELECT entity, pos, {sql6('qty', 'qty')} FROM previous",
 )
 def previous(spark, d):
-    train, test = split_at(save_point(supplier_week(spark, d)))
+    train, test = split_at(save_point(supplier_week(spark, d, signals=["qty"])))
     return rounded(lead_in_previous(train, test, ["entity"], 53, 2), "entity", "pos", qty="qty")
 
 
@@ -331,7 +331,7 @@ def concat_entities(spark, d):
     "OR (entity <> 'N' AND seq < GREATEST(53, FLOOR(n * (rn - 52) / rn)))",
 )
 def fold_rows(spark, d):
-    return concat_fold(flag_week(spark, d), "entity", "N").select("entity", "time", "target")
+    return concat_fold(flag_week(spark, d, signals=[]), "entity", "N").select("entity", "time", "target")
 
 
 # --- contracts --------------------------------------------------------------------------------------
@@ -345,7 +345,7 @@ def fold_rows(spark, d):
     "FROM a FULL JOIN b ON a.pos = b.pos",
 )
 def check_row_order(spark, d):
-    panel = weekly_raw(spark, d).select("entity", "time")
+    panel = weekly_raw(spark, d, signals=[]).select("entity", "time")
     layout = T.StructType([T.StructField("entity", T.StringType()), T.StructField("time", T.DateType())])
     sides = []
     for order in (["time", "entity"], ["time", F.desc("entity")]):
@@ -389,7 +389,7 @@ def check_feature_shape(spark, d):
     "CAST(0 AS BIGINT) AS unexpected FROM supplier_week",
 )
 def check_submission(spark, d):
-    panel = save_point(supplier_week(spark, d))
+    panel = save_point(supplier_week(spark, d, signals=[]))
     return C.submission_report(panel, holdout_split(panel)[1], KEYS, "target")
 
 
@@ -399,7 +399,7 @@ def check_submission(spark, d):
     "COUNT(*) FILTER (WHERE target - 2 < 0) AS negative FROM supplier_week GROUP BY 1",
 )
 def check_counts(spark, d):
-    return C.count_report(weekly_raw(spark, d, "l_suppkey").withColumn("target", F.col("target") - 2), "target", ["entity"])
+    return C.count_report(weekly_raw(spark, d, "l_suppkey", signals=[]).withColumn("target", F.col("target") - 2), "target", ["entity"])
 
 
 @query("check_output_schema", f"{SUBMISSION_SQL} SELECT entity, year, week, target FROM submission")
@@ -444,12 +444,12 @@ def fourier_sql(harmonics: int, week: str = "week") -> str:
 
 @query("season_terms", f"{SUPPLIER_SQL} SELECT entity, time, {fourier_sql(2)} FROM supplier_week")
 def season_terms(spark, d):
-    return rounded(weekly_raw(spark, d, "l_suppkey"), "entity", "time", **S.season_terms("week"))
+    return rounded(weekly_raw(spark, d, "l_suppkey", signals=[]), "entity", "time", **S.season_terms("week"))
 
 
 @query("fourier_terms", f"{SUPPLIER_SQL} SELECT entity, time, {fourier_sql(4)} FROM supplier_week")
 def fourier_terms(spark, d):
-    return rounded(weekly_raw(spark, d, "l_suppkey"), "entity", "time", **S.fourier_terms("week", 4))
+    return rounded(weekly_raw(spark, d, "l_suppkey", signals=[]), "entity", "time", **S.fourier_terms("week", 4))
 
 
 @query("round_nearest_nonneg", "SELECT c_custkey, CAST(FLOOR(GREATEST(c_acctbal, 0) + 0.5) AS BIGINT) AS v FROM customer")
@@ -506,17 +506,17 @@ def ndvi_mean_spread(spark, d):
 
 @query("temp_ranges", f"{SUPPLIER_SQL} SELECT entity, time, {sql6('price - qty', 'v')} FROM supplier_week")
 def temp_ranges(spark, d):
-    return rounded(weekly_raw(spark, d, "l_suppkey"), "entity", "time", v=S.temp_range("price", "qty"))
+    return rounded(weekly_raw(spark, d, "l_suppkey", signals=["qty", "price"]), "entity", "time", v=S.temp_range("price", "qty"))
 
 
 @query("temp_humidity", f"{SUPPLIER_SQL} SELECT entity, time, {sql6('price * tax', 'v')} FROM supplier_week")
 def temp_humidity(spark, d):
-    return rounded(weekly_raw(spark, d, "l_suppkey"), "entity", "time", v=S.temp_humidity("price", "tax"))
+    return rounded(weekly_raw(spark, d, "l_suppkey", signals=["price", "tax"]), "entity", "time", v=S.temp_humidity("price", "tax"))
 
 
 @query("log1p_target", f"{SUPPLIER_SQL} SELECT entity, time, {sql6('LN(1 + target)', 'v')} FROM supplier_week")
 def log1p_target(spark, d):
-    return rounded(weekly_raw(spark, d, "l_suppkey"), "entity", "time", v=S.log1p_target("target"))
+    return rounded(weekly_raw(spark, d, "l_suppkey", signals=[]), "entity", "time", v=S.log1p_target("target"))
 
 
 @query("expm1", f"SELECT o_orderkey, {sql6('EXP(LN(1 + o_totalprice) / 3) - 1', 'v')} FROM orders")

@@ -41,7 +41,7 @@ def count_rows_entity(spark, d):
     f"{sql6('AVG(target)', 'mean')}, MAX(target) AS max, {sql6('MEDIAN(target)', 'median')} FROM supplier_week GROUP BY 1",
 )
 def dataset_overview(spark, d):
-    out = P.dataset_overview(weekly_raw(spark, d, "l_suppkey"), "entity", "time", "target")
+    out = P.dataset_overview(weekly_raw(spark, d, "l_suppkey", signals=[]), "entity", "time", "target")
     return rounded(out, "entity", "rows", "first_time", "last_time", "max", mean="mean", median="median")
 
 
@@ -75,7 +75,7 @@ def missing_share(spark, d):
     f"{sql6('MEDIAN(target)', 'median')}, {sql6('QUANTILE_CONT(target, 0.75)', 'q75')} FROM supplier_week GROUP BY 1, 2",
 )
 def seasonal_profile(spark, d):
-    out = P.seasonal_profile(weekly_raw(spark, d, "l_suppkey"), "entity", "week", "target")
+    out = P.seasonal_profile(weekly_raw(spark, d, "l_suppkey", signals=[]), "entity", "week", "target")
     return rounded(out, "entity", "week", "rows", mean="mean", q25="q25", median="median", q75="q75")
 
 
@@ -86,7 +86,7 @@ def seasonal_profile(spark, d):
     "FROM flag_week JOIN m USING (entity) GROUP BY 1, 2",
 )
 def target_distribution(spark, d):
-    return rounded(P.target_distribution(weekly_raw(spark, d), "entity", "target", 5), "entity", "bin", "rows", median="median")
+    return rounded(P.target_distribution(weekly_raw(spark, d, signals=[]), "entity", "target", 5), "entity", "bin", "rows", median="median")
 
 
 def _lag_join(panel: str, x: str, first: int, last: int) -> str:
