@@ -1,6 +1,22 @@
 """panelcast: forecasting counts over many keyed time series, written as Spark DataFrame operators."""
 
+import sys
+
+from pyspark import cloudpickle
+
 from panelcast.plans.forecast import ForecastResult, evaluate, forecast
-from panelcast.spec import MlpConfig, PanelSpec
+from panelcast.spec import EntityPlan, MlpConfig, PanelSpec, RunSettings, historical_settings
+
+# Task functions travel by value: executors need pyspark, numpy and pandas, but no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-__all__ = ["ForecastResult", "MlpConfig", "PanelSpec", "evaluate", "forecast"]
+__all__ = [
+    "EntityPlan",
+    "ForecastResult",
+    "MlpConfig",
+    "PanelSpec",
+    "RunSettings",
+    "evaluate",
+    "forecast",
+    "historical_settings",
+]

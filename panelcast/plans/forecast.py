@@ -53,7 +53,7 @@ class ForecastResult:
 
 def prepare(df: DataFrame, spec: PanelSpec, settings: RunSettings) -> DataFrame:
     """Position, fill and check one split."""
-    placed = row_position(df, [spec.entity], spec.time, spec.step)
+    placed = save_point(row_position(df, [spec.entity], spec.time, spec.step))
     filled = interpolate_linear(
         placed,
         spec.entity,
