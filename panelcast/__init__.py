@@ -4,7 +4,7 @@ import sys
 
 from pyspark import cloudpickle
 
-from panelcast.plans.forecast import ForecastResult, evaluate, forecast
+from panelcast.plans.forecast import ForecastResult, evaluate, evaluate_files, forecast, forecast_files
 from panelcast.spec import EntityPlan, MlpConfig, PanelSpec, RunSettings, historical_settings
 
 # Task functions travel by value: executors need pyspark, numpy and pandas, but no copy of this package.
@@ -17,6 +17,8 @@ __all__ = [
     "PanelSpec",
     "RunSettings",
     "evaluate",
+    "evaluate_files",
     "forecast",
+    "forecast_files",
     "historical_settings",
 ]

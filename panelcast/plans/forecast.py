@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.functions.scalar import abs_error, to_count
@@ -34,8 +35,25 @@ from panelcast.operators.position import LENGTH, SEQ, concat_fold, holdout_split
 from panelcast.operators.relational import attach_predictions, drop_columns, join_one_to_one
 from panelcast.operators.scale import apply_params, fit_scaling
 from panelcast.operators.storage import save_point
-from panelcast.sources.csv import write_submission
-from panelcast.spec import HISTORY_ROWS, HORIZON_ROWS, LEAD_ROWS, EntityPlan, PanelSpec, RunSettings
+from panelcast.sources.csv import (
+    climate_schema,
+    label_schema,
+    read_features,
+    read_labels,
+    read_template,
+    write_submission,
+)
+from panelcast.spec import (
+    CLIMATE_PANEL,
+    HISTORY_ROWS,
+    HORIZON_ROWS,
+    LEAD_ROWS,
+    VEGETATION_SIGNALS,
+    EntityPlan,
+    PanelSpec,
+    RunSettings,
+    historical_settings,
+)
 
 SPLIT = "split"
 MODEL = ["config", "seed"]
@@ -284,3 +302,51 @@ def evaluate(
         truth.select(*keys, F.col(spec.target)), keys
     )
     return joined.withColumn("abs_error", abs_error(spec.target, "predicted_count")), models
+
+
+def forecast_files(
+    spark: SparkSession,
+    features: str,
+    labels: str,
+    test: str,
+    template: str,
+    output: str | None = None,
+    spec: PanelSpec = CLIMATE_PANEL,
+    settings: RunSettings | None = None,
+    vegetation: Sequence[str] = VEGETATION_SIGNALS,
+    single_file: bool = True,
+) -> ForecastResult:
+    """``forecast`` from the four CSV files of the weekly climate panel, with the published settings."""
+    wide, narrow = climate_schema(spec, vegetation), label_schema(spec)
+    return forecast(
+        read_features(spark, features, wide, spec.time),
+        read_labels(spark, labels, narrow),
+        read_features(spark, test, wide, spec.time, positions=True),
+        read_template(spark, template, narrow),
+        spec,
+        settings or historical_settings(),
+        output,
+        single_file,
+    )
+
+
+def evaluate_files(
+    spark: SparkSession,
+    features: str,
+    labels: str,
+    reference: str,
+    spec: PanelSpec = CLIMATE_PANEL,
+    settings: RunSettings | None = None,
+    vegetation: Sequence[str] = VEGETATION_SIGNALS,
+    horizon: int = HORIZON_ROWS,
+) -> float:
+    """Mean absolute error over the held-out last rows of one series."""
+    scored, _ = evaluate(
+        read_features(spark, features, climate_schema(spec, vegetation), spec.time),
+        read_labels(spark, labels, label_schema(spec)),
+        spec,
+        settings or historical_settings(),
+        reference,
+        horizon,
+    )
+    return scored.agg(F.avg("abs_error")).first()[0]

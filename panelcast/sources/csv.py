@@ -40,39 +40,25 @@ def label_schema(spec: PanelSpec = CLIMATE_PANEL) -> T.StructType:
     )
 
 
-def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return (
+def _read(spark: SparkSession, path: str, schema: T.StructType, positions: bool = False) -> DataFrame:
+    rows = (
         spark.read.schema(schema)
         .option("header", True)
         .option("enforceSchema", False)
         .option("mode", "FAILFAST")
         .csv(path)
     )
+    return _positioned(rows) if positions else rows
 
 
-def parse_date(df: DataFrame, column: str) -> DataFrame:
-    return df.withColumn(column, F.to_date(column))
-
-
-def read_features(spark: SparkSession, path: str, schema: T.StructType, time: str) -> DataFrame:
-    """Feature rows; NaN becomes NULL so that aggregates skip it."""
-    return parse_date(floating_nan_to_null(_read(spark, path, schema)), time)
-
-
-def read_labels(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return _read(spark, path, schema)
-
-
-def read_template(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Rows with ``pos``, their 0-based place in the file (files in name order).
+def _positioned(rows: DataFrame) -> DataFrame:
+    """Add ``pos``, the 0-based place of a row in its file (files in name order).
 
     Every file split numbers its own rows and a table with one row per split supplies the starting
     points, so the file may be large and is never gathered in one task.
     """
-    placed = (
-        _read(spark, path, schema)
-        .select("*", "_metadata.file_path", "_metadata.file_block_start")
-        .withColumn("_id", F.monotonically_increasing_id())
+    placed = rows.select("*", "_metadata.file_path", "_metadata.file_block_start").withColumn(
+        "_id", F.monotonically_increasing_id()
     )
     split = ["file_path", "file_block_start"]
     sizes = placed.groupBy(*split).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows"))
@@ -81,7 +67,27 @@ def read_template(spark: SparkSession, path: str, schema: T.StructType) -> DataF
     starts = sizes.select(
         *split, (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift")
     )
-    return placed.join(starts, split).withColumn(POS, F.col("_id") + F.col("_shift")).select(*schema.names, POS)
+    return placed.join(starts, split).withColumn(POS, F.col("_id") + F.col("_shift")).select(*rows.columns, POS)
+
+
+def parse_date(df: DataFrame, column: str) -> DataFrame:
+    return df.withColumn(column, F.to_date(column))
+
+
+def read_features(
+    spark: SparkSession, path: str, schema: T.StructType, time: str, positions: bool = False
+) -> DataFrame:
+    """Feature rows; NaN becomes NULL so that aggregates skip it. ``positions`` adds the file order."""
+    return parse_date(floating_nan_to_null(_read(spark, path, schema, positions)), time)
+
+
+def read_labels(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return _read(spark, path, schema)
+
+
+def read_template(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Rows with their place in the file, which is the order the output must have."""
+    return _read(spark, path, schema, positions=True)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 from conftest import SIGNALS, make_panel, to_spark
 from panelcast.operators.contracts import ContractError, check_output_schema
 from panelcast.operators.mlp import fit_network, loss_gradients, new_layers, predict, score_mlp, train_grouped_mlp, training_history
-from panelcast.plans.forecast import city_features, evaluate, forecast, prepare
+from panelcast.plans.forecast import city_features, evaluate, evaluate_files, forecast, forecast_files, prepare
 from panelcast.sources.csv import label_schema, read_back
 from panelcast.spec import (
     CLIMATE_PANEL,
     CLIMATE_SIGNALS,
     RAW_LAG_ROWS_IQ,
     RAW_LAG_ROWS_SJ,
+    VEGETATION_SIGNALS,
     EntityPlan,
     MlpConfig,
     PanelSpec,
@@ -244,3 +245,36 @@ def test_published_vector_widths(spark):
     assert {tuple(r) for r in sizes} == {
         ("sj", "train", 180, 120), ("sj", "test", 180, 30), ("iq", "train", 380, 110), ("iq", "test", 380, 30)
     }
+
+
+def test_runs_from_csv_files(spark, tmp_path):
+    pdf = make_panel({"sj": 170, "iq": 150}, signals=CLIMATE_SIGNALS, missing=0.03)
+    for c in VEGETATION_SIGNALS:
+        pdf[c] = np.nan
+    cut = pdf.groupby("city").cumcount() >= pdf.groupby("city")["city"].transform("size") - 20
+    # A gap at the start of a test file or hold-out cannot be filled and is refused: start both with values.
+    starts = pdf.groupby("city").cumcount(ascending=False).isin([19, 49])
+    pdf.loc[starts, list(CLIMATE_SIGNALS)] = pdf.loc[starts, list(CLIMATE_SIGNALS)].fillna(1.0)
+    keys = list(CLIMATE_PANEL.keys)
+    columns = [*keys, "week_start_date", *VEGETATION_SIGNALS, *CLIMATE_SIGNALS]
+    path = lambda name: str(tmp_path / name)
+    pdf[~cut][columns].to_csv(path("features.csv"), index=False)
+    pdf[cut][columns].to_csv(path("test.csv"), index=False)
+    pdf[~cut][[*keys, "total_cases"]].to_csv(path("labels.csv"), index=False)
+    pdf[cut][keys].assign(total_cases=0).to_csv(path("template.csv"), index=False)
+    quick = {name: dataclasses.replace(c, epochs=1, steps=5) for name, c in historical_settings().configs.items()}
+    settings = dataclasses.replace(historical_settings(), configs=quick)
+    result = forecast_files(
+        spark, path("features.csv"), path("labels.csv"), path("test.csv"), path("template.csv"), path("out"),
+        settings=settings,
+    )
+    assert {r["city"]: r["rows"] for r in result.summary.collect()} == {"sj": 20, "iq": 20}
+    written = next((tmp_path / "out").glob("part-*.csv")).read_text().splitlines()
+    wanted = [",".join(map(str, k)) for k in pdf[cut][keys].itertuples(index=False)]
+    assert [line.rsplit(",", 1)[0] for line in written[1:]] == wanted
+    assert evaluate_files(spark, path("features.csv"), path("labels.csv"), "sj", settings=settings, horizon=30) > 0
+    pdf[cut][columns].iloc[::-1].to_csv(path("test.csv"), index=False)
+    with pytest.raises(ContractError):
+        forecast_files(
+            spark, path("features.csv"), path("labels.csv"), path("test.csv"), path("template.csv"), settings=settings
+        )
