@@ -86,9 +86,9 @@ def apply_params(
         joined = df.join(params, list(by))
         param = F.col
     else:
-        joined = df
-        row = params.agg(F.first(F.struct("*")).alias("params")).scalar()
-        param = lambda name: row[name]
+        # One column for the whole row: every reference to the subquery itself would plan it again.
+        joined = df.withColumn("_params", params.agg(F.first(F.struct("*")).alias("params")).scalar())
+        param = lambda name: F.col("_params")[name]
     scaled = {c + suffix: zscore(c, param(f"{c}_mean"), param(f"{c}_std")) for c in columns}
     scaled |= {c + suffix: minmax(c, param(f"{c}_low"), param(f"{c}_high")) for c in minmax_columns}
     kept = [F.col(c) for c in df.columns if c not in scaled]
