@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; a temporary one only in local mode with none configured."""
+    """The shared checkpoint folder; below the warehouse where the session names none.
+
+    Both are folders that a cluster points at storage all its machines reach.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir():
         return context.getCheckpointDir()
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        configured = tempfile.mkdtemp(prefix="panelcast-checkpoint-")
+        configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     context.setCheckpointDir(configured)
     return context.getCheckpointDir()
 
