@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from panelcast.llm import mph
 from panelcast.llm.common import SPACES, arrow_rows, free_names, pieces, saved, small_batches, text_bytes
 
-BUCKET_BYTES = 16_000_000
+BUCKET_BYTES = 4_000_000
 SHARD_BYTES = 64_000_000
 NO_DOC = -(2**63)
 
