@@ -16,9 +16,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import null_safe_join, pieces
+from panelcast.llm.common import SPACES, WORD, free_names, null_safe_join, pieces, saved
 
 GOLDEN = 0.6180339887498949
+SPACE = r"[\x20\x09-\x0D]"
 SLOT_CHUNK = 65_536
 ROW_CHUNK = 65_536
 ELEMENT = ["entity", "pos", "size", "copy"]
@@ -173,3 +174,43 @@ def mix_entities(
         (F.col("_from") - F.col("_first")).alias("start"), (F.col("_upto") - F.col("_first")).alias("stop"),
     )
     return mixed, targets
+
+
+def word_count(text: str | Column) -> Column:
+    """Words between ASCII white space; null has none."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def first_words(text: Column, count: Column) -> Column:
+    """``text`` up to the end of its ``count``-th word."""
+    rest = F.element_at(F.split(F.concat(F.lit(" "), text), SPACE + "+", (count + 2).cast("int")), -1)
+    return F.rtrim(F.substring(text, F.lit(1), F.char_length(text) - F.char_length(rest)), F.lit(SPACES))
+
+
+def mix_texts(
+    df: DataFrame, entity: str = "source", order: str = "doc_id", text: str = "text", slots_per_part: int = 4096, **settings
+) -> DataFrame:
+    """The rows of ``df`` that a mix of its words takes, as often as it takes them, in mix order within parts.
+
+    Each reading of a row is one row; the one that an entity's target cuts holds its first words only. Rows
+    the mix does not reach, and rows without words, are left out. Further ``settings`` are those of `mix_entities`.
+    """
+    marks = ["_mix_entity", "_mix_pos", "_mix_size", "_mix_copy"]
+    free = free_names(df, marks, [entity, order, text])
+    sizes = saved(df.select(F.col(f"`{entity}`").alias("entity"), F.col(f"`{order}`").alias("pos"), word_count(F.col(f"`{text}`")).alias("size")), "sizes")
+    mixed, _ = mix_entities(sizes, **settings)
+    readings = mixed.groupBy(*ELEMENT, "pass_no").agg(
+        F.min("slot").alias("_mix_slot"), F.sum(F.col("stop") - F.col("start")).alias("_mix_words")
+    ).drop("pass_no").toDF(*marks, "_mix_slot", "_mix_words")
+    same = Window.partitionBy(*marks[:3]).orderBy(F.xxhash64(F.col(f"`{text}`")))
+    numbered = free.withColumns({
+        marks[0]: F.col(f"`{entity}`"), marks[1]: F.col(f"`{order}`"), marks[2]: word_count(F.col(f"`{text}`"))
+    }).withColumn(marks[3], F.row_number().over(same) - 1)
+    body = F.col(f"`{text}`")
+    read = null_safe_join(numbered, readings, marks, "inner").withColumn(
+        text, F.when(F.col("_mix_words") < F.col("_mix_size"), first_words(body, F.col("_mix_words"))).otherwise(body)
+    )
+    parts = F.floor(F.col("_mix_slot") / slots_per_part)
+    return read.withColumn("_mix_part", parts).repartition("_mix_part").sortWithinPartitions("_mix_part", "_mix_slot").drop(
+        *marks, "_mix_slot", "_mix_words", "_mix_part"
+    )

@@ -105,7 +105,7 @@ SELECT doc_id, size::BIGINT AS size, total::BIGINT AS source_size, target FROM d
 def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = common.saved(_table(spark, sf_dir, "documents").select(
         F.col("source").alias("entity"), F.col("doc_id").alias("pos"),
-        F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("long").alias("size"),
+        mix.word_count("text").alias("size"),
     ), "sizes")
     mixed, targets = mix.mix_entities(rows)
     taken = mixed.groupBy(*mix.ELEMENT).agg(F.sum(F.col("stop") - F.col("start")).alias("taken"))

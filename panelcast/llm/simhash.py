@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import saved, small_batches, text_bytes
+from panelcast.llm.common import free_names, null_safe_join, saved, small_batches, text_bytes
 
 BITS = 64
 SHINGLE = 4
@@ -52,19 +52,23 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(df: DataFrame, doc: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc, fingerprint): 64 bits as a long; null and empty texts have fingerprint zero."""
+def fingerprints(
+    df: DataFrame, doc: str = "doc_id", text: str = "text", shingle: int = SHINGLE, same: str | None = None
+) -> DataFrame:
+    """(doc, fingerprint, same): 64 bits as a long, and a long column carried along (null without a name).
+    Null and empty texts have fingerprint zero."""
 
     def run(batches):
         for batch in small_batches(batches):
             found = np.array([fingerprint(t, shingle) for t in text_bytes(batch.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(found.view(np.int64))], names=["doc", "fingerprint"]
+                [batch.column(0), pa.array(found.view(np.int64)), batch.column(2)], names=["doc", "fingerprint", "same"]
             )
 
-    return df.select(F.col(f"`{doc}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text")).mapInArrow(
-        run, "doc long, fingerprint long"
-    )
+    carried = F.col(f"`{same}`") if same else F.lit(None).cast("long")
+    return df.select(
+        F.col(f"`{doc}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"), carried.alias("same")
+    ).mapInArrow(run, "doc long, fingerprint long, same long")
 
 
 class BkTree:
@@ -222,6 +226,17 @@ def components(edges: DataFrame) -> DataFrame:
         )
 
 
+def _labelled(rows: DataFrame, radius: int) -> DataFrame:
+    """Add ``label``, the same within a component, and ``component_id`` to rows (doc, fingerprint)."""
+    nodes = saved(rows.groupBy("fingerprint").agg(F.min("doc").alias("first")), "nodes")
+    labels = components(links(nodes.select("fingerprint"), radius))
+    placed = nodes.join(labels, nodes["fingerprint"] == labels["node"], "left").select(
+        "fingerprint", "first", F.coalesce("label", "fingerprint").alias("label")
+    )
+    smallest = placed.groupBy("label").agg(F.min("first").alias("component_id"))
+    return rows.join(placed.join(smallest, "label").drop("first"), "fingerprint")
+
+
 def near_duplicates(
     df: DataFrame, doc: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS
 ) -> DataFrame:
@@ -236,13 +251,26 @@ def near_duplicates(
     come; other columns are ignored; an empty table stays empty.
     """
     rows = saved(fingerprints(df, doc, text, shingle), "fingerprints")
-    nodes = saved(rows.groupBy("fingerprint").agg(F.min("doc").alias("first")), "nodes")
-    labels = components(links(nodes.select("fingerprint"), radius))
-    placed = nodes.join(labels, nodes["fingerprint"] == labels["node"], "left").select(
-        "fingerprint", "first", F.coalesce("label", "fingerprint").alias("label")
-    )
-    smallest = placed.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = placed.join(smallest, "label").select("fingerprint", "component_id")
-    return rows.join(named, "fingerprint").select(
+    return _labelled(rows, radius).select(
         "doc", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def drop_near_duplicates(
+    df: DataFrame, doc: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS
+) -> DataFrame:
+    """One row of ``df`` per component of `near_duplicates`: that of its smallest document.
+
+    If that document comes in several rows of the component, one of them stays. A component without a
+    document id keeps one row.
+    """
+    marks = ["_near_doc", "_near_text"]
+    keyed = free_names(df, marks, [doc, text]).withColumns({
+        marks[0]: F.col(f"`{doc}`").cast("long"), marks[1]: F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    })
+    rows = saved(fingerprints(keyed, doc, text, shingle, marks[1]), "fingerprints")
+    chosen = (
+        _labelled(rows, radius).where(F.col("doc").eqNullSafe(F.col("component_id")))
+        .groupBy("label").agg(F.min(F.struct("doc", "same")).alias("_kept")).select("_kept.*").toDF(*marks)
+    )
+    return null_safe_join(keyed, saved(chosen, "kept"), marks, "left_semi").dropDuplicates(marks).drop(*marks)
