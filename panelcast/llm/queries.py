@@ -48,7 +48,21 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_query("op2_warc_bundles")
+@_query("op2_warc_bundles", """
+WITH p AS (
+  SELECT page_id, STRLEN(COALESCE(html, ''))::BIGINT AS payload_bytes, SHA1(COALESCE(html, '')) AS digest,
+         MAX(page_id) OVER (PARTITION BY COALESCE(html, '')) AS top
+  FROM pages
+), five AS (
+  SELECT page_id, g, ('0x' || SUBSTR(digest, 5 * g + 1, 5))::BIGINT AS v FROM p, RANGE(8) AS r(g)
+), letters AS (
+  SELECT page_id, STRING_AGG(SUBSTR('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> (15 - 5 * k)) & 31)::INT + 1, 1), '' ORDER BY g, k) AS payload_digest
+  FROM five, RANGE(4) AS q(k) GROUP BY page_id
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN top = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN top <> page_id THEN top END AS refers_to
+FROM p JOIN letters USING (page_id)
+""")
 def warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{checkpoint_dir(spark)}/bundles-{uuid.uuid4().hex}"
     warc.write_bundles(_table(spark, sf_dir, "pages"), folder, min_bytes=0)
@@ -82,26 +96,7 @@ def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_query("op6_source_mix", """
-WITH d AS (
-  SELECT doc_id, source, COALESCE(LEN(REGEXP_EXTRACT_ALL(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size FROM documents
-), s AS (
-  SELECT source, SUM(size)::DOUBLE AS total,
-         CASE (ROW_NUMBER() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END AS w
-  FROM d GROUP BY source
-), f AS (
-  SELECT source, total, w, 2 * total AS most, 1.5 * SUM(total) OVER () AS goal,
-         COALESCE(SUM(2 * total) OVER (ORDER BY 2 * total / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
-         SUM(w) OVER (ORDER BY 2 * total / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open
-  FROM s
-), g AS (SELECT *, most * open <= (goal - before) * w AS fullup FROM f),
-t AS (
-  SELECT source, total, CASE WHEN fullup THEN most
-    ELSE w * (goal - COALESCE(SUM(CASE WHEN fullup THEN most END) OVER (), 0)) / SUM(CASE WHEN NOT fullup THEN w END) OVER () END AS target
-  FROM g
-)
-SELECT doc_id, size::BIGINT AS size, total::BIGINT AS source_size, target FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
-""")
+@_query("op6_source_mix")
 def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = common.saved(_table(spark, sf_dir, "documents").select(
         F.col("source").alias("entity"), F.col("doc_id").alias("pos"),
@@ -119,7 +114,7 @@ def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op7_line_dedup", """
 WITH l AS (
   SELECT doc_id, UNNEST(STRING_SPLIT(COALESCE(text, ''), CHR(10))) AS line,
-         UNNEST(RANGE(LEN(STRING_SPLIT(COALESCE(text, ''), CHR(10))))) AS at FROM documents
+         UNNEST(RANGE(LEN(STRING_SPLIT(COALESCE(text, ''), CHR(10))))) AS nth FROM documents
 ), k AS (
   SELECT *, TRANSLATE(REGEXP_REPLACE(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
@@ -127,7 +122,7 @@ WITH l AS (
   SELECT key, MAX(doc_id) AS keeper FROM k WHERE LENGTH(key) >= 20 GROUP BY key HAVING COUNT(DISTINCT doc_id) >= 3
 )
 SELECT doc_id, COUNT(*)::BIGINT AS n_lines, COUNT(*) FILTER (keeper <> doc_id)::BIGINT AS n_dropped,
-       SHA256(COALESCE(STRING_AGG(line, CHR(10) ORDER BY at) FILTER (keeper IS NULL OR keeper = doc_id), '')) AS kept_sha256
+       SHA256(COALESCE(STRING_AGG(line, CHR(10) ORDER BY nth) FILTER (keeper IS NULL OR keeper = doc_id), '')) AS kept_sha256
 FROM k LEFT JOIN r USING (key) GROUP BY doc_id
 """)
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,13 +132,71 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_query("op8_quality_rules")
+@_query("op8_quality_rules", """
+WITH d AS (SELECT doc_id, source, COALESCE(text, '') AS text FROM documents),
+w AS (
+  SELECT doc_id, UNNEST(ws) AS word, UNNEST(RANGE(LEN(ws))) AS nth
+  FROM (SELECT doc_id, REGEXP_EXTRACT_ALL(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM d)
+), n AS (SELECT doc_id, COUNT(*) AS n_words, SUM(LENGTH(word)) AS word_chars FROM w GROUP BY doc_id),
+windows AS (
+  SELECT doc_id, nth, LEAD(word, 4) OVER o AS fifth,
+         CONCAT_WS(' ', word, LEAD(word, 1) OVER o, LEAD(word, 2) OVER o, LEAD(word, 3) OVER o, LEAD(word, 4) OVER o) AS five
+  FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY nth)
+), twice AS (
+  SELECT doc_id, nth, COUNT(*) OVER (PARTITION BY doc_id, five) AS times FROM windows WHERE fifth IS NOT NULL
+), repeated AS (
+  SELECT doc_id, COUNT(DISTINCT nth + k) AS n_repeat_words FROM twice, RANGE(5) AS r(k) WHERE times > 1 GROUP BY doc_id
+), l AS (
+  SELECT doc_id, source, text, UNNEST(ls) AS line, UNNEST(RANGE(LEN(ls))) AS nth
+  FROM (SELECT doc_id, source, text, STRING_SPLIT(text, CHR(10)) AS ls FROM d)
+), worded AS (
+  SELECT *, REGEXP_EXTRACT_ALL(line, '[^\\x20\\x09-\\x0D]+') AS ws FROM l WHERE REGEXP_MATCHES(line, '[^\\x20\\x09-\\x0D]')
+), dup AS (SELECT doc_id, COUNT(*) - COUNT(DISTINCT line) AS n_dup_lines FROM worded GROUP BY doc_id),
+keyed AS (
+  SELECT doc_id, source, text, TRANSLATE(ARRAY_TO_STRING(ws, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key,
+         LEN(ws) AS words FROM worded
+), held AS (SELECT source, key, COUNT(DISTINCT text) AS docs, MIN(doc_id) AS first FROM keyed GROUP BY ALL),
+hosts AS (SELECT source, COUNT(DISTINCT text) AS host_docs FROM d GROUP BY source),
+common AS (
+  SELECT held.* FROM held JOIN hosts ON held.source IS NOT DISTINCT FROM hosts.source WHERE docs > 100 AND docs > 0.05 * host_docs
+), removed AS (
+  SELECT k.doc_id, SUM(k.words) AS gone FROM keyed k JOIN common c ON k.key = c.key AND k.source IS NOT DISTINCT FROM c.source
+  WHERE k.doc_id > c.first GROUP BY k.doc_id
+), m AS (
+  SELECT d.doc_id, COALESCE(n_words, 0)::BIGINT AS n_words, COALESCE(word_chars, 0)::BIGINT AS word_chars,
+         LENGTH(REGEXP_REPLACE(d.text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+         COALESCE(n_dup_lines, 0)::BIGINT AS n_dup_lines, COALESCE(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+         COALESCE(gone, 0)::BIGINT AS gone
+  FROM d LEFT JOIN n USING (doc_id) LEFT JOIN repeated USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN removed USING (doc_id)
+), b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND (gone = 0 OR (n_words - gone >= 10 AND n_words - gone >= 0.3 * n_words)) AS kept FROM b
+""")
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge_documents(_table(spark, sf_dir, "documents"))
     return judged.select(F.col("doc").alias("doc_id"), *quality.MEASURES, "base_failed", "kept")
 
 
-@_query("op9_chat_format")
+@_query("op9_chat_format", """
+WITH t AS (
+  SELECT conv_id, turn, role, COALESCE(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), marked AS (
+  SELECT *, CASE role WHEN 'system' THEN CHR(10) || '<</SYS>>' || CHR(10) WHEN 'user' THEN ' [/INST]' WHEN 'assistant' THEN '</s>'
+           ELSE ' [/ROLE]' END AS closing,
+         CASE role WHEN 'system' THEN 8 + 10 WHEN 'user' THEN 10 + 8 WHEN 'assistant' THEN 6 + 4 ELSE 7 + LENGTH(role) + 8 + 8 END AS marks
+  FROM t
+), sized AS (
+  SELECT *, marks + LENGTH(text) + CASE WHEN CONTAINS(text, closing) THEN
+    LEN(REGEXP_EXTRACT_ALL(text, '<<SYS>>|<</SYS>>|<s>|</s>|\\[/?INST\\]|\\[OUT\\]|\\[/?ROLE\\]|\\[TEXT\\]')) ELSE 0 END AS chars
+  FROM marked
+)
+SELECT conv_id, COUNT(*)::BIGINT AS n_turns, SHA256(STRING_AGG(role || CHR(10) || text || CHR(10), '' ORDER BY turn)) AS turns_sha256,
+       COALESCE(SUM(LENGTH(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       SHA256(STRING_AGG(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn)) AS loss_sha256,
+       SUM(chars)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+""")
 def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     planted = spark.range(2).select(
