@@ -23,9 +23,9 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import arrow_rows, null_safe_join, pieces, small_batches
+from panelcast.llm.common import arrow_rows, null_safe_join, pieces, saved, small_batches
 
-BUNDLE_BYTES = 64_000_000
+BUNDLE_BYTES = 32_000_000
 FRAME_BYTES = 256_000
 DATE = "2000-01-01T00:00:00Z"
 
@@ -182,7 +182,8 @@ def write_bundles(
     the response and the others revisit it; exact repeats of a row count as others. Null payloads are
     empty, null keys come before all others and are left out of the header; other columns are ignored. An
     empty table gives no bundles and an empty index. A payload that a third of all rows share costs one row
-    of the table of responses. A bundle is written as it streams by and appears only when it is whole.
+    of the table of responses, which is written first: Spark broadcasts it if its files are small, and
+    otherwise sorts and merges. A bundle is written as it streams by and appears only when it is whole.
     """
     spark, folder = df.sparkSession, _folder(folder)
     body = F.coalesce(F.col(f"`{payload}`").cast("binary"), F.lit(b""))
@@ -191,12 +192,13 @@ def write_bundles(
     ).withColumns({"same": F.unhex(F.sha2("body", 256)), "size": F.octet_length("body").cast("long")})
     total = rows.agg(F.sum("size")).first()[0] or 0
     bundles = pieces(total, bundle_bytes)
-    repeated = (
+    repeated = saved(
         rows.where(F.col("size") >= min_bytes)
         .groupBy("same")
         .agg(F.max(F.struct("key", "uri")).alias("top"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
-        .drop("n")
+        .drop("n"),
+        "responses",
     )
     decided = (
         null_safe_join(rows, repeated, ["same"])
