@@ -21,10 +21,10 @@ def outbreak_threshold(train: DataFrame, by: Sequence[str], target: str, q: floa
 
 
 def outbreak_mae(df: DataFrame, thresholds: DataFrame, by: Sequence[str], y: str, prediction: str) -> DataFrame:
-    """Error over the rows above their group's threshold (null when there are none)."""
+    """Error over the rows above their group's threshold (null when there are none, or no threshold)."""
     high = F.col(y) > F.col("threshold")
     return (
-        df.join(thresholds, list(by))
+        df.join(thresholds, list(by), "left")
         .groupBy(*by)
         .agg(
             F.avg(F.when(high, abs_error(y, prediction))).alias("outbreak_mae"),
@@ -37,11 +37,14 @@ def fold_summary(
     df: DataFrame, thresholds: DataFrame, entity: str, model: str, y: str, prediction: str,
     runs: Sequence[str] = ("fold", "seed"), threshold_by: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Mean, worst and outbreak error per (entity, model) over all fold and seed runs."""
+    """Mean, worst and outbreak error per (entity, model) over all fold and seed runs.
+
+    Runs without a threshold count in the first two and leave the outbreak error to the others.
+    """
     threshold_by = list(threshold_by or [entity, runs[0]])
     error = abs_error(y, prediction)
     per_run = (
-        df.join(thresholds, threshold_by)
+        df.join(thresholds, threshold_by, "left")
         .groupBy(entity, model, *runs)
         .agg(F.avg(error).alias("_mae"), F.avg(F.when(F.col(y) > F.col("threshold"), error)).alias("_high"))
     )
@@ -54,15 +57,16 @@ def fold_summary(
 
 
 def baseline_mean(train: DataFrame, validate: DataFrame, by: Sequence[str], target: str) -> DataFrame:
-    """Predict each group's training mean."""
+    """Predict each group's training mean; null for a group without training rows."""
     means = train.groupBy(*by).agg(F.avg(target).alias("prediction"))
-    return validate.join(means, list(by))
+    return validate.join(means, list(by), "left")
 
 
 def baseline_climatology(
     train: DataFrame, validate: DataFrame, by: Sequence[str], week: str, target: str, statistic: str = "median"
 ) -> DataFrame:
-    """Predict the training median (or mean) of the same calendar week; group mean where it is unseen."""
+    """Predict the training median (or mean) of the same calendar week; group mean where it is unseen, null
+    for a group without training rows."""
     if statistic == "median":
         weekly = exact_quantiles(train, [*by, week], target, {"_weekly": 0.5})
     elif statistic == "mean":
@@ -71,7 +75,7 @@ def baseline_climatology(
         raise ValueError(f"unknown statistic {statistic!r}")
     overall = train.groupBy(*by).agg(F.avg(target).alias("_overall"))
     return (
-        validate.join(overall, list(by))
+        validate.join(overall, list(by), "left")
         .join(weekly, [*by, week], "left")
         .withColumn("prediction", F.coalesce("_weekly", "_overall"))
         .drop("_weekly", "_overall")
@@ -136,8 +140,11 @@ def top_residuals(
 
 
 def forecast_comparison(df: DataFrame, keys: Sequence[str], model: str, models: Sequence[str], prediction: str = "prediction") -> DataFrame:
-    """One row per key with one prediction column per model."""
-    return df.groupBy(*keys).pivot(model, list(models)).agg(F.first(prediction))
+    """One row per key with one prediction column per model; a second prediction for a key raises."""
+    single = F.when(
+        F.count(F.lit(1)) > 1, F.raise_error(F.lit(f"several predictions of one model for a key {list(keys)}")).cast("double")
+    ).otherwise(F.first(prediction))
+    return df.groupBy(*keys).pivot(model, list(models)).agg(single)
 
 
 def amplitude_check(df: DataFrame, entity: str, model: str, fold: str, y: str, prediction: str) -> DataFrame:

@@ -1,9 +1,7 @@
 """Grouped neural networks: one model per (entity, fold, seed, config) group, trained by Spark tasks.
 
-The scale axis is the number of groups. A solver run visits epochs x steps x batch rows in shuffled
-order (``row_budget``). A group with more rows than that never finishes one pass, so its task receives
-exactly as many rows, drawn uniformly: the others could not be visited. Everything measured on all rows
-(training error, validation error, predictions) is computed by distributed scoring for such groups.
+The scale axis is the number of groups; the rows of one group meet in one task, which
+``MlpConfig.max_rows`` bounds. Errors are measured over all rows by distributed scoring, for every size.
 """
 
 from __future__ import annotations
@@ -12,7 +10,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,9 +27,7 @@ RATE_FLOOR = 1e-6
 SCORE_ROWS = 16384
 
 LAYERS_TYPE = "array<struct<weights:array<double>,bias:array<double>>>"
-HISTORY_TYPE = (
-    "array<struct<epoch:int,train_mae_dropout:double,lr:double,train_mae:double,val_mae:double>>"
-)
+HISTORY_TYPE = "array<struct<epoch:int,train_mae_dropout:double,lr:double>>"
 
 Layers = list[tuple[np.ndarray, np.ndarray]]
 
@@ -99,50 +95,46 @@ def _batches(count: int, size: int, reshuffle: bool, rng: np.random.Generator) -
 
 
 class _RmsProp:
-    """Scales each gradient by a running mean of its square and applies it in place."""
+    """RMSprop: v = rho v + (1 - rho) g^2; w = w - lr g / (sqrt(v) + epsilon), with g clipped by element."""
 
     def __init__(self, layers: Layers):
-        self.memory = [np.zeros_like(value) for layer in layers for value in layer]
+        self.v = [np.zeros_like(w) for layer in layers for w in layer]
 
-    def apply(self, layers: Layers, gradients: Layers, rate: float) -> None:
-        values = (value for layer in layers for value in layer)
-        slopes = (slope for layer in gradients for slope in layer)
-        for value, memory, slope in zip(values, self.memory, slopes, strict=True):
-            bounded = slope.clip(-GRADIENT_LIMIT, GRADIENT_LIMIT)
-            memory += (1.0 - RMS_DECAY) * (bounded * bounded - memory)
-            value -= rate * bounded / (np.sqrt(memory) + RMS_EPSILON)
+    def apply(self, layers: Layers, gradients: Layers, lr: float) -> None:
+        weights = (w for layer in layers for w in layer)
+        slopes = (g for layer in gradients for g in layer)
+        for w, g, v in zip(weights, slopes, self.v, strict=True):
+            g = np.clip(g, -GRADIENT_LIMIT, GRADIENT_LIMIT)
+            v *= RMS_DECAY
+            v += (1.0 - RMS_DECAY) * g * g
+            w -= lr * g / (np.sqrt(v) + RMS_EPSILON)
 
 
-class _PlateauRate:
-    """Learning rate that drops after ``patience`` epochs in a row without a new lowest loss."""
+class _ReduceOnPlateau:
+    """Reduce the learning rate on a plateau: lr = max(factor lr, min_lr) once ``patience`` epochs in a row
+    have not improved on the best loss."""
 
-    def __init__(self, rate: float, patience: int):
-        self.rate, self.patience = rate, patience
-        self.lowest, self.waited = np.inf, 0
+    def __init__(self, lr: float, patience: int):
+        self.lr, self.patience = lr, patience
+        self.best, self.wait = np.inf, 0
 
     def observe(self, loss: float) -> None:
-        if loss < self.lowest:
-            self.lowest, self.waited = loss, 0
+        if loss < self.best:
+            self.best, self.wait = loss, 0
             return
-        self.waited += 1
-        if self.waited == self.patience:
-            self.rate, self.waited = max(RATE_FLOOR, RATE_DECAY * self.rate), 0
-
-
-def fit_network(
-    x: np.ndarray,
-    y: np.ndarray,
-    config: MlpConfig,
-    seed: int,
-    validation: tuple[np.ndarray, np.ndarray] | None = None,
-    measure: bool = True,
-    after_epoch=None,
-) -> tuple[Layers, list[dict]]:
-    """Train one network. ``measure`` records the error on all of ``x`` after every epoch;
-    ``after_epoch`` is called with the layers."""
+        self.wait += 1
+        if self.wait >= self.patience:
+            self.lr, self.wait = max(RATE_FLOOR, RATE_DECAY * self.lr), 0
+
+
+def fit_network(x: np.ndarray, y: np.ndarray, config: MlpConfig, seed: int, after_epoch=None) -> tuple[Layers, list[dict]]:
+    """Train one network: its layers and (epoch, train_mae_dropout, lr) of every epoch.
+
+    ``after_epoch`` is called with the layers.
+    """
     rng = np.random.default_rng(seed)
     layers = new_layers([x.shape[1], *config.hidden, 1], rng)
-    solver, schedule = _RmsProp(layers), _PlateauRate(config.learning_rate, config.patience)
+    solver, schedule = _RmsProp(layers), _ReduceOnPlateau(config.learning_rate, config.patience)
     batches = _batches(len(x), config.batch, config.reshuffle, rng)
     dropouts = list(zip(config.hidden, (1.0 - d for d in config.dropout), strict=True))
 
@@ -150,19 +142,13 @@ def fit_network(
         rows = next(batches)
         masks = [(rng.random((len(rows), width)) < keep) / keep for width, keep in dropouts]
         loss, gradients = loss_gradients(layers, x[rows], y[rows], masks)
-        solver.apply(layers, gradients, schedule.rate)
+        solver.apply(layers, gradients, schedule.lr)
         return loss
 
     history = []
     for epoch in range(1, config.epochs + 1):
         loss = float(np.mean([step() for _ in range(config.steps)]))
-        history.append({
-            "epoch": epoch,
-            "train_mae_dropout": loss,
-            "lr": schedule.rate,
-            "train_mae": float(np.abs(predict(layers, x) - y).mean()) if measure else None,
-            "val_mae": float(_count_errors(layers, *validation).mean()) if validation else None,
-        })
+        history.append({"epoch": epoch, "train_mae_dropout": loss, "lr": schedule.lr})
         if after_epoch:
             after_epoch(layers)
         schedule.observe(loss)
@@ -190,19 +176,19 @@ def _matrix(features: pd.Series) -> np.ndarray:
 # --- Spark jobs -------------------------------------------------------------------------------------
 
 
-def solver_rows(rows: DataFrame, by: Sequence[str], configs: dict[str, MlpConfig], order: str) -> DataFrame:
-    """The rows each group's solver can reach, plus one more where the group has more of them.
-
-    ``_draw`` ranks the rows by a hash of group and position, so a draw does not depend on
-    partitioning. Spark applies the limit inside each task before rows are shuffled.
-    """
-    budget = F.element_at(
-        F.create_map(*[F.lit(v) for name, c in configs.items() for v in (name, c.row_budget)]), F.col("config")
-    )
-    most = max(c.row_budget for c in configs.values())
-    draw = Window.partitionBy(*by).orderBy(F.xxhash64(*by, order), order)
-    ranked = rows.withColumn("_draw", F.row_number().over(draw))
-    return ranked.where(F.col("_draw") <= most + 1).where(F.col("_draw") <= budget + 1)
+def check_group_sizes(train: DataFrame, by: Sequence[str], limits: dict[str, int | None], runs=None) -> None:
+    """Raise for a group with more rows than the ``max_rows`` of its config. Counts keys only."""
+    sizes = train.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"))
+    if runs:
+        bounds = [limits[config] for config, _ in runs if limits[config] is not None]
+        most = F.lit(min(bounds)) if bounds else F.lit(None)
+    else:
+        pairs = [F.lit(v) for name, limit in limits.items() for v in (name, limit)]
+        most = F.element_at(F.create_map(*pairs), F.col("config"))
+    large = sizes.where(F.col("rows") > most.cast("long")).first()
+    if large is not None:
+        group = large.asDict()
+        raise ValueError(f"group {group} has more rows than MlpConfig.max_rows; raise it or train on fewer series")
 
 
 def train_grouped_mlp(
@@ -211,26 +197,29 @@ def train_grouped_mlp(
     configs: dict[str, MlpConfig],
     order: str = "pos",
     target: str = "y",
+    runs: Sequence[tuple[str, int]] | None = None,
     snapshots: bool = False,
 ) -> DataFrame:
-    """One row per group: its ``layers``, training ``history``, row count and input width.
-
-    ``by`` must contain ``config`` and ``seed`` (an integer column). An optional ``role`` marks rows as
-    ``train`` or ``validate``; validation rows only feed ``val_mae``. Rows are put in ``order`` before
-    training, so a group's result depends on its rows, config and seed alone. A group above its row
-    budget has null errors in its history; ``snapshots`` keeps the layers of every epoch, from which
-    ``training_history`` measures them over all rows. Use ``save_point`` on a result read repeatedly.
+    """One row per group and run: its ``layers``, ``history`` (epoch, train_mae_dropout, lr), row count and
+    input width.
+
+    A run is a config and a seed. Either ``by`` contains ``config`` and ``seed`` columns, or ``runs``
+    lists what every group is trained with; then a group's rows are sent once, whatever the number of
+    runs. Rows are put in ``order`` before training, so a result depends on rows, config and seed alone.
+    Of examples with a ``role``, only those with ``train`` take part. A group that exceeds its config's
+    ``max_rows`` raises. ``snapshots`` keeps the layers of every epoch, from which `training_history`
+    measures errors. Use ``save_point`` on a result read repeatedly.
     """
     by = list(by)
-    if not {"config", "seed"} <= set(by):
-        raise ValueError("group columns must include 'config' and 'seed'")
-    columns = [*by, order, F.col(target).cast("double").alias("_y"), "features"]
-    has_roles = "role" in examples.columns
-    train = examples.where(F.col("role") == "train") if has_roles else examples
-    train = solver_rows(train.select(*columns), by, configs, order)
-    types = {f.name: f.dataType for f in train.schema.fields}
+    if (runs is None) != ({"config", "seed"} <= set(by)):
+        raise ValueError("give config and seed either as group columns or as runs")
+    train = examples.where(F.col("role") == "train") if "role" in examples.columns else examples
+    train = train.select(*by, order, F.col(target).cast("double").alias("_y"), "features")
+    check_group_sizes(train, by, {name: c.max_rows for name, c in configs.items()}, runs)
+    added = [] if runs is None else [T.StructField("config", T.StringType()), T.StructField("seed", T.LongType())]
     schema = T.StructType(
-        [T.StructField(c, types[c]) for c in by]
+        [f for f in train.schema.fields if f.name in by]
+        + added
         + [
             T.StructField("width", T.IntegerType()),
             T.StructField("train_rows", T.LongType()),
@@ -239,41 +228,29 @@ def train_grouped_mlp(
             T.StructField("snapshots", T._parse_datatype_string(f"array<{LAYERS_TYPE}>")),
         ]
     )
+    keys = [f.name for f in train.schema.fields if f.name in by]
 
-    def reached(pdf: pd.DataFrame, budget: int) -> tuple[np.ndarray, np.ndarray, bool]:
-        whole = len(pdf) <= budget
-        pdf = pdf[pdf["_draw"] <= budget].sort_values(order, kind="stable")
-        return _matrix(pdf["features"]), pdf["_y"].to_numpy(np.float64), whole
-
-    def fit(key: tuple, pdf: pd.DataFrame, held: pd.DataFrame | None = None) -> pd.DataFrame:
-        group = dict(zip(by, key, strict=True))
-        if pdf.empty:
-            raise ValueError(f"no training rows for {group}")
-        config = configs[group["config"]]
-        x, y, whole = reached(pdf, config.row_budget)
-        validation = None
-        if held is not None and 0 < len(held) <= config.row_budget:
-            validation = reached(held.rename(columns=lambda c: c.removeprefix("_held_")), config.row_budget)[:2]
-        kept: list = []
-        layers, history = fit_network(
-            x, y, config, int(group["seed"]), validation, whole,
-            (lambda now: kept.append(_pack(now))) if snapshots else None,
-        )
-        return pd.DataFrame([group]).assign(
-            width=x.shape[1], train_rows=len(x), layers=[_pack(layers)], history=[history], snapshots=[kept]
-        )
-
-    if not has_roles:
-        return train.groupBy(*by).applyInPandas(lambda key, pdf: fit(key, pdf), schema)
-    held = solver_rows(examples.where(F.col("role") == "validate").select(*columns), by, configs, order)
-    held = held.select(*[F.col(c).alias(f"_held_{c}") for c in held.columns])
-    return train.groupBy(*by).cogroup(held.groupBy(*[f"_held_{c}" for c in by])).applyInPandas(
-        lambda key, a, b: fit(key, a, b), schema
-    )
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        group = {k: pdf[k].iloc[0] for k in keys}
+        pdf = pdf.sort_values(order, kind="stable")
+        x, y = _matrix(pdf["features"]), pdf["_y"].to_numpy(np.float64)
+        out = []
+        for config, seed in runs or [(group["config"], group["seed"])]:
+            kept: list = []
+            layers, history = fit_network(
+                x, y, configs[config], int(seed), (lambda now: kept.append(_pack(now))) if snapshots else None  # noqa: B023
+            )
+            out.append({
+                **group, "config": config, "seed": int(seed), "width": x.shape[1], "train_rows": len(x),
+                "layers": _pack(layers), "history": history, "snapshots": kept,
+            })
+        return pd.DataFrame(out)[[f.name for f in schema.fields]]
+
+    return train.groupBy(*by).applyInPandas(fit, schema)
 
 
-def _meet(examples: DataFrame, models: DataFrame, by: Sequence[str], order: str, rows: int, weights: str):
-    """Cogroup blocks of ``rows`` positions with the model of their group.
+def _meet(examples: DataFrame, models: DataFrame, by: Sequence[str], order: str, rows: int, sent: Sequence[str]):
+    """Cogroup blocks of ``rows`` positions with the models of their group.
 
     A model is sent once to every block of its group: weights never travel with single rows, and a
     large group is spread over many tasks. ``examples`` are read twice, so save them beforehand.
@@ -282,26 +259,40 @@ def _meet(examples: DataFrame, models: DataFrame, by: Sequence[str], order: str,
     blocked = examples.withColumn("_score_block", F.floor(F.col(order) / rows))
     wanted = blocked.select(*keyed).distinct()
     # New names on the model side: both sides descend from the same examples.
-    placed = models.select(*by, "width", weights).join(wanted, list(by))
-    placed = placed.select("width", weights, *[F.col(c).alias(f"_model_{c}") for c in keyed])
+    placed = models.select(*by, "width", *sent).join(wanted, list(by))
+    placed = placed.select("width", *sent, *[F.col(c).alias(f"_model_{c}") for c in keyed])
     return blocked.groupBy(*keyed).cogroup(placed.groupBy(*[f"_model_{c}" for c in keyed]))
 
 
 def score_mlp(
-    examples: DataFrame, models: DataFrame, by: Sequence[str], order: str = "pos", rows: int = SCORE_ROWS
+    examples: DataFrame, models: DataFrame, by: Sequence[str], order: str = "pos", rows: int = SCORE_ROWS,
+    runs: Sequence[str] = (),
 ) -> DataFrame:
-    """Add ``prediction`` to every example whose group has a model; ``features`` is dropped."""
+    """Add ``prediction`` to every example; ``features`` is dropped.
+
+    ``runs`` names columns of ``models`` that tell several models of a group apart: every example then
+    comes once per model of its group, with these columns. An example whose group has no model keeps a
+    null prediction.
+    """
     kept = [f for f in examples.schema.fields if f.name != "features"]
-    schema = T.StructType([*kept, T.StructField("prediction", T.DoubleType())])
-    names = [f.name for f in kept]
+    told = [models.schema[c] for c in runs]
+    schema = T.StructType([*kept, *told, T.StructField("prediction", T.DoubleType())])
+    names, columns = [f.name for f in kept], [f.name for f in schema.fields]
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({f.name: [] for f in schema.fields})
-        layers = unpack(right["layers"].iloc[0], int(right["width"].iloc[0]))
-        return left[names].assign(prediction=predict(layers, _matrix(left["features"])))
+        if left.empty:
+            return pd.DataFrame({c: [] for c in columns})
+        if right.empty:
+            return left[names].assign(**{c: None for c in runs}, prediction=np.nan)[columns]
+        x = _matrix(left["features"])
+        parts = [
+            left[names].assign(**{c: m[c] for c in runs}, prediction=predict(unpack(m["layers"], int(m["width"])), x))
+            for m in right.to_dict("records")
+        ]
+        return pd.concat(parts, ignore_index=True)[columns]
 
-    return _meet(examples, models, by, order, rows, "layers").applyInPandas(score, schema)
+    scored = _meet(examples, models, by, order, rows, ["layers", *runs]).applyInPandas(score, schema)
+    return scored.withColumn("prediction", F.nanvl("prediction", F.lit(None).cast("double")))
 
 
 def epoch_errors(
@@ -311,17 +302,19 @@ def epoch_errors(
     order: str = "pos",
     target: str = "y",
     rows: int = SCORE_ROWS,
+    runs: Sequence[str] = (),
 ) -> DataFrame:
-    """(group, epoch, train_mae, val_mae) over all rows, from the snapshots of every epoch.
+    """(group, run, epoch, train_mae, val_mae) over all rows, from the snapshots of every epoch.
 
     Each block of rows returns error sums only. Validation errors are those of rounded counts.
     """
-    by = list(by)
+    by, runs = list(by), list(runs)
     if "role" not in examples.columns:
         examples = examples.withColumn("role", F.lit("train"))
     data = examples.select(*by, order, "role", F.col(target).cast("double").alias("_y"), "features")
     schema = T.StructType(
         [f for f in data.schema.fields if f.name in by]
+        + [models.schema[c] for c in runs]
         + [T.StructField(n, T._parse_datatype_string(t)) for n, t in
            (("role", "string"), ("epoch", "int"), ("total", "double"), ("rows", "long"))]
     )
@@ -330,30 +323,29 @@ def epoch_errors(
     def measure(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({n: [] for n in names})
-        key, width = left[by].iloc[0].to_dict(), int(right["width"].iloc[0])
-        out = []
+        key, out = left[by].iloc[0].to_dict(), []
         for role, part in left.groupby("role"):
             x, y = _matrix(part["features"]), part["_y"].to_numpy(np.float64)
-            for epoch, packed in enumerate(right["snapshots"].iloc[0], 1):
-                layers = unpack(packed, width)
-                errors = _count_errors(layers, x, y) if role == "validate" else np.abs(predict(layers, x) - y)
-                out.append({**key, "role": role, "epoch": epoch, "total": errors.sum(), "rows": len(y)})
+            for model in right.to_dict("records"):
+                for epoch, packed in enumerate(model["snapshots"], 1):
+                    layers = unpack(packed, int(model["width"]))
+                    errors = _count_errors(layers, x, y) if role == "validate" else np.abs(predict(layers, x) - y)
+                    own = {c: model[c] for c in runs}
+                    out.append({**key, **own, "role": role, "epoch": epoch, "total": errors.sum(), "rows": len(y)})
         return pd.DataFrame(out, columns=names)
 
-    sums = _meet(data, models, by, order, rows, "snapshots").applyInPandas(measure, schema)
+    sums = _meet(data, models, by, order, rows, ["snapshots", *runs]).applyInPandas(measure, schema)
     mean = lambda role: (
         F.sum(F.when(F.col("role") == role, F.col("total"))) / F.sum(F.when(F.col("role") == role, F.col("rows")))
     )
-    return sums.groupBy(*by, "epoch").agg(mean("train").alias("train_mae"), mean("validate").alias("val_mae"))
+    return sums.groupBy(*by, *runs, "epoch").agg(mean("train").alias("train_mae"), mean("validate").alias("val_mae"))
 
 
 def training_history(
-    models: DataFrame, by: Sequence[str], examples: DataFrame | None = None, order: str = "pos", target: str = "y"
+    models: DataFrame, by: Sequence[str], examples: DataFrame, order: str = "pos", target: str = "y",
+    runs: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per (group, epoch). With ``examples`` both errors are measured over all of them, which
-    needs models trained with ``snapshots``."""
-    recorded = models.select(*by, F.inline("history"))
-    if examples is None:
-        return recorded
-    measured = epoch_errors(examples, models, by, order, target)
-    return recorded.drop("train_mae", "val_mae").join(measured, [*by, "epoch"], "left")
+    """One row per (group, run, epoch): loss, learning rate, and both errors measured over all of
+    ``examples``. The models must keep ``snapshots``."""
+    recorded = models.select(*by, *runs, F.inline("history"))
+    return recorded.join(epoch_errors(examples, models, by, order, target, runs=runs), [*by, *runs, "epoch"], "left")

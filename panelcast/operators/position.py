@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,24 +37,38 @@ def row_position(df: DataFrame, by: Sequence[str], time: str, step: str, steps:
     """Add ``seq`` (0-based position in time order) and ``n`` (rows of the series).
 
     Counts per (series, time slot) give each slot its first position; rows are numbered inside their
-    slot. Neither step puts a whole series into one task.
+    slot. Neither step puts a whole series into one task. A null key or time and a time that occurs
+    twice in a series raise when positions are computed: both would make them wrong.
     """
-    slotted = df.withColumn("_slot", time_slot(df, time, step, steps))
-    counts = slotted.groupBy(*by, "_slot").agg(F.count(F.lit(1)).alias("_rows"))
-    series = Window.partitionBy(*by)
+    # A struct is never null: rows with a null key reach the check below instead of being lost in the join.
+    slotted = df.withColumns({
+        "_series": F.struct(*by), "_slot": F.coalesce(time_slot(df, time, step, steps), F.lit(0))
+    })
+    counts = slotted.groupBy("_series", "_slot").agg(F.count(F.lit(1)).alias("_rows"))
+    series = Window.partitionBy("_series")
     earlier = series.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        *by,
+        "_series",
         "_slot",
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"),
         F.sum("_rows").over(series).alias(LENGTH),
     )
-    inside = Window.partitionBy(*by, "_slot").orderBy(time)
+    inside = Window.partitionBy("_series", "_slot").orderBy(time)
+    missing = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in (*by, time)])
+    at = F.concat_ws(" ", *[F.col(c).cast("string") for c in (*by, time)])
+    number = (
+        F.when(missing, F.raise_error(F.concat(F.lit("null series key or time near: "), at)).cast("int"))
+        .when(
+            F.lag(time).over(inside) == F.col(time),
+            F.raise_error(F.concat(F.lit("time occurs twice in a series: "), at)).cast("int"),
+        )
+        .otherwise(F.row_number().over(inside))
+    )
     return (
-        slotted.withColumn("_row", F.row_number().over(inside))
-        .join(offsets, [*by, "_slot"])
+        slotted.withColumn("_row", number)
+        .join(offsets, ["_series", "_slot"])
         .withColumn(SEQ, F.col("_offset") + F.col("_row") - 1)
-        .drop("_slot", "_row", "_offset")
+        .drop("_series", "_slot", "_row", "_offset")
     )
 
 

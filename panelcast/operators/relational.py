@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelcast.functions.scalar import nan_to_null
-from panelcast.operators.contracts import assert_unique_keys
 from panelcast.operators.position import SEQ
 
 
@@ -47,10 +47,24 @@ def missing_predicate(columns: Sequence[str]) -> Column:
 
 
 def join_one_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join after checking that the keys are unique on both sides."""
-    assert_unique_keys(left, keys, "left side")
-    assert_unique_keys(right, keys, "right side")
-    return left.join(right, list(keys), how)
+    """Equi-join that raises on a key that is not unique on both sides.
+
+    Rows are numbered within their key on the shuffle that the join needs anyway, so each side is read
+    once. Null keys never match and are not compared.
+    """
+    keys = list(keys)
+
+    def numbered(df: DataFrame, side: str) -> DataFrame:
+        own = Window.partitionBy(*keys).orderBy(F.lit(0))
+        named = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+        message = F.concat_ws(" ", F.lit(f"{side} side: key is not unique:"), *[F.col(k).cast("string") for k in keys])
+        copy = F.row_number().over(own)
+        return df.withColumn(f"_{side}_copy", F.when(named & (copy > 1), F.raise_error(message).cast("int")).otherwise(F.lit(1)))
+
+    joined = numbered(left, "left").join(numbered(right, "right"), keys, how)
+    # Reads both marks, or they would be pruned with the check in them.
+    checked = joined.where(F.coalesce(F.col("_left_copy"), F.lit(1)) + F.coalesce(F.col("_right_copy"), F.lit(1)) > 0)
+    return checked.drop("_left_copy", "_right_copy")
 
 
 def attach_predictions(

@@ -79,15 +79,20 @@ def apply_params(
 ) -> DataFrame:
     """Scale ``columns`` by z-score and ``minmax_columns`` by range.
 
-    Shared parameters (no ``by``) are one row and enter as a scalar subquery; parameters per group
-    come in through an equi-join on the group columns.
+    Shared parameters (no ``by``) are one row, more raise, and enter as a scalar subquery; parameters per
+    group come in through an equi-join on the group columns. Rows of a group without parameters become null.
     """
     if by:
-        joined = df.join(params, list(by))
+        joined = df.join(params, list(by), "left")
         param = F.col
     else:
         # One column for the whole row: every reference to the subquery itself would plan it again.
-        joined = df.withColumn("_params", params.agg(F.first(F.struct("*")).alias("params")).scalar())
+        several = F.raise_error(F.lit("shared scaling parameters have several rows"))
+        whole = F.struct(*[F.col(c) for c in params.columns])
+        single = F.when(F.count(F.lit(1)) > 1, several.cast(params.select(whole.alias("p")).schema["p"].dataType)).otherwise(
+            F.first(whole)
+        )
+        joined = df.withColumn("_params", params.agg(single.alias("params")).scalar())
         param = lambda name: F.col("_params")[name]
     scaled = {c + suffix: zscore(c, param(f"{c}_mean"), param(f"{c}_std")) for c in columns}
     scaled |= {c + suffix: minmax(c, param(f"{c}_low"), param(f"{c}_high")) for c in minmax_columns}

@@ -26,6 +26,7 @@ from panelcast.operators.storage import save_point
 from panelcast.spec import HORIZON_ROWS, MlpConfig, PanelSpec
 
 SCALED_WEEK = "_week_scaled"
+GRID = ["fold", "representation"]
 
 
 def fold_panel(panel: DataFrame, spec: PanelSpec, folds: int, horizon: int = HORIZON_ROWS) -> DataFrame:
@@ -66,26 +67,19 @@ def fold_examples(
     return stacked
 
 
-def grid(examples: DataFrame, configs: Sequence[str], seeds: Sequence[int]) -> DataFrame:
-    """Copy every example into each (config, seed) group."""
-    cells = F.array(
-        *[F.struct(F.lit(c).alias("config"), F.lit(s).cast("long").alias("seed")) for c in configs for s in seeds]
-    )
-    return examples.select("*", F.inline(cells))
-
-
 def run_grid(
-    examples: DataFrame, spec: PanelSpec, configs: Mapping[str, MlpConfig], seeds: Sequence[int]
+    examples: DataFrame, spec: PanelSpec, configs: Mapping[str, MlpConfig], seeds: Sequence[int], snapshots: bool = False
 ) -> tuple[DataFrame, DataFrame]:
-    """Train every group and score its validation rows: (models, predictions).
+    """Train every config and seed on every (entity, fold, representation) and score its validation rows:
+    (models, predictions). Rows are sent once per group, not once per config and seed.
 
     ``examples`` are read several times, so save them beforehand.
     """
-    check_finite_features(examples, [spec.entity, "fold", "role", "representation", "pos"])
-    by = [spec.entity, "fold", "representation", "config", "seed"]
-    cells = grid(examples, list(configs), seeds)
-    models = save_point(train_grouped_mlp(cells, by, dict(configs)))
-    return models, score_mlp(cells.where("role = 'validate'"), models, by)
+    check_finite_features(examples, [spec.entity, *GRID, "role", "pos"])
+    by = [spec.entity, *GRID]
+    runs = [(c, s) for c in configs for s in seeds]
+    models = save_point(train_grouped_mlp(examples, by, dict(configs), runs=runs, snapshots=snapshots))
+    return models, score_mlp(examples.where("role = 'validate'"), models, by, runs=["config", "seed"])
 
 
 def summarise_grid(

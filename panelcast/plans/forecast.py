@@ -30,7 +30,7 @@ from panelcast.operators.history import (
     raw_lag_features,
     raw_plus_summaries,
 )
-from panelcast.operators.mlp import score_mlp, train_grouped_mlp
+from panelcast.operators.mlp import score_mlp, train_grouped_mlp, training_history
 from panelcast.operators.position import LENGTH, SEQ, concat_fold, holdout_split, row_position
 from panelcast.operators.relational import attach_predictions, drop_columns, join_one_to_one
 from panelcast.operators.scale import apply_params, fit_scaling
@@ -53,6 +53,7 @@ from panelcast.spec import (
     PanelSpec,
     RunSettings,
     historical_settings,
+    holdout_settings,
 )
 
 SPLIT = "split"
@@ -69,6 +70,16 @@ class ForecastResult:
     summary: DataFrame
 
 
+@dataclass(frozen=True)
+class Evaluation:
+    """A hold-out run: its rows with predictions and errors, the models, and the errors of every epoch
+    over all training and all held-out rows."""
+
+    rows: DataFrame
+    models: DataFrame
+    history: DataFrame
+
+
 def prepare(df: DataFrame, spec: PanelSpec, settings: RunSettings) -> DataFrame:
     """Position, fill and check one split."""
     placed = save_point(row_position(df, [spec.entity], spec.time, spec.step))
@@ -178,6 +189,15 @@ def build_examples(
     raise ValueError(f"unknown representation {representation!r}")
 
 
+def expected_examples(context: DataFrame, spec: PanelSpec, settings: RunSettings) -> int:
+    """How many examples a context must give: one per row of a split, less the first rows of a series that
+    has nothing in front of its training split."""
+    per_series = context.groupBy(spec.entity, SPLIT).agg(F.max(EXAMPLES).alias("n"), F.min(FIRST).alias("first"))
+    without = F.greatest(F.lit(0), F.lit(HISTORY_ROWS - 1) - F.col("first")) if settings.lead_in == "none" else F.lit(0)
+    given = F.when(F.col(SPLIT) == "train", F.greatest(F.col("n") - without, F.lit(0))).otherwise(F.col("n"))
+    return int(per_series.agg(F.sum(given)).first()[0] or 0)
+
+
 def city_features(train: DataFrame, test: DataFrame, spec: PanelSpec, settings: RunSettings) -> DataFrame:
     """Examples of both splits for all modelled entities.
 
@@ -189,21 +209,23 @@ def city_features(train: DataFrame, test: DataFrame, spec: PanelSpec, settings:
     )
     stacked = None
     for plan, applies in representation_groups(spec, settings):
-        examples = save_point(build_examples(context.where(applies), spec, settings, plan))
-        check_feature_shape(examples, plan.width(spec))
+        own = context.where(applies)
+        examples = save_point(build_examples(own, spec, settings, plan))
+        check_feature_shape(examples, plan.width(spec), expected_examples(own, spec, settings))
         stacked = examples if stacked is None else stacked.unionByName(examples)
     return stacked
 
 
+def training_rows(examples: DataFrame) -> DataFrame:
+    return examples.where((F.col(SPLIT) == "train") & F.col("y").isNotNull()).withColumn("role", F.lit("train"))
+
+
 def predict_entities(
-    examples: DataFrame, spec: PanelSpec, settings: RunSettings, validation: DataFrame | None = None
+    examples: DataFrame, spec: PanelSpec, settings: RunSettings, snapshots: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """Train every entity's model and score all examples: (models, scored examples)."""
     by = [spec.entity, *MODEL]
-    train = examples.where((F.col(SPLIT) == "train") & F.col("y").isNotNull()).withColumn("role", F.lit("train"))
-    if validation is not None:
-        train = train.unionByName(validation.withColumn("role", F.lit("validate")), allowMissingColumns=True)
-    models = save_point(train_grouped_mlp(train, by, settings.configs, order=POS))
+    models = save_point(train_grouped_mlp(training_rows(examples), by, settings.configs, order=POS, snapshots=snapshots))
     return models, score_mlp(examples, models, by, order=POS)
 
 
@@ -236,7 +258,6 @@ def forecast(
     spec: PanelSpec,
     settings: RunSettings,
     output: str | None = None,
-    single_file: bool = False,
 ) -> ForecastResult:
     """Train on the labelled panel, predict the template rows and, with ``output``, write them.
 
@@ -257,7 +278,7 @@ def forecast(
     check_submission(template, submission, keys, spec.target)
     check_counts(submission, spec.target, template.count())
     if output:
-        write_submission(submission, output, [*keys, spec.target], single_file)
+        write_submission(submission, output, [*keys, spec.target])
     errors = mae(scored.where((F.col(SPLIT) == "train") & F.col("y").isNotNull()), "y", "prediction", [spec.entity]).select(
         spec.entity, F.col("mae").alias("train_mae")
     )
@@ -272,18 +293,18 @@ def evaluate(
     settings: RunSettings,
     reference: str,
     horizon: int = HORIZON_ROWS,
-) -> tuple[DataFrame, DataFrame]:
+) -> Evaluation:
     """Hold out the last ``horizon`` rows of ``reference`` and predict them.
 
     Filling, scaling and training see the rows before the cut (plus, for frame-wide filling, the
-    proportional part of the other series). Returns (scored hold-out rows, models).
+    proportional part of the other series).
     """
     keys = spec.join_keys
     plan = settings.entities.get(reference, settings.default)
     if plan is None:
         raise ValueError(f"no plan for {reference!r}")
     settings = replace(settings, entities={reference: plan}, default=None)
-    raw = row_position(join_one_to_one(features, labels, keys), [spec.entity], spec.time, spec.step)
+    raw = save_point(row_position(join_one_to_one(features, labels, keys), [spec.entity], spec.time, spec.step))
     fold_rows = concat_fold(raw, spec.entity, reference, horizon).drop(SEQ, LENGTH)
     held = holdout_split(raw.where(F.col(spec.entity) == reference), horizon)[1].drop(SEQ, LENGTH)
     train = prepare(fold_rows, spec, settings)
@@ -296,12 +317,15 @@ def evaluate(
         spec.entity, (F.col(SEQ) + settings.lead_rows - offset).alias(POS), F.col(spec.target).cast("double").alias("y")
     )
     tests = examples.where(F.col(SPLIT) == "test").drop("y").join(labelled, [spec.entity, POS])
-    models, scored = predict_entities(examples, spec, settings, validation=tests)
+    models, scored = predict_entities(examples, spec, settings, snapshots=True)
+    measured = training_rows(examples).unionByName(tests.withColumn("role", F.lit("validate")), allowMissingColumns=True)
+    history = training_history(models, [spec.entity, *MODEL], save_point(measured), order=POS)
     result = attach_test(scored, future, spec, settings)
     joined = result.withColumnRenamed(spec.target, "predicted_count").join(
         truth.select(*keys, F.col(spec.target)), keys
     )
-    return joined.withColumn("abs_error", abs_error(spec.target, "predicted_count")), models
+    rows = joined.withColumn("abs_error", abs_error(spec.target, "predicted_count"))
+    return Evaluation(rows, models, history)
 
 
 def forecast_files(
@@ -314,7 +338,6 @@ def forecast_files(
     spec: PanelSpec = CLIMATE_PANEL,
     settings: RunSettings | None = None,
     vegetation: Sequence[str] = VEGETATION_SIGNALS,
-    single_file: bool = True,
 ) -> ForecastResult:
     """``forecast`` from the four CSV files of the weekly climate panel, with the published settings."""
     wide, narrow = climate_schema(spec, vegetation), label_schema(spec)
@@ -326,7 +349,6 @@ def forecast_files(
         spec,
         settings or historical_settings(),
         output,
-        single_file,
     )
 
 
@@ -339,14 +361,15 @@ def evaluate_files(
     settings: RunSettings | None = None,
     vegetation: Sequence[str] = VEGETATION_SIGNALS,
     horizon: int = HORIZON_ROWS,
-) -> float:
-    """Mean absolute error over the held-out last rows of one series."""
-    scored, _ = evaluate(
+) -> tuple[float, DataFrame]:
+    """Mean absolute error over the held-out last rows of one series, and the errors of every epoch; by
+    default the published hold-out run."""
+    result = evaluate(
         read_features(spark, features, climate_schema(spec, vegetation), spec.time),
         read_labels(spark, labels, label_schema(spec)),
         spec,
-        settings or historical_settings(),
+        settings or holdout_settings(),
         reference,
         horizon,
     )
-    return scored.agg(F.avg("abs_error")).first()[0]
+    return result.rows.agg(F.avg("abs_error")).first()[0], result.history

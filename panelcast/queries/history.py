@@ -386,18 +386,15 @@ def _place_sql(lengths: dict[str, int], t: str, order: str, keys: str) -> str:
     return " UNION ALL ".join(parts)
 
 
-RAW_LAGS = {"qty": 33, "price": 10, "discount": 4, "tax": 41, "week": 3}
-
-
 @query(
     "raw_lag_features",
     FLAG_SQL + CIRCULAR_SQL.format(t="flag_week")
     + f" SELECT entity, pos, place, {sql6('CAST(CAST(v AS FLOAT) AS DOUBLE)', 'v')} FROM ("
-    + _place_sql(RAW_LAGS, "circular", "pos", "a.entity, a.pos") + ")",
+    + _place_sql(FLAG_LAGS, "circular", "pos", "a.entity, a.pos") + ")",
 )
 def raw_lag_features(spark, d):
     rows = H.lead_in_circular(flag_week(spark, d), 53, 2)
-    vectors = H.raw_lag_features(rows, E, RAW_LAGS, keep=["entity", "pos"])
+    vectors = H.raw_lag_features(rows, E, FLAG_LAGS, keep=["entity", "pos"])
     long = vectors.select("entity", "pos", F.posexplode("features").alias("place", "v"))
     return long.select("entity", "pos", (F.col("place") + 1).cast("long").alias("place"), r6(F.col("v").cast("double")).alias("v"))
 
@@ -407,16 +404,16 @@ def raw_lag_features(spark, d):
     FLAG_SQL + CIRCULAR_SQL.format(t="flag_week")
     + f", wide AS (SELECT entity, pos, n, {multiscale_sql(order='pos')} FROM circular), "
     "ok AS (SELECT * FROM wide WHERE pos >= 51 AND pos < n + 51), "
-    "lagsum AS (SELECT entity, pos, SUM(v) AS lags FROM (" + _place_sql(RAW_LAGS, "circular", "pos", "a.entity, a.pos")
+    "lagsum AS (SELECT entity, pos, SUM(v) AS lags FROM (" + _place_sql(FLAG_LAGS, "circular", "pos", "a.entity, a.pos")
     + ") GROUP BY 1, 2), both_parts AS (SELECT ok.*, lags FROM ok JOIN lagsum USING (entity, pos)) "
-    f"SELECT entity, pos, CAST({sum(RAW_LAGS.values()) + len(NAMES)} AS BIGINT) AS width, "
+    f"SELECT entity, pos, CAST({sum(FLAG_LAGS.values()) + len(NAMES)} AS BIGINT) AS width, "
     "ROUND(lags, 2) + 0.0 AS lags, ROUND(" + " + ".join(NAMES) + ", 2) + 0.0 AS summaries FROM both_parts",
 )
 def raw_plus_summaries(spark, d):
     """Width of the joint vector and the sums of its two halves."""
     rows = H.lead_in_circular(flag_week(spark, d), 53, 2)
-    vectors = H.raw_plus_summaries(rows, E, SIGNALS, "week", RAW_LAGS, keep=["entity", "pos"])
-    raw = sum(RAW_LAGS.values())
+    vectors = H.raw_plus_summaries(rows, E, SIGNALS, "week", FLAG_LAGS, keep=["entity", "pos"])
+    raw = sum(FLAG_LAGS.values())
     total = lambda part: F.aggregate(part, F.lit(0.0), lambda a, x: a + x.cast("double"))
     return vectors.select(
         "entity", "pos", F.size("features").cast("long").alias("width"),
@@ -427,7 +424,7 @@ def raw_plus_summaries(spark, d):
 
 FLAG_SETTINGS = RunSettings(
     default=EntityPlan("multiscale", "m", "nearest"),
-    configs={"m": MlpConfig(hidden=(16, 8), dropout=(0.1, 0.1), epochs=2, steps=20)},
+    configs={"m": MlpConfig()},
     scale_entity="N",
     scale_tail=53,
     lead_in="circular",

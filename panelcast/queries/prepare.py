@@ -109,22 +109,22 @@ written AS (SELECT entity, year, week, target,
          RANK() OVER (ORDER BY back, entity) - 1 AS pos FROM submission)"""
 
 
-def _written(spark, d, single: bool) -> DataFrame:
+def _written(spark, d) -> DataFrame:
     """Template order: latest week of every entity first."""
     scratch, path = scratch_path(spark, "order"), scratch_path(spark, "submission")
     io.write_csv(_submission(spark, d).orderBy("back", "entity").select(*KEYS, "target"), scratch)
-    io.write_submission(io.read_template(spark, scratch, LABEL_FILE), path, [*KEYS, "target"], single)
+    io.write_submission(io.read_template(spark, scratch, LABEL_FILE), path, [*KEYS, "target"])
     return io.read_back(spark, path, LABEL_FILE)
 
 
 @query("write_submission", f"{SUBMISSION_SQL} SELECT entity, year, week, target FROM written")
 def write_submission(spark, d):
-    return _written(spark, d, single=False).drop("pos")
+    return _written(spark, d).drop("pos")
 
 
 @query("read_back", f"{SUBMISSION_SQL} SELECT entity, year, week, target, pos FROM written")
 def read_back(spark, d):
-    return _written(spark, d, single=True)
+    return _written(spark, d)
 
 
 # --- projections and predicates ---------------------------------------------------------------------

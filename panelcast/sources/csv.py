@@ -12,7 +12,6 @@ from panelcast.operators.relational import floating_nan_to_null
 from panelcast.spec import CLIMATE_PANEL, VEGETATION_SIGNALS, PanelSpec
 
 POS = "pos"
-MAX_SINGLE_FILE_ROWS = 5_000_000
 
 
 def climate_schema(
@@ -94,15 +93,9 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("error").option("header", True).csv(path)
 
 
-def write_submission(df: DataFrame, path: str, columns: Sequence[str], single_file: bool = False) -> None:
-    """Write ``columns`` in ``pos`` order: part files in order, or one file for a checked, small result."""
-    if single_file:
-        if df.limit(MAX_SINGLE_FILE_ROWS + 1).count() > MAX_SINGLE_FILE_ROWS:
-            raise ValueError(f"more than {MAX_SINGLE_FILE_ROWS} rows: write ordered part files instead")
-        ordered = df.repartition(1).sortWithinPartitions(POS)
-    else:
-        ordered = df.orderBy(POS)
-    write_csv(ordered.select(*columns), path)
+def write_submission(df: DataFrame, path: str, columns: Sequence[str]) -> None:
+    """Write ``columns`` in ``pos`` order, as part files whose names follow the order."""
+    write_csv(df.orderBy(POS).select(*columns), path)
 
 
 def read_back(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

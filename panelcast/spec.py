@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 STEP_SECONDS = {"hour": 3600, "day": 86400, "week": 7 * 86400}
 
@@ -30,7 +30,11 @@ class PanelSpec:
 
 @dataclass(frozen=True)
 class MlpConfig:
-    """Network and solver settings of one model family."""
+    """Network and solver settings of one model family; the defaults are fixed values of the published run.
+
+    One fit runs in one task and holds all rows of its group there. ``max_rows`` bounds that: a larger
+    group raises with its key and size. Set it to what a task's memory allows, or to None for no bound.
+    """
 
     hidden: tuple[int, ...] = (100, 25)
     dropout: tuple[float, ...] = (0.3, 0.7)
@@ -40,11 +44,7 @@ class MlpConfig:
     batch: int = 16
     patience: int = 3
     reshuffle: bool = True
-
-    @property
-    def row_budget(self) -> int:
-        """Rows the solver can visit in total: no run reads more examples than this."""
-        return self.epochs * self.steps * self.batch
+    max_rows: int | None = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -99,9 +99,26 @@ CLIMATE_SIGNALS = (
 )
 VEGETATION_SIGNALS = ("ndvi_ne", "ndvi_nw", "ndvi_se", "ndvi_sw")
 
-# Contiguous history length per signal, in CLIMATE_SIGNALS order, then week of year.
-RAW_LAG_ROWS_IQ = (33, 10, 4, 6, 41, 40, 3, 7, 33, 26, 34, 40, 26, 39, 25, 10, 3)
-RAW_LAG_ROWS_SJ = (40, 16, 15, 39, 12, 21, 30, 34, 40, 14, 21, 41, 40, 37, 26, 32, 3)
+# Contiguous history length per signal and series, in vector order.
+RAW_LAG_ROWS = {
+    "precipitation_amt_mm": {"sj": 40, "iq": 33},
+    "reanalysis_air_temp_k": {"sj": 16, "iq": 10},
+    "reanalysis_avg_temp_k": {"sj": 15, "iq": 4},
+    "reanalysis_dew_point_temp_k": {"sj": 39, "iq": 6},
+    "reanalysis_max_air_temp_k": {"sj": 12, "iq": 41},
+    "reanalysis_min_air_temp_k": {"sj": 21, "iq": 40},
+    "reanalysis_precip_amt_kg_per_m2": {"sj": 30, "iq": 3},
+    "reanalysis_relative_humidity_percent": {"sj": 34, "iq": 7},
+    "reanalysis_sat_precip_amt_mm": {"sj": 40, "iq": 33},
+    "reanalysis_specific_humidity_g_per_kg": {"sj": 14, "iq": 26},
+    "reanalysis_tdtr_k": {"sj": 21, "iq": 34},
+    "station_avg_temp_c": {"sj": 41, "iq": 40},
+    "station_diur_temp_rng_c": {"sj": 40, "iq": 26},
+    "station_max_temp_c": {"sj": 37, "iq": 39},
+    "station_min_temp_c": {"sj": 26, "iq": 25},
+    "station_precip_mm": {"sj": 32, "iq": 10},
+    "weekofyear": {"sj": 3, "iq": 3},
+}
 
 CLIMATE_PANEL = PanelSpec(
     entity="city",
@@ -114,12 +131,9 @@ CLIMATE_PANEL = PanelSpec(
 )
 
 
-def raw_lag_table(lengths: tuple[int, ...], spec: PanelSpec = CLIMATE_PANEL) -> dict[str, int]:
-    """Signal -> history length, in vector order; the week column comes last."""
-    names = [*spec.signals, spec.week]
-    if len(names) != len(lengths):
-        raise ValueError(f"{len(lengths)} lengths for {len(names)} series")
-    return dict(zip(names, lengths, strict=True))
+def raw_lag_table(series: str) -> dict[str, int]:
+    """Signal -> history length of one published series, in vector order."""
+    return {signal: rows[series] for signal, rows in RAW_LAG_ROWS.items()}
 
 
 @dataclass(frozen=True)
@@ -151,7 +165,10 @@ class RunSettings:
 
 
 def historical_settings() -> RunSettings:
-    """The published two-city run: shared scaling, frame-wide fill, circular lead-in, two-row offset."""
+    """The published two-city run: shared scaling, frame-wide fill, circular lead-in, two-row offset.
+
+    Network shapes, rates and patience are fixed values.
+    """
     return RunSettings(
         configs={
             "sj": MlpConfig(),
@@ -161,7 +178,7 @@ def historical_settings() -> RunSettings:
         },
         entities={
             "sj": EntityPlan("multiscale", "sj", "nearest"),
-            "iq": EntityPlan("raw_lags", "iq", "truncate", lags=raw_lag_table(RAW_LAG_ROWS_IQ)),
+            "iq": EntityPlan("raw_lags", "iq", "truncate", lags=raw_lag_table("iq")),
         },
         fill_scope="frame",
         scale_entity="sj",
@@ -169,3 +186,14 @@ def historical_settings() -> RunSettings:
         lead_in="circular",
         test_offset=2,
     )
+
+
+# Epochs and steps of the published hold-out run.
+HOLDOUT_EPOCHS, HOLDOUT_STEPS = 28, 120
+
+
+def holdout_settings() -> RunSettings:
+    """The published hold-out evaluation: `historical_settings` trained for 28 epochs of 120 steps."""
+    run = historical_settings()
+    shorter = {name: replace(c, epochs=HOLDOUT_EPOCHS, steps=HOLDOUT_STEPS) for name, c in run.configs.items()}
+    return replace(run, configs=shorter)

@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelcast.operators import contracts as C
+from panelcast.operators.position import row_position
+from panelcast.operators.scale import apply_params
 from panelcast.operators.relational import diff_tables, drop_columns, join_one_to_one
 from panelcast.sources.csv import label_schema, read_features, read_labels, read_template, write_submission
 from panelcast.spec import CLIMATE_PANEL
@@ -18,8 +20,47 @@ def test_duplicate_keys_raise(table):
     C.check_one_to_one(table, ["k", "w"])
     with pytest.raises(C.ContractError):
         C.check_one_to_one(table, ["k"])
-    with pytest.raises(C.ContractError):
-        join_one_to_one(table, table.unionByName(table), ["k", "w"])
+    for left, right in ((table, table.unionByName(table)), (table.unionByName(table), table)):
+        for how in ("inner", "left"):
+            joined = join_one_to_one(left.withColumnRenamed("v", "x"), right.drop("pos"), ["k", "w"], how)
+            with pytest.raises(Exception, match="key is not unique"):
+                joined.count()
+    once = join_one_to_one(table.withColumnRenamed("v", "x"), table.where("w = 1").drop("pos"), ["k", "w"], "left")
+    assert once.count() == 3 and once.columns == ["k", "w", "x", "pos", "v"]
+
+
+def test_one_to_one_join_reads_each_side_once(spark, tmp_path):
+    rows = [("a", i, float(i)) for i in range(20)]
+    for name, column in (("left", "x"), ("right", "y")):
+        spark.createDataFrame(rows, f"k string, w long, {column} double").write.parquet(str(tmp_path / name))
+    left, right = (spark.read.parquet(str(tmp_path / n)) for n in ("left", "right"))
+    joined = join_one_to_one(left, right, ["k", "w"])
+    joined.write.format("noop").mode("overwrite").save()
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == 20 and plan.count("FileScan parquet") == 2
+
+
+@pytest.mark.parametrize(
+    "bad, message",
+    [((None, 5), "null series key or time"), (("a", None), "null series key or time"), (("a", 3), "occurs twice")],
+)
+def test_positions_need_unique_keys(spark, bad, message):
+    rows = [(e, i) for e in ("a", "b") for i in range(9)]
+    day = "make_date(2001, 1, d + 1) as time"
+    good = spark.createDataFrame(rows, "e string, d int").selectExpr("e", day)
+    assert row_position(good, ["e"], "time", "day").agg(F.max("seq")).first()[0] == 8
+    df = spark.createDataFrame([*rows, bad], "e string, d int").selectExpr("e", day)
+    with pytest.raises(Exception, match=message):
+        row_position(df, ["e"], "time", "day").collect()
+
+
+def test_shared_parameters_are_one_row(spark):
+    df = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "e string, x double")
+    params = spark.createDataFrame([(0.0, 1.0), (1.0, 2.0)], "x_mean double, x_std double")
+    with pytest.raises(Exception, match="several rows"):
+        apply_params(df, params, ["x"]).collect()
+    own = params.limit(1).withColumn("e", F.lit("a"))
+    assert {r["e"]: r["x"] for r in apply_params(df, own, ["x"], by=["e"]).collect()} == {"a": 1.0, "b": None}
 
 
 def test_row_order(table):

@@ -8,20 +8,19 @@ from pyspark.sql import functions as F
 
 from conftest import SIGNALS, make_panel, to_spark
 from panelcast.operators.contracts import ContractError, check_output_schema
-from panelcast.operators.mlp import fit_network, loss_gradients, new_layers, predict, score_mlp, train_grouped_mlp, training_history
+from panelcast.operators.mlp import fit_network, loss_gradients, new_layers, predict, score_mlp, train_grouped_mlp, training_history, unpack
 from panelcast.plans.forecast import city_features, evaluate, evaluate_files, forecast, forecast_files, prepare
 from panelcast.sources.csv import label_schema, read_back
 from panelcast.spec import (
     CLIMATE_PANEL,
     CLIMATE_SIGNALS,
-    RAW_LAG_ROWS_IQ,
-    RAW_LAG_ROWS_SJ,
     VEGETATION_SIGNALS,
     EntityPlan,
     MlpConfig,
     PanelSpec,
     RunSettings,
     historical_settings,
+    holdout_settings,
     raw_lag_table,
 )
 
@@ -58,16 +57,18 @@ def tables(spark):
 
 
 def test_fixed_tables():
-    assert sum(RAW_LAG_ROWS_IQ) == 380 and sum(RAW_LAG_ROWS_SJ) == 461
-    assert raw_lag_table(RAW_LAG_ROWS_IQ)["weekofyear"] == 3
+    assert sum(raw_lag_table("iq").values()) == 380 and sum(raw_lag_table("sj").values()) == 461
+    assert list(raw_lag_table("sj")) == [*CLIMATE_SIGNALS, "weekofyear"]
     assert historical_settings().lead_rows == 53
+    assert all((c.epochs, c.steps, c.batch) == (28, 120, 16) for c in holdout_settings().configs.values())
+    assert all((c.epochs, c.steps, c.batch) == (40, 200, 16) for c in historical_settings().configs.values())
 
 
 @pytest.mark.parametrize("settings", [SETTINGS, HISTORICAL], ids=["default", "historical"])
 def test_forecast_end_to_end(spark, tables, settings, tmp_path):
     out = str(tmp_path / "submission")
     result = forecast(
-        tables["features"], tables["labels"], tables["test"], tables["template"], SPEC, settings, out, single_file=True
+        tables["features"], tables["labels"], tables["test"], tables["template"], SPEC, settings, out
     )
     columns = [*SPEC.keys, "total_cases"]
     back = read_back(spark, out, label_schema(SPEC))
@@ -126,21 +127,20 @@ def test_historical_alignment_matches_numpy(spark, tables):
 
 
 def test_evaluate_holds_out_the_last_rows(tables):
-    scored, models = evaluate(tables["features"], tables["labels"], SPEC, HISTORICAL, "sj")
-    rows = scored.toPandas()
+    run = evaluate(tables["features"], tables["labels"], SPEC, HISTORICAL, "sj")
+    rows = run.rows.toPandas()
     assert len(rows) == 52 and rows["abs_error"].notna().all()
     labels = tables["labels"].where("city = 'sj'").toPandas()
     assert rows["total_cases"].sum() == labels.sort_values(["year", "weekofyear"])["total_cases"].tail(52).sum()
-    history = models.select(F.inline("history")).orderBy("epoch").toPandas()
-    assert len(history) == 3
+    history = run.history.orderBy("epoch").toPandas()
+    assert len(history) == 3 and history["train_mae"].notna().all()
     assert history["val_mae"].iloc[-1] == pytest.approx(rows["abs_error"].mean())
 
 
 def test_offsets_beyond_the_context_lengthen_it(tables):
     settings = dataclasses.replace(SETTINGS, train_offset=5, test_offset=5)
     assert settings.lead_rows == 56
-    scored, _ = evaluate(tables["features"], tables["labels"], SPEC, settings, "sj")
-    assert scored.count() == 52
+    assert evaluate(tables["features"], tables["labels"], SPEC, settings, "sj").rows.count() == 52
 
 
 def test_missing_first_value_is_reported(spark, tables):
@@ -176,7 +176,8 @@ def test_fit_is_deterministic_and_learns():
     layers, history = fit_network(x, y, config, 7)
     again, _ = fit_network(x, y, config, 7)
     assert np.array_equal(predict(layers, x), predict(again, x))
-    assert history[-1]["train_mae"] < 0.5 * np.abs(y - np.median(y)).mean()
+    assert np.abs(predict(layers, x) - y).mean() < 0.5 * np.abs(y - np.median(y)).mean()
+    assert [h["epoch"] for h in history] == list(range(1, 11))
 
 
 def test_grouped_training_ignores_partitioning_and_scores_in_blocks(spark):
@@ -199,37 +200,65 @@ def test_grouped_training_ignores_partitioning_and_scores_in_blocks(spark):
     np.testing.assert_allclose(a["prediction"], b["prediction"], rtol=1e-9)
 
 
-def test_long_series_train_on_the_rows_the_solver_reaches(spark):
-    df = spark.range(2000).select(
-        F.lit("a").alias("city"), F.lit(1).cast("long").alias("seed"), F.lit("t").alias("config"),
-        F.col("id").alias("pos"), F.col("id").cast("double").alias("y"),
-        F.array(F.lit(1.0), F.col("id") / 2000).cast("array<float>").alias("features"),
-    )
-    tiny = MlpConfig(hidden=(2, 2), dropout=(0.0, 0.0), epochs=2, steps=5)
-    by = ["city", "seed", "config"]
-    models = train_grouped_mlp(df, by, {"t": tiny}, snapshots=True).cache()
-    assert models.first()["train_rows"] == tiny.row_budget == 160
-    assert all(h["train_mae"] is None for h in models.first()["history"])
-    measured = training_history(models, by, df).orderBy("epoch").toPandas()
-    scored = score_mlp(df, models, by).select(F.avg(F.abs(F.col("y") - F.col("prediction")))).first()[0]
-    assert measured["train_mae"].iloc[-1] == pytest.approx(scored)
-
-
-def test_measured_errors_equal_recorded_ones(spark):
+def _series(spark, count, held=0):
     rng = np.random.default_rng(4)
     rows = [
-        ("a", 1, "m", "train" if p < 70 else "validate", p, float(p % 5), [float(v) for v in rng.normal(size=3)])
-        for p in range(90)
+        ("a", 1, "t", "train" if p < count else "validate", p, float(p % 5), [float(v) for v in rng.normal(size=3)])
+        for p in range(count + held)
     ]
-    df = spark.createDataFrame(
+    return spark.createDataFrame(
         rows, "city string, seed long, config string, role string, pos long, y double, features array<float>"
     )
-    by = ["city", "seed", "config"]
-    models = train_grouped_mlp(df, by, {"m": SMALL}, snapshots=True).cache()
-    recorded = training_history(models, by).orderBy("epoch").toPandas()
-    measured = training_history(models, by, df).orderBy("epoch").toPandas()
-    for c in ("train_mae", "val_mae", "lr", "train_mae_dropout"):
-        np.testing.assert_allclose(recorded[c], measured[c], rtol=1e-9)
+
+
+@pytest.mark.parametrize("count", [70, 400])  # below and above the rows the solver visits
+def test_errors_of_every_epoch_are_measured_over_all_rows(spark, count):
+    tiny = MlpConfig(hidden=(3, 2), dropout=(0.0, 0.0), epochs=2, steps=5)
+    assert 70 < tiny.epochs * tiny.steps * tiny.batch < 400
+    df, by = _series(spark, count, held=count), ["city", "seed", "config"]
+    models = train_grouped_mlp(df, by, {"t": tiny}, snapshots=True).cache()
+    row = models.first()
+    assert row["train_rows"] == count
+    history = training_history(models, by, df).orderBy("epoch").toPandas()
+    pdf = df.toPandas()
+    for part, column, rounded in (("train", "train_mae", False), ("validate", "val_mae", True)):
+        own = pdf[pdf.role == part]
+        x, y = np.stack(own.features.to_numpy()).astype(float), own.y.to_numpy()
+        for epoch, packed in enumerate(row["snapshots"]):
+            value = predict(unpack(packed, row["width"]), x)
+            value = np.floor(np.maximum(value, 0) + 0.5) if rounded else value
+            assert history[column].iloc[epoch] == pytest.approx(np.abs(value - y).mean())
+    assert np.allclose([v for v in row["snapshots"][-1][0]["weights"]], row["layers"][0]["weights"])
+
+
+def test_a_group_above_its_bound_raises_with_its_key(spark):
+    df, by = _series(spark, 50), ["city", "seed", "config"]
+    with pytest.raises(ValueError, match="'city': 'a'.*'rows': 50"):
+        train_grouped_mlp(df, by, {"t": dataclasses.replace(SMALL, max_rows=49)})
+    for bound in (50, None):
+        assert train_grouped_mlp(df, by, {"t": dataclasses.replace(SMALL, max_rows=bound)}).first()["train_rows"] == 50
+
+
+def test_runs_share_the_rows_of_a_group(spark):
+    df = _series(spark, 60, held=20)
+    runs = [("one", 1), ("one", 2), ("two", 1)]
+    configs = {"one": SMALL, "two": dataclasses.replace(SMALL, hidden=(4, 3))}
+    models = train_grouped_mlp(df.drop("config", "seed"), ["city"], configs, runs=runs).cache()
+    assert {(r["config"], r["seed"]) for r in models.collect()} == set(runs)
+    alone = train_grouped_mlp(df.withColumn("config", F.lit("one")), ["city", "seed", "config"], configs).first()
+    assert models.where("config = 'one' and seed = 1").first()["layers"] == alone["layers"]
+    held = df.drop("config", "seed").where("role = 'validate'")
+    scored = score_mlp(held, models, ["city"], runs=["config", "seed"]).groupBy("config", "seed").count().collect()
+    assert sorted(r["count"] for r in scored) == [20, 20, 20]
+    lost = score_mlp(held.withColumn("city", F.lit("b")), models, ["city"]).collect()
+    assert len(lost) == 20 and all(r["prediction"] is None for r in lost)
+
+
+def test_examples_that_go_missing_are_reported(spark):
+    pdf = make_panel({"sj": 40})
+    train = prepare(to_spark(spark, pdf), SPEC, HISTORICAL)
+    with pytest.raises(ContractError, match="rows=80"):
+        city_features(train, train.drop("total_cases"), SPEC, dataclasses.replace(HISTORICAL, entities={"sj": SETTINGS.default}))
 
 
 def test_published_vector_widths(spark):
@@ -269,10 +298,12 @@ def test_runs_from_csv_files(spark, tmp_path):
         settings=settings,
     )
     assert {r["city"]: r["rows"] for r in result.summary.collect()} == {"sj": 20, "iq": 20}
-    written = next((tmp_path / "out").glob("part-*.csv")).read_text().splitlines()
+    parts = [p.read_text().splitlines()[1:] for p in sorted((tmp_path / "out").glob("part-*.csv"))]
+    written = [None, *(line for part in parts for line in part)]
     wanted = [",".join(map(str, k)) for k in pdf[cut][keys].itertuples(index=False)]
     assert [line.rsplit(",", 1)[0] for line in written[1:]] == wanted
-    assert evaluate_files(spark, path("features.csv"), path("labels.csv"), "sj", settings=settings, horizon=30) > 0
+    error, history = evaluate_files(spark, path("features.csv"), path("labels.csv"), "sj", settings=settings, horizon=30)
+    assert error > 0 and history.count() == 1
     pdf[cut][columns].iloc[::-1].to_csv(path("test.csv"), index=False)
     with pytest.raises(ContractError):
         forecast_files(

@@ -30,7 +30,7 @@ def test_tree_models_beat_the_mean(data):
         "forest": trees.forest_regressor(train, ["a", "b", "c"], "y", trees=15, max_depth=5),
         "log forest": trees.forest_regressor(train, ["a", "b", "c"], "y", log_target=True, trees=15, max_depth=5),
         "boosted": trees.boosted_regressor(train, ["a", "b", "c"], "y", rounds=15, learning_rate=0.2),
-        "poisson": trees.boosted_regressor(train, ["a", "b", "c"], "y", objective="poisson"),
+        "poisson": trees.poisson_regressor(train, ["a", "b", "c"], "y"),
     }
     for name, fit in fits.items():
         scored = fit.predict(held)
@@ -38,17 +38,34 @@ def test_tree_models_beat_the_mean(data):
         assert error(scored) < 0.7 * base, name
 
 
+def test_boosting_rejects_unknown_objectives(data):
+    with pytest.raises(ValueError, match="poisson_regressor"):
+        trees.boosted_regressor(data[0], ["a"], "y", objective="poisson")
+
+
 @pytest.mark.parametrize("chronological", [True, False])
-def test_window_screen_covers_the_grid(spark, chronological):
-    placed = row_position(to_spark(spark, make_panel({"a": 120})), ["city"], "week_start_date", "day")
+@pytest.mark.parametrize("entities", [None, ["a"]])
+def test_window_screen_covers_the_grid(spark, chronological, entities):
+    placed = row_position(to_spark(spark, make_panel({"a": 120, "b": 90})), ["city"], "week_start_date", "day")
     screen = trees.window_screen(
-        placed, "city", "seq", "total_cases", ["rain"], [3, 8], ["a"], folds=3, chronological=chronological
+        placed, "city", "seq", "total_cases", ["rain"], [3, 8], entities, folds=3, chronological=chronological
     )
-    rows = screen.orderBy("length").collect()
-    assert [(r["city"], r["variable"], r["length"]) for r in rows] == [("a", "rain", 3), ("a", "rain", 8)]
+    rows = screen.orderBy("city", "length").collect()
+    cities = entities or ["a", "b"]
+    assert [(r["city"], r["variable"], r["length"]) for r in rows] == [(c, "rain", n) for c in cities for n in (3, 8)]
     assert all(r["mae"] > 0 for r in rows)
-    best = trees.best_window(screen, "city").first()
-    assert best["mae"] == min(r["mae"] for r in rows)
+    best = trees.best_window(screen, "city").where("city = 'a'").first()
+    assert best["mae"] == min(r["mae"] for r in rows if r["city"] == "a")
+
+
+def test_screen_fits_do_not_grow_with_the_series(spark, monkeypatch):
+    fits = []
+    plain = trees.DecisionTreeRegressor.fit
+    monkeypatch.setattr(trees.DecisionTreeRegressor, "fit", lambda self, df: fits.append(1) or plain(self, df))
+    for series in ({"a": 90}, {"a": 90, "b": 90, "c": 90}):
+        placed = row_position(to_spark(spark, make_panel(series)), ["city"], "week_start_date", "day")
+        trees.window_screen(placed, "city", "seq", "total_cases", ["rain"], [4], folds=2).collect()
+    assert len(fits) == 4
 
 
 def test_climatology_falls_back_to_the_mean(spark):
@@ -64,3 +81,22 @@ def test_median_imputation_uses_training_rows_only(spark):
     got = V.impute_median(df, train, ["e"], ["x", "z"]).collect()
     assert sorted(r["x"] for r in got) == [1.0, 2.0, 2.0, 3.0]
     assert sorted(str(r["z"]) for r in got) == ["7.0", "None", "None", "None"]
+
+
+def test_groups_without_training_rows_are_kept(spark):
+    train = spark.createDataFrame([("a", 1, 2.0)], "e string, week long, y double")
+    held = spark.createDataFrame([("a", 1, 2.0), ("b", 1, 3.0)], "e string, week long, y double")
+    for scored in (V.baseline_mean(train, held, ["e"], "y"), V.baseline_climatology(train, held, ["e"], "week", "y")):
+        assert {r["e"]: r["prediction"] for r in scored.collect()} == {"a": 2.0, "b": None}
+    limits = spark.createDataFrame([("a", 1.0)], "e string, threshold double")
+    scored = held.withColumn("prediction", F.lit(0.0))
+    assert {r["e"]: r["outbreak_mae"] for r in V.outbreak_mae(scored, limits, ["e"], "y", "prediction").collect()} == {"a": 2.0, "b": None}
+    runs = scored.withColumns({"m": F.lit("x"), "fold": F.lit(1), "seed": F.lit(1)})
+    summary = V.fold_summary(runs, limits, "e", "m", "y", "prediction", threshold_by=["e"])
+    assert {r["e"]: (r["mean_mae"], r["outbreak_mae"]) for r in summary.collect()} == {"a": (2.0, 2.0), "b": (3.0, None)}
+
+
+def test_two_predictions_for_a_key_raise(spark):
+    df = spark.createDataFrame([(1, "m", 2.0), (1, "m", 3.0)], "k long, model string, prediction double")
+    with pytest.raises(Exception, match="several predictions"):
+        V.forecast_comparison(df, ["k"], "model", ["m"]).collect()
