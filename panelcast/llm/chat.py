@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelcast.llm.common import arrow_rows, free_names, small_batches
+from panelcast.llm.common import arrow_rows, free_names, limit_batches, small_batches
 
 # The marks of each role; any other role is named inside its opening mark.
 MARKS = {
@@ -136,6 +136,7 @@ def format_turns(df: DataFrame, role: str = "role", text: str = "text") -> DataF
         T.StructField("loss_start", T.LongType()), T.StructField("loss_end", T.LongType()),
     ])
 
+    limit_batches(df.sparkSession)
     def write(batches):
         for batch in small_batches(batches, 4096):
             roles = [r or "" for r in batch.column(role).to_pylist()]

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.operators.storage import checkpoint_dir
@@ -15,6 +15,7 @@ from panelcast.operators.storage import checkpoint_dir
 # The white space that ends a word, and the letters that are lower-cased.
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+TEXT_ROWS = 1000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -56,6 +57,17 @@ def free_names(df: DataFrame, names: Sequence[str], kept: Sequence[str] = ()) ->
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def limit_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of this session hold at most ``TEXT_ROWS`` rows, unless it already asks for fewer.
+
+    Whole texts travel in these batches, in the executor's memory and in its Python worker's; Spark's default of
+    10,000 rows suits narrow tables.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))
+
+
 def small_batches(batches, rows: int = 512):
     """Arrow batches cut to at most ``rows`` rows, so that long texts do not pile up in a worker."""
     for batch in batches:

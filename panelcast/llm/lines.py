@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelcast.llm import mph
-from panelcast.llm.common import SPACES, arrow_rows, free_names, pieces, saved, small_batches, text_bytes
+from panelcast.llm.common import SPACES, arrow_rows, free_names, limit_batches, pieces, saved, small_batches, text_bytes
 
 BUCKET_BYTES = 4_000_000
 SHARD_BYTES = 64_000_000
@@ -64,6 +64,7 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
 def bucket_lines(bucketed: DataFrame, shards: int, doc: str, text: str, min_chars: int) -> DataFrame:
     """Per (bucket, shard): its distinct lines, each with the number of documents and the largest one."""
 
+    limit_batches(bucketed.sparkSession)
     def run(batches):
         digests, docs, buckets = [], [], []
         for batch in small_batches(batches):

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelcast.llm.common import free_names, null_safe_join, saved, small_batches, text_bytes
+from panelcast.llm.common import free_names, limit_batches, null_safe_join, saved, small_batches, text_bytes
 
 # Fixed values of the single-document rules.
 WINDOW = 5
@@ -77,6 +77,7 @@ def measure_text(text: bytes) -> tuple[list[int], dict[int, int]]:
 
 def measure_documents(df: DataFrame, doc: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:
     """(doc, host, ``text_hash``, the measures, ``lines``: hash and words of each distinct line)."""
+    limit_batches(df.sparkSession)
     schema = T.StructType([
         T.StructField("doc", T.LongType()), T.StructField("host", T.StringType()), T.StructField("text_hash", T.LongType()),
         *[T.StructField(m, T.LongType()) for m in MEASURES],

@@ -8,9 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import panelcast
 from panelcast.llm import analogs, bpe, chat, common, lines, mix, passages, quality, secrets, simhash, warc
 from panelcast.operators.storage import checkpoint_dir
 
+# The driver of these queries may run where executors have no copy of the package.
+panelcast.ship_by_value()
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
 

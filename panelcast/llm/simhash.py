@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import free_names, null_safe_join, saved, small_batches, text_bytes
+from panelcast.llm.common import free_names, limit_batches, null_safe_join, saved, small_batches, text_bytes
 
 BITS = 64
 SHINGLE = 4
@@ -58,6 +58,7 @@ def fingerprints(
     """(doc, fingerprint, same): 64 bits as a long, and a long column carried along (null without a name).
     Null and empty texts have fingerprint zero."""
 
+    limit_batches(df.sparkSession)
     def run(batches):
         for batch in small_batches(batches):
             found = np.array([fingerprint(t, shingle) for t in text_bytes(batch.column(1))], np.uint64)

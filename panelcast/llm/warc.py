@@ -23,7 +23,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import arrow_rows, null_safe_join, pieces, saved, small_batches
+from panelcast.llm.common import arrow_rows, limit_batches, null_safe_join, pieces, saved, small_batches
 
 BUNDLE_BYTES = 32_000_000
 FRAME_BYTES = 256_000
@@ -212,6 +212,7 @@ def write_bundles(
         .sortWithinPartitions("bundle", "key", "uri", "same")
     )
 
+    limit_batches(df.sparkSession)
     def write(batches):
         store, path = _place(folder)
         store.create_dir(path, recursive=True)
