@@ -21,15 +21,22 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from panelcast.llm.common import free_names, small_batches
+from panelcast.llm.common import free_names, limit_batches, small_batches
 
-CACHE_BYTES = 48_000_000
-CACHE_PIECE = 64
+CACHE_PIECES = 400_000
+CACHE_CHARS = 32
+KNOWN_PAIRS = 400_000
+HEAD = 6
+KNOWN_HEADS = 200_000
 
 
 @dataclass
 class Merges:
-    """Token bytes by rank, and for each token the two tokens that BPE joins last to make it."""
+    """Token bytes by rank, and for each token the two tokens that BPE joins last to make it; ``reached`` are
+    the tokens that merges lead to.
+
+    ``lengths`` holds, by the last three bytes (or all, of shorter tokens), how long tokens that end so are.
+    """
 
     ranks: dict[bytes, int]
     tokens: list[bytes]
@@ -37,7 +44,16 @@ class Merges:
     right: list[int]
     lengths: dict[bytes, tuple[int, ...]]
     longest: int
+    packed: list[bytes]
+    reached: dict[bytes, int]
     known: dict[int, bool] = field(default_factory=dict)
+    # Packed ids of pieces seen lately, in two generations: a full young one takes the place of the old.
+    young: dict[str, bytes] = field(default_factory=dict)
+    old: dict[str, bytes] = field(default_factory=dict)
+    heads: dict[bytes, list[int]] = field(default_factory=dict)
+
+    def __getstate__(self):
+        return self.__dict__ | {"known": {}, "young": {}, "old": {}, "heads": {}}
 
     def adjoin(self, a: int, b: int) -> bool:
         """Whether BPE of the two tokens' bytes leaves them as these two tokens.
@@ -71,41 +87,56 @@ class Merges:
                     return True
                 a = inner
 
-    def last_token(self, piece: bytes, end: int, last: list[int]) -> int:
-        """The token that ends the encoding of ``piece[:end]``, given those of all shorter prefixes."""
-        ranks, left, known = self.ranks, self.left, self.known
-        for length in self.lengths.get(piece[max(0, end - 2) : end], (1,)):
-            start = end - length
-            if start < 0:
-                continue
-            token = ranks.get(piece[start:end])
-            if token is None or left[token] < 0:
-                continue
-            if start == 0:
-                return token
-            pair = last[start] << 32 | token
-            fits = known.get(pair)
-            if fits is None:
-                if len(known) > 1_000_000:
-                    known.clear()
-                fits = known[pair] = self.adjoin(last[start], token)
-            if fits:
-                return token
-        raise ValueError("the ranks lack a single byte")
+    def fill(self, piece: bytes, last: list[int], upto: int) -> None:
+        """Append to ``last`` the last token of every further prefix of ``piece``, up to ``upto`` bytes.
+
+        Of the tokens that end a prefix only one fits behind the shorter prefix's last token.
+        """
+        ranks, lengths, known = self.reached.get, self.lengths.get, self.known
+        for end in range(len(last), upto + 1):
+            ways = end > 2 and lengths(piece[end - 3 : end]) or end > 1 and lengths(piece[end - 2 : end]) or (1,)
+            for length in ways:
+                start = end - length
+                if start < 0:
+                    continue
+                token = ranks(piece[start:end])
+                if token is None:
+                    continue
+                if start:
+                    pair = last[start] << 32 | token
+                    fits = known.get(pair)
+                    if fits is None:
+                        if len(known) > KNOWN_PAIRS:
+                            known.clear()
+                        fits = known[pair] = self.adjoin(last[start], token)
+                    if not fits:
+                        continue
+                last.append(token)
+                break
+            else:
+                raise ValueError("the ranks lack a single byte")
 
 
 class PrefixTable:
     """``last[i]`` is the last token of the encoding of the first ``i`` bytes of ``piece``."""
 
     def __init__(self, merges: Merges, piece: bytes = b""):
-        self.merges, self.piece, self.last = merges, b"", [-1]
-        self.append(piece)
+        """Pieces that begin alike share the table of their first bytes."""
+        self.merges, self.piece = merges, piece
+        head = merges.heads.get(piece[:HEAD])
+        if head is None:
+            head = [-1]
+            merges.fill(piece, head, min(HEAD, len(piece)))
+            if len(merges.heads) >= KNOWN_HEADS:
+                merges.heads.clear()
+            merges.heads[piece[:HEAD]] = head
+        self.last = head.copy()
+        merges.fill(piece, self.last, len(piece))
 
     def append(self, more: bytes) -> None:
         """Exact: the table of the longer piece, without touching what is there."""
-        start, self.piece = len(self.piece), self.piece + more
-        for end in range(start + 1, len(self.piece) + 1):
-            self.last.append(self.merges.last_token(self.piece, end, self.last))
+        self.piece += more
+        self.merges.fill(self.piece, self.last, len(self.piece))
 
     def replace(self, start: int, stop: int, new: bytes) -> int:
         """Put ``new`` in place of bytes ``start:stop``; returns how many prefixes were computed again.
@@ -117,7 +148,7 @@ class PrefixTable:
         self.piece = old_piece[:start] + new + old_piece[stop:]
         self.last, same, done = old[: start + 1], 0, 0
         for end in range(start + 1, len(self.piece) + 1):
-            self.last.append(self.merges.last_token(self.piece, end, self.last))
+            self.merges.fill(self.piece, self.last, end)
             done += 1
             settled = end - start - len(new)
             same = same + 1 if settled > 0 and self.last[end] == old[end - shift] else 0
@@ -162,25 +193,25 @@ def merges_of(ranks: dict[bytes, int]) -> Merges:
     left, right = list(range(len(tokens))), list(range(len(tokens)))
     ends: dict[bytes, set[int]] = {}
     for token, rank in ranks.items():
-        ends.setdefault(token[-2:], set()).add(len(token))
+        ends.setdefault(token[-3:], set()).add(len(token))
         if len(token) > 1:
             parts = _merge_by_rank(token, ranks, rank)
             left[rank], right[rank] = (ranks[parts[0]], ranks[parts[1]]) if len(parts) == 2 else (-1, -1)
-    singles = {t for t in ends if len(t) == 1}
+    lengths = {}
     for tail, found in ends.items():
-        if len(tail) == 2 and tail[1:] in singles:
-            found.add(1)
-    lengths = {tail: tuple(sorted(found, reverse=True)) for tail, found in ends.items()}
-    return Merges(ranks, tokens, left, right, lengths, max(map(len, ranks)))
+        shorter = {len(tail[i:]) for i in range(1, len(tail)) if tail[i:] in ranks}
+        lengths[tail] = tuple(sorted(found | shorter, reverse=True))
+    reached = {token: rank for token, rank in ranks.items() if left[rank] >= 0}
+    packed = [rank.to_bytes(4, "little") for rank in range(len(tokens))]
+    return Merges(ranks, tokens, left, right, lengths, max(map(len, ranks)), packed, reached)
 
 
 class Encoder:
-    """Encodes texts piece by piece; pieces seen lately are kept, up to a fixed number of bytes."""
+    """Encodes texts piece by piece. Short pieces seen lately are kept with the tables, so tasks that a
+    worker runs one after another share them."""
 
     def __init__(self, merges: Merges, pattern: str):
         self.merges, self.split = merges, regex.compile(pattern)
-        self.cache: dict[str, bytes] = {}
-        self.cached = 0
 
     def piece(self, piece: bytes) -> list[int]:
         """A piece that is itself a token stays whole, even one that no merge reaches."""
@@ -188,21 +219,23 @@ class Encoder:
         return [whole] if whole is not None else PrefixTable(self.merges, piece).ids()
 
     def packed(self, piece: str) -> bytes:
-        found = self.cache.get(piece)
+        merges = self.merges
+        found = merges.young.get(piece) or merges.old.get(piece)
         if found is None:
-            found = np.array(self.piece(piece.encode()), "<u4").tobytes()
-            if len(piece) <= CACHE_PIECE:
-                self.cached += len(piece) + len(found) + 150
-                if self.cached > CACHE_BYTES:
-                    self.cache.clear()
-                    self.cached = 0
-                self.cache[piece] = found
+            found = b"".join(map(merges.packed.__getitem__, self.piece(piece.encode())))
+        if len(piece) <= CACHE_CHARS:
+            if len(merges.young) >= CACHE_PIECES:
+                merges.old, merges.young = merges.young, {}
+            merges.young[piece] = found
         return found
 
     def encode(self, text: str) -> bytes:
-        found, cache = [], self.cache
+        young, packed = self.merges.young.get, self.packed
+        found, seen = [], self.merges.young
         for piece in self.split.findall(text):
-            found.append(cache.get(piece) or self.packed(piece))
+            found.append(young(piece) or packed(piece))
+            if seen is not self.merges.young:
+                seen, young = self.merges.young, self.merges.young.get
         return b"".join(found)
 
     def append(self, text: str, ids: bytes, suffix: str) -> bytes:
@@ -223,6 +256,7 @@ class Encoder:
 
 
 def _add_binary(df: DataFrame, name: str, make) -> DataFrame:
+    limit_batches(df.sparkSession)
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.BinaryType())])
 
     def run(batches):
