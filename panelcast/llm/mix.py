@@ -193,24 +193,32 @@ def mix_texts(
     """The rows of ``df`` that a mix of its words takes, as often as it takes them, in mix order within parts.
 
     Each reading of a row is one row; the one that an entity's target cuts holds its first words only. Rows
-    the mix does not reach, and rows without words, are left out. Further ``settings`` are those of `mix_entities`.
+    the mix does not reach, and rows without words, are left out. Rows that repeat an entity, order and size meet
+    in one task, so ids should be nearly unique. Further ``settings`` are those of `mix_entities`.
     """
-    marks = ["_mix_entity", "_mix_pos", "_mix_size", "_mix_copy"]
-    free = free_names(df, marks, [entity, order, text])
-    sizes = saved(df.select(F.col(f"`{entity}`").alias("entity"), F.col(f"`{order}`").alias("pos"), word_count(F.col(f"`{text}`")).alias("size")), "sizes")
+    added = ["_mix_row", "_mix_copy", "_mix_size", "_mix_reading"]
+    free = free_names(df, added, [entity, order, text])
+    body, size = F.col(f"`{text}`"), word_count(F.col(f"`{text}`"))
+    sizes = saved(
+        df.select(F.col(f"`{entity}`").alias("entity"), F.col(f"`{order}`").alias("pos"), size.alias("size")), "sizes"
+    )
     mixed, _ = mix_entities(sizes, **settings)
-    readings = mixed.groupBy(*ELEMENT, "pass_no").agg(
-        F.min("slot").alias("_mix_slot"), F.sum(F.col("stop") - F.col("start")).alias("_mix_words")
-    ).drop("pass_no").toDF(*marks, "_mix_slot", "_mix_words")
-    same = Window.partitionBy(*marks[:3]).orderBy(F.xxhash64(F.col(f"`{text}`")))
-    numbered = free.withColumns({
-        marks[0]: F.col(f"`{entity}`"), marks[1]: F.col(f"`{order}`"), marks[2]: word_count(F.col(f"`{text}`"))
-    }).withColumn(marks[3], F.row_number().over(same) - 1)
-    body = F.col(f"`{text}`")
-    read = null_safe_join(numbered, readings, marks, "inner").withColumn(
-        text, F.when(F.col("_mix_words") < F.col("_mix_size"), first_words(body, F.col("_mix_words"))).otherwise(body)
+    readings = (
+        mixed.groupBy(*ELEMENT, "pass_no")
+        .agg(F.min("slot").alias("slot"), F.sum(F.col("stop") - F.col("start")).alias("words"))
+        .groupBy(F.struct(F.col("entity"), F.col("pos"), F.col("size")).alias("_mix_row"))
+        .agg(F.collect_list(F.struct("copy", "slot", "words")).alias("_readings"))
     )
-    parts = F.floor(F.col("_mix_slot") / slots_per_part)
-    return read.withColumn("_mix_part", parts).repartition("_mix_part").sortWithinPartitions("_mix_part", "_mix_slot").drop(
-        *marks, "_mix_slot", "_mix_words", "_mix_part"
+    # One struct as the key: it is never null, and numbering, join and texts share one shuffle.
+    row = F.struct(F.col(f"`{entity}`").alias("entity"), F.col(f"`{order}`").alias("pos"), F.col("_mix_size").alias("size"))
+    same = Window.partitionBy("_mix_row").orderBy(F.xxhash64(body))
+    numbered = free.withColumn("_mix_size", size).withColumn("_mix_row", row).withColumn("_mix_copy", F.row_number().over(same) - 1)
+    own = F.filter("_readings", lambda r: r["copy"] == F.col("_mix_copy"))
+    read = numbered.join(readings, "_mix_row").withColumn("_mix_reading", F.explode(own)).drop("_readings")
+    words = F.col("_mix_reading.words")
+    cut = read.withColumn(text, F.when(words < F.col("_mix_size"), first_words(body, words)).otherwise(body))
+    parts = F.floor(F.col("_mix_reading.slot") / slots_per_part)
+    return (
+        cut.withColumn("_mix_copy", parts).repartition("_mix_copy")
+        .sortWithinPartitions("_mix_copy", "_mix_reading.slot").drop(*added)
     )
