@@ -399,27 +399,36 @@ def raw_lag_features(spark, d):
     return long.select("entity", "pos", (F.col("place") + 1).cast("long").alias("place"), r6(F.col("v").cast("double")).alias("v"))
 
 
+def _as_float(name: str) -> str:
+    return sql6(f"CAST(CAST({name} AS FLOAT) AS DOUBLE)", "v")
+
+
+def _named_places_sql(source: str, keys: str, first: int = 0) -> str:
+    """The multiscale columns of ``source`` as rows (keys, place, v), places counted from ``first``."""
+    return " UNION ALL ".join(
+        f"SELECT {keys}, CAST({first + i} AS BIGINT) AS place, {_as_float(n)} FROM {source}" for i, n in enumerate(NAMES, 1)
+    )
+
+
+def _vector_places(df: DataFrame, *keys: str) -> DataFrame:
+    long = df.select(*keys, F.posexplode("features").alias("place", "v"))
+    return long.select(*keys, (F.col("place") + 1).cast("long").alias("place"), r6(F.col("v").cast("double")).alias("v"))
+
+
 @query(
     "raw_plus_summaries",
     FLAG_SQL + CIRCULAR_SQL.format(t="flag_week")
     + f", wide AS (SELECT entity, pos, n, {multiscale_sql(order='pos')} FROM circular), "
-    "ok AS (SELECT * FROM wide WHERE pos >= 51 AND pos < n + 51), "
-    "lagsum AS (SELECT entity, pos, SUM(v) AS lags FROM (" + _place_sql(FLAG_LAGS, "circular", "pos", "a.entity, a.pos")
-    + ") GROUP BY 1, 2), both_parts AS (SELECT ok.*, lags FROM ok JOIN lagsum USING (entity, pos)) "
-    f"SELECT entity, pos, CAST({sum(FLAG_LAGS.values()) + len(NAMES)} AS BIGINT) AS width, "
-    "ROUND(lags, 2) + 0.0 AS lags, ROUND(" + " + ".join(NAMES) + ", 2) + 0.0 AS summaries FROM both_parts",
+    "ok AS (SELECT * FROM wide WHERE pos >= 51 AND pos < n + 51) "
+    f"SELECT entity, pos, place, {_as_float('v')} FROM ("
+    + _place_sql(FLAG_LAGS, "circular", "pos", "a.entity, a.pos") + ") UNION ALL "
+    + _named_places_sql("ok", "entity, pos", sum(FLAG_LAGS.values())),
 )
 def raw_plus_summaries(spark, d):
-    """Width of the joint vector and the sums of its two halves."""
+    """Every place of the joint vector."""
     rows = H.lead_in_circular(flag_week(spark, d), 53, 2)
     vectors = H.raw_plus_summaries(rows, E, SIGNALS, "week", FLAG_LAGS, keep=["entity", "pos"])
-    raw = sum(FLAG_LAGS.values())
-    total = lambda part: F.aggregate(part, F.lit(0.0), lambda a, x: a + x.cast("double"))
-    return vectors.select(
-        "entity", "pos", F.size("features").cast("long").alias("width"),
-        F.round(total(F.slice("features", 1, raw)), 2).alias("lags"),
-        F.round(total(F.slice("features", raw + 1, len(NAMES))), 2).alias("summaries"),
-    )
+    return _vector_places(vectors, "entity", "pos")
 
 
 FLAG_SETTINGS = RunSettings(
@@ -448,21 +457,13 @@ wide AS (SELECT entity, split, pos, n, CASE WHEN split = 'train' THEN CAST(targe
 ok AS (SELECT * FROM wide WHERE pos >= 51 AND pos < n + 51)"""
 
 
-@query(
-    "city_features",
-    CITY_SQL + " SELECT entity, split, pos, y, "
-    + ", ".join(f"ROUND({n}, 3) + 0.0 AS {n}" for n in ("qty_now", "qty_mean_52", "price_std_4", "tax_gap_4_13", "discount_trend_13"))
-    + " FROM ok",
-)
+@query("city_features", CITY_SQL + " " + _named_places_sql("ok", "entity, split, pos, y"))
 def city_feature_rows(spark, d):
+    """Every place of every example's vector, and the training targets."""
     train, test = split_at(save_point(flag_week(spark, d)))
     examples = city_features(train, test.drop("target"), FLAG_SPEC, FLAG_SETTINGS)
-    names = ("qty_now", "qty_mean_52", "price_std_4", "tax_gap_4_13", "discount_trend_13")
     y = F.when(F.col(SPLIT) == "train", F.col("y"))
-    return examples.select(
-        "entity", SPLIT, "pos", y.alias("y"),
-        *[F.round(F.col("features")[NAMES.index(n)].cast("double"), 3).alias(n) for n in names],
-    )
+    return _vector_places(examples.withColumn("y", y), "entity", SPLIT, "pos", "y")
 
 
 TREE_NAMES = [f"{c}_lag_{k}" for c in SIGNALS for k in TREE_LAGS] + [f"{c}_past_{k}" for c in SIGNALS for k in TREE_MEANS]

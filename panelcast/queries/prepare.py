@@ -195,10 +195,15 @@ def negative_predicate(spark, d):
 # --- joins ------------------------------------------------------------------------------------------
 
 
-@query("join_labels", f"{SUPPLIER_SQL} SELECT entity, year, week, target, {SIGNALS_SQL} FROM supplier_week")
+@query(
+    "join_labels",
+    f"{SUPPLIER_SQL} SELECT entity, year, week, target, {SIGNALS_SQL} FROM supplier_week WHERE week % 3 <> 0 AND week % 2 = 0",
+)
 def join_labels(spark, d):
+    """Both sides hold rows the other lacks: an inner join keeps neither."""
     panel = weekly_raw(spark, d, "l_suppkey")
-    joined = R.join_one_to_one(panel.select(*KEYS, *SIGNALS), panel.select(*KEYS, "target"), KEYS)
+    features, labels = panel.where("week % 3 <> 0"), panel.where("week % 2 = 0")
+    joined = R.join_one_to_one(features.select(*KEYS, *SIGNALS), labels.select(*KEYS, "target"), KEYS)
     return rounded(joined, *KEYS, "target", **SIGNALS6)
 
 
@@ -374,12 +379,18 @@ def check_one_to_one(spark, d):
 
 @query(
     "check_feature_shape",
-    f"{SUPPLIER_SQL} SELECT entity, COUNT(*) AS rows, CAST(0 AS BIGINT) AS wrong_width, CAST(0 AS BIGINT) AS not_finite "
-    "FROM supplier_week GROUP BY 1",
+    f"{SUPPLIER_SQL} SELECT entity, COUNT(*) AS rows, COUNT(*) FILTER (WHERE (seq + 2) % n % 5 = 0) AS wrong_width, "
+    "COUNT(*) FILTER (WHERE (seq + 2) % n % 7 = 0 AND (seq + 2) % n % 5 <> 0) AS not_finite FROM supplier_week GROUP BY 1",
 )
 def check_feature_shape(spark, d):
+    """Vectors are spoilt on purpose: every fifth is cut, every seventh of the others holds an infinity."""
     rows = lead_in_circular(supplier_week(spark, d), 53, 2)
     features = multiscale_features(rows, ["entity"], SIGNALS, "week", keep=["entity", "pos"])
+    nth = F.col("pos") - 51
+    width = len(multiscale_names(SIGNALS))
+    endless = F.concat(F.slice("features", 1, width - 1), F.array(F.lit(float("inf")).cast("float")))
+    spoilt = F.when(nth % 5 == 0, F.slice("features", 1, 3)).when(nth % 7 == 0, endless).otherwise(F.col("features"))
+    features = features.withColumn("features", spoilt)
     return C.feature_shape_report(features, len(multiscale_names(SIGNALS)), by=["entity"])
 
 
