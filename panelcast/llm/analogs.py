@@ -78,19 +78,32 @@ def _vectors(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, width)
 
 
+def _products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products of rows in double precision, components added in their order."""
+    total = np.zeros(len(x))
+    for d in range(x.shape[1] if x.ndim == 2 else 0):
+        total += x[:, d] * y[:, d]
+    return total
+
+
 def _best_of(own: np.ndarray, query: np.ndarray, estimate: np.ndarray, bound: np.ndarray, barred: list[int], k: int):
-    """Rows and exact products of the ``k`` best of a slice for one query; ties go to the earlier row."""
+    """The ``k`` best rows of a slice for one query, and those that rounding cannot tell from the last."""
     free = len(own) - len(barred)
     if free <= 0:
-        return np.zeros(0, np.int64), np.zeros(0)
+        return np.zeros(0, np.int64)
     estimate[barred] = -np.inf
     first = np.argpartition(-estimate, min(k, free) - 1)[: min(k, free)]
     floor = np.einsum("ij,j->i", own[first], query).min()
     rows = np.flatnonzero(estimate + bound >= floor)
     rows = np.union1d(rows, first)
-    exact = np.einsum("ij,j->i", own[rows], query)
-    best = np.argsort(-exact, kind="stable")[:k]
-    return rows[best], exact[best]
+    near = np.einsum("ij,j->i", own[rows], query)
+    if len(rows) > k:
+        last = np.partition(near, len(near) - k)[len(near) - k]
+        rows = rows[near >= last - 1e-9 * max(1.0, abs(last))]
+    if len(rows) > 2 * k:  # many equal candidates: rows are in the order that breaks ties
+        exact = _products(own[rows], np.broadcast_to(query, (len(rows), len(query))))
+        rows = rows[np.argsort(-exact, kind="stable")[:k]]
+    return rows
 
 
 def nearest_histories(
@@ -143,19 +156,23 @@ def nearest_histories(
         for i, name in enumerate(zip(left["entity"].to_pylist(), left["pos"].to_pylist(), strict=True)):
             barred.setdefault(name, []).append(i)
         keys = list(zip(right["entity"].to_pylist(), right["pos"].to_pylist(), strict=True))
-        queries_at, rows, scores = [], [], []
+        queries_at, rows = [], []
         for start in range(0, len(ask), CHUNK):
             estimates = (turned[start : start + CHUNK] @ signs.T) * scale
             for i, estimate in enumerate(estimates, start):
                 bound = slack * np.float32(lengths[i])
-                found, exact = _best_of(own, ask[i], estimate, bound, barred.get(keys[i], []), k)
+                found = _best_of(own, ask[i], estimate, bound, barred.get(keys[i], []), k)
                 queries_at.append(np.full(len(found), i))
                 rows.append(found)
-                scores.append(exact)
-        q, r = pa.array(np.concatenate(queries_at).astype(np.int64)), pa.array(np.concatenate(rows).astype(np.int64))
+        at, near = np.concatenate(queries_at).astype(np.int64), np.concatenate(rows).astype(np.int64)
+        scores = _products(ask[at], own[near])
+        order = np.lexsort((near, -scores, at))
+        at, near, scores = at[order], near[order], scores[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        at, near, scores = at[place < k], near[place < k], scores[place < k]
+        q, r = pa.array(at), pa.array(near)
         return pa.table([
-            right["entity"].take(q), right["pos"].take(q), left["entity"].take(r), left["pos"].take(r),
-            pa.array(np.concatenate(scores)),
+            right["entity"].take(q), right["pos"].take(q), left["entity"].take(r), left["pos"].take(r), pa.array(scores),
         ], names=names)
 
     found = codes.groupBy(*key).cogroup(wanted.groupBy(*key)).applyInArrow(search, schema)

@@ -196,7 +196,7 @@ def mix_texts(
     the mix does not reach, and rows without words, are left out. Rows that repeat an entity, order and size meet
     in one task, so ids should be nearly unique. Further ``settings`` are those of `mix_entities`.
     """
-    added = ["_mix_row", "_mix_copy", "_mix_size", "_mix_reading"]
+    added = ["_mix_row", "_mix_copy", "_mix_size", "_mix_reading", "_mix_readings"]
     free = free_names(df, added, [entity, order, text])
     body, size = F.col(f"`{text}`"), word_count(F.col(f"`{text}`"))
     sizes = saved(
@@ -207,14 +207,14 @@ def mix_texts(
         mixed.groupBy(*ELEMENT, "pass_no")
         .agg(F.min("slot").alias("slot"), F.sum(F.col("stop") - F.col("start")).alias("words"))
         .groupBy(F.struct(F.col("entity"), F.col("pos"), F.col("size")).alias("_mix_row"))
-        .agg(F.collect_list(F.struct("copy", "slot", "words")).alias("_readings"))
+        .agg(F.collect_list(F.struct("copy", "slot", "words")).alias("_mix_readings"))
     )
     # One struct as the key: it is never null, and numbering, join and texts share one shuffle.
     row = F.struct(F.col(f"`{entity}`").alias("entity"), F.col(f"`{order}`").alias("pos"), F.col("_mix_size").alias("size"))
     same = Window.partitionBy("_mix_row").orderBy(F.xxhash64(body))
     numbered = free.withColumn("_mix_size", size).withColumn("_mix_row", row).withColumn("_mix_copy", F.row_number().over(same) - 1)
-    own = F.filter("_readings", lambda r: r["copy"] == F.col("_mix_copy"))
-    read = numbered.join(readings, "_mix_row").withColumn("_mix_reading", F.explode(own)).drop("_readings")
+    own = F.filter("_mix_readings", lambda r: r["copy"] == F.col("_mix_copy"))
+    read = numbered.join(readings, "_mix_row").withColumn("_mix_reading", F.explode(own))
     words = F.col("_mix_reading.words")
     cut = read.withColumn(text, F.when(words < F.col("_mix_size"), first_words(body, words)).otherwise(body))
     parts = F.floor(F.col("_mix_reading.slot") / slots_per_part)

@@ -90,7 +90,18 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_query("op5_nearest_vectors")
+@_query("op5_nearest_vectors", """
+WITH e AS (
+  SELECT vec_id, v FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+  WHERE LEN(v) > 0 AND LEN(LIST_FILTER(v, lambda x: x IS NULL OR NOT ISFINITE(x))) = 0 AND LEN(LIST_FILTER(v, lambda x: x <> 0)) > 0
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, LIST_INNER_PRODUCT(q.v, c.v) AS score
+  FROM e q JOIN e c ON q.vec_id <> c.vec_id AND LEN(q.v) = LEN(c.v) WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM pairs
+) WHERE place <= 20
+""")
 def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "embeddings").select(
         F.lit("embeddings").alias("entity"), F.col("vec_id").alias("pos"), F.col("embedding").alias("features")
