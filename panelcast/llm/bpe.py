@@ -272,7 +272,7 @@ def _add_binary(df: DataFrame, name: str, make) -> DataFrame:
 def encode_text(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Add ``ids``, the packed token ids of the whole ``text``, special tokens read as ordinary text.
 
-    Every match of ``pattern`` is encoded by itself. Null and empty texts give no ids; repeated rows are
+    General: the forecasting project has no texts. Every match of ``pattern`` is encoded by itself. Null and empty texts give no ids; repeated rows are
     encoded alike; an ``ids`` column that is already there is replaced. Rows keep their partitions, and
     nothing is shuffled. The tables are built once on the driver and sent along with the tasks: their
     size is that of the vocabulary, whatever the input.

@@ -124,7 +124,7 @@ def format_turns(df: DataFrame, role: str = "role", text: str = "text") -> DataF
     """Add to every turn its ``segment`` as written and the span ``loss_start``, ``loss_end`` (code
     points inside the segment; null for roles that are not trained on).
 
-    A conversation's formatted text is its segments in turn order. Each segment is parsed again and
+    General: the forecasting project has no dialogues. A conversation's formatted text is its segments in turn order. Each segment is parsed again and
     compared with its source; as no turn's reading depends on what follows its closing mark, segments
     read alike alone and joined. Rows keep their partitions, so a conversation of any length is spread.
     Null roles and texts count as empty; a role without marks of its own is named; columns already

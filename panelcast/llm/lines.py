@@ -159,12 +159,13 @@ def dedup_lines(
 ) -> DataFrame:
     """Add ``kept``, the text without repeated lines, ``n_lines`` and ``n_dropped``.
 
-    Lines end at a newline. A line's key is the line stripped of ASCII white space with A-Z lower-cased;
+    General: the forecasting project has no texts made of lines. Lines end at a newline. A line's key is the line stripped of ASCII white space with A-Z lower-cased;
     keys of at least ``min_chars`` code points found in at least ``min_docs`` documents lose all their
     lines except in the largest document that holds them, which keeps all of its own. Null and empty
     texts are one empty line. A null ``doc`` is one document, below all others; rows that repeat a
     document are cleaned alike and count once. Columns named like the new ones are replaced; an empty
-    table stays empty. Lines are told apart by 128 bits of hash.
+    table stays empty. Lines are told apart by 128 bits of hash. Rows of one document meet in one task, so
+    ids should be nearly unique.
     """
     kept_df = free_names(df, [kept, "n_lines", "n_dropped", "_bucket"], [doc, text])
     total = kept_df.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0

@@ -118,7 +118,7 @@ def judge_documents(
     """One row per row of ``df``: (doc, host, text_hash, the measures, ``base_failed``,
     ``removed_words``, ``kept``).
 
-    A line (words joined by single spaces, A-Z lower-cased) is above its host's limit if more than
+    General: the forecasting project has no texts. A line (words joined by single spaces, A-Z lower-cased) is above its host's limit if more than
     ``min_docs`` and more than ``host_share`` of the host's documents hold it. Byte-identical texts count as
     one document, so copies alone do not make a line boilerplate. Lines above the limit are removed from all
     documents of the host but the smallest that holds them. A document is rejected if it fails the

@@ -203,7 +203,7 @@ def find_secrets(df: DataFrame, text: str = "text", rate: float = 0.05) -> DataF
     """Add ``base_spans`` and ``spans`` to every row: arrays of (start, order, stop, kind) in code points,
     ordered by start, then kind.
 
-    Base spans are the fixed patterns, leftmost and without overlap within a kind. ``spans`` adds the
+    General: the forecasting project has no texts. Base spans are the fixed patterns, leftmost and without overlap within a kind. ``spans`` adds the
     tokens of at least 20 symbols that the battery finds random at false-discovery ``rate`` over the
     distinct tokens of all rows, unless they touch a base span. Null and empty texts have no spans;
     repeated rows get the same; columns named like the new ones are replaced; an empty table stays empty.

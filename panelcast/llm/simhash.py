@@ -243,7 +243,7 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per row of ``df``: (doc, ``fingerprint`` as 16 hex digits, ``component_id``).
 
-    A-Z is lower-cased, words are what lies between ASCII white space, shingles have ``shingle`` words
+    General: the forecasting project has no texts. A-Z is lower-cased, words are what lies between ASCII white space, shingles have ``shingle`` words
     (all words, if fewer). Fingerprints at most ``radius`` bits apart are linked; ``component_id`` is the
     smallest document reached over links. Equal fingerprints are one node, so copies cost nothing.
 

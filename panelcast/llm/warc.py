@@ -178,7 +178,7 @@ def write_bundles(
     """Write one record per row into bundles below ``folder`` (on a store that pyarrow and all executors
     reach) and return the index, which is also written there as ``index``.
 
-    Of equal payloads of at least ``min_bytes`` bytes, the row with the largest key (then address) becomes
+    General: the forecasting project has no web captures. Of equal payloads of at least ``min_bytes`` bytes, the row with the largest key (then address) becomes
     the response and the others revisit it; exact repeats of a row count as others. Null payloads are
     empty, null keys come before all others and are left out of the header; other columns are ignored. An
     empty table gives no bundles and an empty index. A payload that a third of all rows share costs one row
