@@ -20,8 +20,8 @@ from panelcast.llm.common import SPACES, WORD, free_names, null_safe_join, piece
 
 GOLDEN = 0.6180339887498949
 SPACE = r"[\x20\x09-\x0D]"
-SLOT_CHUNK = 65_536
-ROW_CHUNK = 65_536
+SLOT_CHUNK = 8192
+ROW_CHUNK = 8192
 ELEMENT = ["entity", "pos", "size", "copy"]
 
 
