@@ -9,8 +9,6 @@ products are computed only where the bound leaves room among the best.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -26,7 +24,6 @@ WIDTH_OF_BOUND = 2.5
 _CODE_FIELDS = "width int, code binary, norm double, fit double, vector binary"
 
 
-@lru_cache(maxsize=8)
 def rotation(width: int, seed: int) -> np.ndarray:
     """A random orthogonal matrix, the same wherever it is made."""
     q, r = np.linalg.qr(np.random.default_rng([seed, width]).standard_normal((width, width)))
@@ -48,6 +45,7 @@ def index_histories(
     schema = T.StructType([*rows.schema.fields[:2], *T._parse_datatype_string(_CODE_FIELDS).fields])
 
     def encode(batches):
+        turns: dict[int, np.ndarray] = {}
         for batch in small_batches(batches, 4096):
             kept, out = [], []
             for i, v in enumerate(batch.column(2).to_pylist()):
@@ -57,7 +55,9 @@ def index_histories(
                 norm = float(np.sqrt(v @ v))
                 if not np.isfinite(norm) or norm == 0.0:
                     continue
-                turned = (v / norm) @ rotation(len(v), seed)
+                if len(v) not in turns:
+                    turns[len(v)] = rotation(len(v), seed)
+                turned = (v / norm) @ turns[len(v)]
                 fit = float(np.abs(turned).sum() / np.sqrt(len(v)))
                 kept.append(i)
                 out.append((len(v), np.packbits(turned > 0).tobytes(), norm, fit, v.tobytes()))

@@ -18,7 +18,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from panelcast.llm.common import free_names, limit_batches, small_batches
@@ -52,9 +53,6 @@ class Merges:
     old: dict[str, bytes] = field(default_factory=dict)
     heads: dict[bytes, list[int]] = field(default_factory=dict)
 
-    def __getstate__(self):
-        return self.__dict__ | {"known": {}, "young": {}, "old": {}, "heads": {}}
-
     def adjoin(self, a: int, b: int) -> bool:
         """Whether BPE of the two tokens' bytes leaves them as these two tokens.
 
@@ -255,6 +253,21 @@ class Encoder:
         return ids[:kept] + first + b"".join(map(self.packed, fresh[1:]))
 
 
+def _sent(spark: SparkSession, path: str) -> Broadcast:
+    """The tables for all tasks, as built-in types: a broadcast cannot carry classes by value."""
+    merges = load_merges(path)
+    names = ("ranks", "tokens", "left", "right", "lengths", "longest", "packed", "reached")
+    return spark.sparkContext.broadcast({name: getattr(merges, name) for name in names})
+
+
+def _opened(sent: Broadcast) -> Merges:
+    """The tables of a worker, made once and kept with their caches for its later tasks."""
+    fields = sent.value
+    if "made" not in fields:
+        fields["made"] = Merges(**fields)
+    return fields["made"]
+
+
 def _add_binary(df: DataFrame, name: str, make) -> DataFrame:
     limit_batches(df.sparkSession)
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.BinaryType())])
@@ -277,11 +290,10 @@ def encode_text(df: DataFrame, path: str, pattern: str, text: str = "text", ids:
     nothing is shuffled. The tables are built once on the driver and sent along with the tasks: their
     size is that of the vocabulary, whatever the input.
     """
-    spark = df.sparkSession
-    tables = spark.sparkContext.broadcast(load_merges(path))
+    tables = _sent(df.sparkSession, path)
 
     def make():
-        encoder = Encoder(tables.value, pattern)
+        encoder = Encoder(_opened(tables), pattern)
         return lambda batch: [encoder.encode(t) if t else b"" for t in batch.column(text).to_pylist()]
 
     return _add_binary(free_names(df, [ids], [text]), ids, make)
@@ -308,10 +320,10 @@ def append_text(
 
     Only the last match of the pattern is encoded again, and of it only the appended bytes.
     """
-    tables = df.sparkSession.sparkContext.broadcast(load_merges(path))
+    tables = _sent(df.sparkSession, path)
 
     def make():
-        encoder = Encoder(tables.value, pattern)
+        encoder = Encoder(_opened(tables), pattern)
         return lambda batch: [
             encoder.append(t or "", i or b"", s or "")
             for t, i, s in zip(*(batch.column(c).to_pylist() for c in (text, ids, suffix)), strict=True)
