@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import panelcast
-from panelcast.llm import analogs, bpe, chat, common, lines, mix, passages, quality, secrets, simhash, warc
+from panelcast.llm import (
+    analogs, bpe, chat, common, lines, mix, negatives, passages, quality, secrets, simhash, sliced, spelling, warc,
+)
 from panelcast.operators.storage import checkpoint_dir
 
 # The driver of these queries may run where executors have no copy of the package.
@@ -225,3 +227,97 @@ def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_simhash")
 def simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
+
+
+_INTEGERS_SQL = """e AS (
+  SELECT vec_id, label, LIST_TRANSFORM(CAST(embedding AS DOUBLE[]), lambda x: FLOOR(256 * x)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND LEN(LIST_FILTER(CAST(embedding AS DOUBLE[]), lambda x: x IS NULL OR NOT ISFINITE(x))) = 0
+)"""
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "embeddings").select(
+        F.lit("embeddings").alias("entity"), F.col("vec_id").alias("pos"), F.col("embedding").alias("features"), "label"
+    )
+
+
+@_query("op11_exact_top", f"""
+WITH {_INTEGERS_SQL}, pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(LIST_INNER_PRODUCT(q.v, c.v) AS BIGINT) AS score
+  FROM e q JOIN e c ON q.vec_id <> c.vec_id AND LEN(q.v) = LEN(c.v) WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM pairs
+) WHERE place <= 5
+""")
+def exact_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _vectors(spark, sf_dir)
+    return sliced.exact_top_histories(rows, rows.where(F.col("pos") % 50 == 0), k=5, scale=256).select(
+        F.col("pos").alias("query_id"), "rank", F.col("near_pos").alias("vec_id"), "score"
+    )
+
+
+@_query("op12_hard_negatives", f"""
+WITH {_INTEGERS_SQL}, r AS (
+  SELECT vec_id, v, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label FROM e WHERE label IS NOT NULL
+), pairs AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(LIST_INNER_PRODUCT(a.v, c.v) AS BIGINT) AS score
+  FROM r a JOIN r c ON a.vec_id <> c.vec_id AND LEN(a.v) = LEN(c.v) WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(ROW_NUMBER() OVER o AS INTEGER) AS rank, n.vec_id AS negative_id, positive_score,
+       n.score AS negative_score
+FROM p JOIN pairs n USING (anchor_id)
+WHERE NOT n.same AND 30 * positive_score <= 100 * n.score AND 100 * n.score <= 90 * positive_score
+WINDOW o AS (PARTITION BY anchor_id, positive_id ORDER BY n.score DESC, n.vec_id)
+QUALIFY ROW_NUMBER() OVER o <= 10
+""")
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("pos") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = _vectors(spark, sf_dir).withColumn("label", moved)
+    found = negatives.hard_negatives(rows, rows.where(F.col("pos") % 100 == 0), label="label")
+    return found.select(
+        F.col("pos").alias("anchor_id"), F.col("positive_pos").alias("positive_id"), "rank",
+        F.col("negative_pos").alias("negative_id"), "positive_score", "negative_score",
+    )
+
+
+@_query("op13_spelling_variants", """
+WITH RECURSIVE codes AS (
+  SELECT LIST(LIST_REDUCE(LIST_PREPEND(b, RANGE(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS code
+  FROM RANGE(256) AS r(b)
+), runs AS (
+  SELECT doc_id, TRANSLATE(UNNEST(REGEXP_EXTRACT_ALL(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents
+), counted AS (SELECT doc_id, run, COUNT(*) AS times FROM runs GROUP BY ALL),
+bytes AS (
+  SELECT doc_id, run, times, LIST_TRANSFORM(RANGE(1, LEN(h) + 1, 2), lambda i: ('0x' || h[i:i + 1])::BIGINT) AS b
+  FROM (SELECT *, HEX(ENCODE(doc_id || ':' || run)) AS h FROM counted)
+), hashed AS (
+  SELECT run, times, xor(LIST_REDUCE(LIST_PREPEND(4294967295, b), lambda c, x: xor(c >> 8, code[(xor(c, x) & 255) + 1])), 4294967295) AS h
+  FROM bytes, codes
+), words AS (
+  SELECT CASE WHEN h % 97 = 0 THEN run[:h % LENGTH(run)] || run[h % LENGTH(run) + 2:] ELSE run END AS word, times FROM hashed
+), v AS (SELECT word, SUM(times)::BIGINT AS n FROM words WHERE LENGTH(word) >= 5 GROUP BY word HAVING SUM(times) >= 3),
+cuts AS (SELECT word, n, i, word[:i - 1] || word[i + 1:] AS rest FROM v, RANGE(1, LENGTH(word) + 1) AS r(i)),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT v.word, cuts.word, cuts.n FROM v JOIN cuts ON v.word = cuts.rest
+  UNION SELECT cuts.word, v.word, v.n FROM v JOIN cuts ON v.word = cuts.rest
+), best AS (
+  SELECT word, COUNT(*) AS n_near, MAX(other_n) AS top, FIRST(other ORDER BY other_n DESC, other) AS other FROM near GROUP BY word
+), f AS (
+  SELECT v.word, v.n, COALESCE(n_near, 0)::BIGINT AS n_near, CASE WHEN top >= 2 * v.n THEN other END AS form,
+         CASE WHEN top >= 2 * v.n THEN top END AS form_n
+  FROM v LEFT JOIN best USING (word)
+), steps AS (
+  SELECT word, word AS root, form AS next FROM f
+  UNION ALL SELECT steps.word, f.word, f.form FROM steps JOIN f ON steps.next = f.word
+)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN steps USING (word) WHERE next IS NULL
+""")
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.count_words(_table(spark, sf_dir, "documents"), misprint=97)
+    return spelling.group_spellings(words)

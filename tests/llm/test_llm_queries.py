@@ -27,12 +27,15 @@ COLUMNS = {
     8: {"doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"},
     9: {"conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"},
     10: {"doc_id", "fingerprint", "component_id"},
+    11: {"query_id", "rank", "vec_id", "score"},
+    12: {"anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"},
+    13: {"word", "form", "root", "n", "n_near", "form_n"},
 }
 
 
-def test_ten_operators_and_the_pipeline():
+def test_operators_and_the_pipeline():
     names = entry_points.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 14))
     assert names["pipeline"] is corpus_pipeline.run and set(CHECKS) <= set(QUERIES)
 
 
