@@ -3,23 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import (
-    DecisionTreeRegressor,
     GBTRegressor,
     GeneralizedLinearRegression,
     RandomForestRegressor,
 )
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.functions.scalar import abs_error, expm1_target, log1p_target
-from panelcast.operators.history import raw_lag_arrays
-from panelcast.operators.storage import checkpoint_dir, scratch_path
+from panelcast.functions.scalar import expm1_target, log1p_target
+from panelcast.operators.storage import checkpoint_dir
 
 FEATURES = "_features"
 
@@ -125,86 +121,3 @@ def predict_by_entity(
         for name, fit in fits.items()
     ]
     return reduce(DataFrame.unionByName, parts)
-
-
-def window_screen(
-    panel: DataFrame,
-    entity: str,
-    time_order: str,
-    target: str,
-    signals: Sequence[str],
-    lengths: Sequence[int],
-    entities: Sequence | None = None,
-    folds: int = 10,
-    chronological: bool = True,
-    depth: int = 5,
-    parallelism: int = 4,
-) -> DataFrame:
-    """Cross-validated error of a decision tree on the last L values, per (entity, signal, L).
-
-    Pooled by default: one tree per (signal, length, fold) is fitted to the rows of all series, with the
-    series' mean before the fold as a further input, and its errors are summed per series; the number of fits does not
-    grow with the series. With ``entities``, a short declared list, every listed series has trees of its own: the
-    number of fits is then that of the list times the grid.
-
-    Chronological mode validates fold k on a tree fitted to the folds before it; otherwise folds are drawn
-    by a hash and each is held out once. The lagged table is written once and read by every fit. A cell without a
-    validated row has a null error.
-    """
-    spark: SparkSession = panel.sparkSession
-    longest = max(lengths)
-    lagged = raw_lag_arrays(panel, [entity], time_order, {s: longest for s in signals})
-    ready = lagged.where(F.size(f"{signals[0]}_lags") == longest)
-    if chronological:
-        share = F.floor(F.col(time_order) * (folds + 1) / F.col("n"))
-        fold = F.least(share, F.lit(folds))
-    else:
-        fold = F.pmod(F.xxhash64(F.lit(7), F.col(entity), F.col(time_order)), F.lit(folds)) + 1
-    data = _written(ready.select(
-        entity, fold.cast("long").alias("_fold"), F.col(target).cast("double").alias("_label"),
-        *[F.col(f"{s}_lags") for s in signals],
-    ))
-    tree = DecisionTreeRegressor(featuresCol=FEATURES, labelCol="_label", maxDepth=depth, minInstancesPerNode=5)
-
-    def cell(name, signal: str, length: int, k: int) -> list:
-        own = data.where(F.col(entity) == name) if entities is not None else data
-        held = F.col("_fold") == k
-        inside = F.col("_fold") < k if chronological else ~held
-        last = F.slice(f"{signal}_lags", longest - length + 1, length)
-        if entities is None:
-            level = own.where(inside).groupBy(entity).agg(F.avg("_label").alias("_level"))
-            own, last = own.join(level, entity), F.concat(F.array("_level"), last)
-        rows = own.select(entity, "_label", "_fold", array_to_vector(last).alias(FEATURES))
-        train = rows.where(inside)
-        if train.isEmpty():
-            return []
-        scored = tree.fit(train).transform(rows.where(held))
-        return [scored.groupBy(entity).agg(F.sum(abs_error("_label", "prediction")).alias("s"), F.count("*").alias("c")).select(
-            entity, F.lit(signal).alias("variable"), F.lit(length).cast("long").alias("length"), "s", "c"
-        )]
-
-    cells = [(e, s, length, k) for e in (entities if entities is not None else [None]) for s in signals for length in lengths for k in range(1, folds + 1)]
-    with ThreadPoolExecutor(parallelism) as pool:
-        parts = [p for found in pool.map(lambda c: cell(*c), cells) for p in found]
-    wanted = data.select(entity).distinct() if entities is None else data.where(F.col(entity).isin(list(entities))).select(entity).distinct()
-    grid = F.array(*[F.struct(F.lit(s).alias("variable"), F.lit(n).cast("long").alias("length")) for s in signals for n in lengths])
-    names = wanted.select(entity, F.inline(grid))
-    if not parts:
-        return names.withColumn("mae", F.lit(None).cast("double"))
-    errors = _written(reduce(DataFrame.unionByName, parts)).groupBy(entity, "variable", "length").agg(
-        (F.sum("s") / F.sum("c")).alias("mae")
-    )
-    return names.join(errors, [entity, "variable", "length"], "left")
-
-
-def _written(df: DataFrame) -> DataFrame:
-    """``df`` as Parquet below the checkpoint folder, of which later reads take the columns they need."""
-    path = scratch_path(df.sparkSession, "table")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def best_window(screen: DataFrame, entity: str) -> DataFrame:
-    """Length with the lowest error per (entity, variable); the shorter one wins a tie."""
-    order = Window.partitionBy(entity, "variable").orderBy("mae", "length")
-    return screen.where(F.col("mae").isNotNull()).withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelcast.functions.scalar import round_nearest_nonneg
-from panelcast.operators import trees
+from panelcast.operators import screen, trees
 from panelcast.operators.evaluate import mae
 from panelcast.operators.history import (
     history_complete,
@@ -22,7 +22,7 @@ from panelcast.operators.history import (
     tree_feature_names,
 )
 from panelcast.operators.mlp import score_mlp, train_grouped_mlp, training_history
-from panelcast.operators.storage import save_point, scratch_path
+from panelcast.operators.storage import save_point, scratch_path, written
 from panelcast.plans.experiments import fold_examples, fold_panel, run_grid, summarise_grid
 from panelcast.plans.forecast import SPLIT, city_features, count_column, evaluate, forecast, predict_entities
 from panelcast.queries.history import FLAG_LAGS, FLAG_SETTINGS, tree_panel
@@ -383,6 +383,6 @@ SCREENED = tuple(range(3, 52))
 def window_screen(spark, d):
     """Pooled over all series and signals, ten folds, all 49 lengths."""
     panel = save_point(flag_week(spark, d))
-    screen = save_point(trees.window_screen(panel, "entity", "seq", "target", SIGNALS, SCREENED, parallelism=8))
-    best = trees.best_window(screen, "entity")
+    errors = written(screen.window_screen(panel, "entity", "seq", "target", SIGNALS, SCREENED))
+    best = screen.best_window(errors, "entity")
     return best.select("entity", "variable", (F.col("length").isin(*SCREENED) & (F.col("mae") > 0)).alias("in_grid"))

@@ -2,10 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import make_panel, to_spark
 from panelcast.operators import evaluate as V
 from panelcast.operators import trees
-from panelcast.operators.position import row_position
 
 
 @pytest.fixture(scope="module")
@@ -43,31 +41,6 @@ def test_boosting_rejects_unknown_objectives(data):
         trees.boosted_regressor(data[0], ["a"], "y", objective="poisson")
 
 
-@pytest.mark.parametrize("chronological", [True, False])
-@pytest.mark.parametrize("entities", [None, ["a"]])
-def test_window_screen_covers_the_grid(spark, chronological, entities):
-    placed = row_position(to_spark(spark, make_panel({"a": 120, "b": 90})), ["city"], "week_start_date", "day")
-    screen = trees.window_screen(
-        placed, "city", "seq", "total_cases", ["rain"], [3, 8], entities, folds=3, chronological=chronological
-    )
-    rows = screen.orderBy("city", "length").collect()
-    cities = entities or ["a", "b"]
-    assert [(r["city"], r["variable"], r["length"]) for r in rows] == [(c, "rain", n) for c in cities for n in (3, 8)]
-    assert all(r["mae"] > 0 for r in rows)
-    best = trees.best_window(screen, "city").where("city = 'a'").first()
-    assert best["mae"] == min(r["mae"] for r in rows if r["city"] == "a")
-
-
-def test_screen_fits_do_not_grow_with_the_series(spark, monkeypatch):
-    fits = []
-    plain = trees.DecisionTreeRegressor.fit
-    monkeypatch.setattr(trees.DecisionTreeRegressor, "fit", lambda self, df: fits.append(1) or plain(self, df))
-    for series in ({"a": 90}, {"a": 90, "b": 90, "c": 90}):
-        placed = row_position(to_spark(spark, make_panel(series)), ["city"], "week_start_date", "day")
-        trees.window_screen(placed, "city", "seq", "total_cases", ["rain"], [4], folds=2).collect()
-    assert len(fits) == 4
-
-
 def test_climatology_falls_back_to_the_mean(spark):
     train = spark.createDataFrame([("a", 1, 2.0), ("a", 1, 4.0), ("a", 2, 9.0)], "e string, week long, y double")
     held = spark.createDataFrame([("a", 1), ("a", 3)], "e string, week long")
