@@ -1,20 +1,25 @@
 """Grouped neural networks: one model per (entity, fold, seed, config) group, trained by Spark tasks.
 
-The scale axis is the number of groups; the rows of one group meet in one task, which
-``MlpConfig.max_rows`` bounds. Errors are measured over all rows by distributed scoring, for every size.
+The scale axis is the number of groups. A fit reads as many rows as its steps draw, whatever the size of its group: of
+larger groups only the drawn rows are sent to its task. All seeds of a group and config train as one stack of
+networks, and fits are placed one to a partition, the longest first. Errors are measured over all rows by distributed
+scoring, for every size.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelcast.functions.scalar import SELU_ALPHA, SELU_SCALE
+from panelcast.operators.quantile import null_safe
+from panelcast.operators.storage import written
 from panelcast.spec import MlpConfig
 
 # Solver constants.
@@ -25,6 +30,12 @@ RATE_DECAY = 0.8
 RATE_FLOOR = 1e-6
 
 SCORE_ROWS = 16384
+#: Fits that are placed one by one by their cost; more are dealt by a hash, which then is even enough.
+PLACED_FITS = 100_000
+FIT_PLACES = 2000
+RANK_ROWS = 16384
+#: Weights that are sent to every task for scoring: 64 MB as doubles. More models meet their rows by cogroup.
+SENT_WEIGHTS = 8_000_000
 
 LAYERS_TYPE = "array<struct<weights:array<double>,bias:array<double>>>"
 HISTORY_TYPE = "array<struct<epoch:int,train_mae_dropout:double,lr:double>>"
@@ -67,47 +78,96 @@ def _count_errors(layers: Layers, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def loss_gradients(
     layers: Layers, x: np.ndarray, y: np.ndarray, masks: Sequence[np.ndarray]
-) -> tuple[float, Layers]:
-    """Mean absolute error of one batch and its gradient; ``masks`` scale the hidden outputs."""
+) -> tuple[np.ndarray, Layers]:
+    """Mean absolute error of one batch and its gradient; ``masks`` scale the hidden outputs.
+
+    All arrays may have a leading axis of networks, which are then trained side by side.
+    """
     inputs, drives = [x], []
     for (w, b), mask in zip(layers, [*masks, None], strict=True):
-        drive = inputs[-1] @ w + b
+        drive = inputs[-1] @ w + b[..., None, :]
         drives.append(drive)
         inputs.append(drive if mask is None else _selu(drive) * mask)
-    residual = inputs[-1][:, 0] - y
-    signal = (np.sign(residual) / len(y))[:, None]
+    residual = inputs[-1][..., 0] - y
+    signal = (np.sign(residual) / y.shape[-1])[..., None]
     gradients: Layers = []
     for depth in range(len(layers) - 1, -1, -1):
-        gradients.append((inputs[depth].T @ signal, signal.sum(axis=0)))
+        gradients.append((inputs[depth].swapaxes(-1, -2) @ signal, signal.sum(axis=-2)))
         if depth:
-            signal = (signal @ layers[depth][0].T) * masks[depth - 1] * _selu_slope(drives[depth - 1])
-    return float(np.mean(np.abs(residual))), gradients[::-1]
+            signal = (signal @ layers[depth][0].swapaxes(-1, -2)) * masks[depth - 1] * _selu_slope(drives[depth - 1])
+    return np.mean(np.abs(residual), axis=-1), gradients[::-1]
+
+
+def drawn_rows(config: MlpConfig) -> int:
+    """Row draws of one fit, at most."""
+    return config.epochs * config.steps * config.batch
+
+
+def _first_order(count: int, config: MlpConfig, rng: np.random.Generator) -> np.ndarray:
+    """Order of the first pass over the rows. Of more rows than all steps draw, only those drawn."""
+    draws = drawn_rows(config)
+    return rng.permutation(count) if count <= draws else rng.choice(count, draws, replace=False)
 
 
-def _batches(count: int, size: int, reshuffle: bool, rng: np.random.Generator) -> Iterator[np.ndarray]:
+def _batches(count: int, config: MlpConfig, rng: np.random.Generator) -> Iterator[np.ndarray]:
     """Endless row batches; the last batch of a pass may be short."""
-    order = rng.permutation(count)
+    order = _first_order(count, config, rng)
     while True:
-        for start in range(0, count, size):
-            yield order[start : start + size]
-        if reshuffle:
+        for start in range(0, len(order), config.batch):
+            yield order[start : start + config.batch]
+        if config.reshuffle:
             order = rng.permutation(count)
 
 
+def rows_of_fit(count: int, width: int, config: MlpConfig, seed: int) -> np.ndarray:
+    """Numbers of the rows that a fit on ``count`` rows reads."""
+    rng = np.random.default_rng(seed)
+    new_layers([width, *config.hidden, 1], rng)
+    return np.unique(_first_order(count, config, rng))
+
+
+class _Stack:
+    """Weights of several networks of one shape as rows of one matrix, with a view per layer."""
+
+    def __init__(self, shapes: list[tuple[int, ...]], count: int):
+        self.shapes = shapes
+        self.flat = np.zeros((count, sum(int(np.prod(s)) for s in shapes)))
+        views, start = [], 0
+        for shape in shapes:
+            stop = start + int(np.prod(shape))
+            views.append(self.flat[:, start:stop].reshape(count, *shape))
+            start = stop
+        self.layers: Layers = list(zip(views[::2], views[1::2]))
+
+    def fill(self, layers: Layers) -> None:
+        for mine, theirs in zip(self.layers, layers, strict=True):
+            for view, value in zip(mine, theirs, strict=True):
+                view[...] = value
+
+    def network(self, i: int) -> Layers:
+        return [(w[i].copy(), b[i].copy()) for w, b in self.layers]
+
+
 class _RmsProp:
-    """RMSprop: v = rho v + (1 - rho) g^2; w = w - lr g / (sqrt(v) + epsilon), with g clipped by element."""
+    """RMSprop: v = rho v + (1 - rho) g^2; w = w - lr g / (sqrt(v) + epsilon), with g clipped by element.
+
+    Works in place on the rows of flat weights; every network has a rate of its own.
+    """
 
-    def __init__(self, layers: Layers):
-        self.v = [np.zeros_like(w) for layer in layers for w in layer]
+    def __init__(self, weights: np.ndarray):
+        self.v, self.work = np.zeros_like(weights), np.empty_like(weights)
 
-    def apply(self, layers: Layers, gradients: Layers, lr: float) -> None:
-        weights = (w for layer in layers for w in layer)
-        slopes = (g for layer in gradients for g in layer)
-        for w, g, v in zip(weights, slopes, self.v, strict=True):
-            g = np.clip(g, -GRADIENT_LIMIT, GRADIENT_LIMIT)
-            v *= RMS_DECAY
-            v += (1.0 - RMS_DECAY) * g * g
-            w -= lr * g / (np.sqrt(v) + RMS_EPSILON)
+    def apply(self, weights: np.ndarray, g: np.ndarray, rates: np.ndarray) -> None:
+        np.clip(g, -GRADIENT_LIMIT, GRADIENT_LIMIT, out=g)
+        np.multiply(g, 1.0 - RMS_DECAY, out=self.work)
+        self.work *= g
+        self.v *= RMS_DECAY
+        self.v += self.work
+        np.sqrt(self.v, out=self.work)
+        self.work += RMS_EPSILON
+        g *= rates[:, None]
+        g /= self.work
+        weights -= g
 
 
 class _ReduceOnPlateau:
@@ -127,32 +187,57 @@ class _ReduceOnPlateau:
             self.lr, self.wait = max(RATE_FLOOR, RATE_DECAY * self.lr), 0
 
 
-def fit_network(x: np.ndarray, y: np.ndarray, config: MlpConfig, seed: int, after_epoch=None) -> tuple[Layers, list[dict]]:
-    """Train one network: its layers and (epoch, train_mae_dropout, lr) of every epoch.
+def fit_networks(
+    x: np.ndarray, y: np.ndarray, config: MlpConfig, seeds: Sequence[int], after_epoch=None,
+    numbers: np.ndarray | None = None, count: int | None = None,
+) -> list[tuple[Layers, list[dict]]]:
+    """Train one network per seed side by side: layers and (epoch, train_mae_dropout, lr) of every epoch.
 
-    ``after_epoch`` is called with the layers.
+    Each network draws rows and masks from its own seed, as it would alone. ``after_epoch`` is called with the
+    layers of all networks. If ``x`` and ``y`` are a part of ``count`` rows, ``numbers`` are theirs, ascending.
     """
-    rng = np.random.default_rng(seed)
-    layers = new_layers([x.shape[1], *config.hidden, 1], rng)
-    solver, schedule = _RmsProp(layers), _ReduceOnPlateau(config.learning_rate, config.patience)
-    batches = _batches(len(x), config.batch, config.reshuffle, rng)
+    count = len(x) if count is None else count
+    rngs = [np.random.default_rng(s) for s in seeds]
+    first = [new_layers([x.shape[1], *config.hidden, 1], rng) for rng in rngs]
+    shapes = [a.shape for layer in first[0] for a in layer]
+    nets, slopes = _Stack(shapes, len(rngs)), _Stack(shapes, len(rngs))
+    nets.fill([tuple(np.stack(parts) for parts in zip(*layer)) for layer in zip(*first)])
+    solver = _RmsProp(nets.flat)
+    schedules = [_ReduceOnPlateau(config.learning_rate, config.patience) for _ in rngs]
+    batches = [_batches(count, config, rng) for rng in rngs]
     dropouts = list(zip(config.hidden, (1.0 - d for d in config.dropout), strict=True))
 
-    def step() -> float:
-        rows = next(batches)
-        masks = [(rng.random((len(rows), width)) < keep) / keep for width, keep in dropouts]
-        loss, gradients = loss_gradients(layers, x[rows], y[rows], masks)
-        solver.apply(layers, gradients, schedule.lr)
+    def step(rates: np.ndarray) -> np.ndarray:
+        rows = np.stack([next(b) for b in batches])
+        if numbers is not None:
+            rows = np.searchsorted(numbers, rows)
+        drawn = [[rng.random((rows.shape[1], width)) for width, _ in dropouts] for rng in rngs]
+        masks = [(np.stack(own) < keep) / keep for own, (_, keep) in zip(zip(*drawn), dropouts)]
+        loss, gradients = loss_gradients(nets.layers, x[rows].astype(np.float64), y[rows], masks)
+        slopes.fill(gradients)
+        solver.apply(nets.flat, slopes.flat, rates)
         return loss
 
-    history = []
+    history: list[list[dict]] = [[] for _ in rngs]
     for epoch in range(1, config.epochs + 1):
-        loss = float(np.mean([step() for _ in range(config.steps)]))
-        history.append({"epoch": epoch, "train_mae_dropout": loss, "lr": schedule.lr})
+        rates = np.array([s.lr for s in schedules])
+        # Steps are the inner axis, so a mean is added up alike however many networks there are.
+        losses = np.stack([step(rates) for _ in range(config.steps)], axis=1).mean(axis=1)
+        for own, schedule, loss in zip(history, schedules, losses.tolist()):
+            own.append({"epoch": epoch, "train_mae_dropout": loss, "lr": schedule.lr})
         if after_epoch:
-            after_epoch(layers)
-        schedule.observe(loss)
-    return layers, history
+            after_epoch([nets.network(i) for i in range(len(rngs))])
+        for schedule, loss in zip(schedules, losses.tolist()):
+            schedule.observe(loss)
+    return [(nets.network(i), own) for i, own in enumerate(history)]
+
+
+def fit_network(x: np.ndarray, y: np.ndarray, config: MlpConfig, seed: int, after_epoch=None) -> tuple[Layers, list[dict]]:
+    """Train one network: its layers and (epoch, train_mae_dropout, lr) of every epoch.
+
+    ``after_epoch`` is called with the layers.
+    """
+    return fit_networks(x, y, config, [seed], after_epoch and (lambda now: after_epoch(now[0])))[0]
 
 
 def _pack(layers: Layers) -> list[dict]:
@@ -176,19 +261,85 @@ def _matrix(features: pd.Series) -> np.ndarray:
 # --- Spark jobs -------------------------------------------------------------------------------------
 
 
-def check_group_sizes(train: DataFrame, by: Sequence[str], limits: dict[str, int | None], runs=None) -> None:
-    """Raise for a group with more rows than the ``max_rows`` of its config. Counts keys only."""
-    sizes = train.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"))
-    if runs:
-        bounds = [limits[config] for config, _ in runs if limits[config] is not None]
-        most = F.lit(min(bounds)) if bounds else F.lit(None)
+def fits_of(
+    train: DataFrame, by: Sequence[str], configs: dict[str, MlpConfig], runs: Sequence[tuple[str, int]] | None
+) -> DataFrame:
+    """One row per fit (group and config): its ``_config``, ``_seeds``, ``_rows``, ``_width``, ``_drawn`` (rows it reads of its
+    group, null for all) and ``_cost``."""
+    sizes = train.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_rows"), F.max(F.size("features")).alias("_width")
+    )
+    if runs is None:
+        fits = sizes.withColumns({"_config": F.col("config"), "_seeds": F.array(F.col("seed").cast("long"))})
     else:
-        pairs = [F.lit(v) for name, limit in limits.items() for v in (name, limit)]
-        most = F.element_at(F.create_map(*pairs), F.col("config"))
-    large = sizes.where(F.col("rows") > most.cast("long")).first()
-    if large is not None:
-        group = large.asDict()
-        raise ValueError(f"group {group} has more rows than MlpConfig.max_rows; raise it or train on fewer series")
+        seeds: dict[str, list[int]] = {}
+        for config, seed in runs:
+            seeds.setdefault(config, []).append(int(seed))
+        listed = [F.struct(F.lit(c).alias("_config"), F.array(*[F.lit(s).cast("long") for s in own]).alias("_seeds")) for c, own in seeds.items()]
+        fits = sizes.select("*", F.inline(F.array(*listed)))
+    of = lambda value: F.element_at(
+        F.create_map(*[F.lit(x) for name, c in configs.items() for x in (name, float(value(c)))]), F.col("_config")
+    )
+    steps, first = of(lambda c: c.epochs * c.steps), of(lambda c: c.hidden[0] if c.hidden else 1)
+    draws = of(drawn_rows)
+    return fits.withColumns({
+        "_drawn": F.when(F.col("_rows") > draws, draws.cast("long")),
+        "_cost": steps * (of(lambda c: c.batch * 1000) + F.size("_seeds") * F.col("_width") * first),
+    })
+
+
+def placed_fits(fits: DataFrame) -> tuple[DataFrame, int, bool]:
+    """``fits`` with ``_place``, the number of places, and whether any fit reads only a part of its group.
+
+    Every fit has a partition of its own, in order of falling cost: tasks start in that order, so the longest fit never
+    comes last. Beyond ``FIT_PLACES`` fits, each goes to the place with the least cost so far.
+    """
+    spark, schema = fits.sparkSession, T.StructType([*fits.schema.fields, T.StructField("_place", T.IntegerType())])
+    known = fits.limit(PLACED_FITS + 1).collect()
+    if len(known) > PLACED_FITS:
+        saved = written(fits.withColumn("_place", F.pmod(F.xxhash64(*fits.columns), F.lit(FIT_PLACES)).cast("int")))
+        return saved, FIT_PLACES, not saved.where(F.col("_drawn").isNotNull()).isEmpty()
+    loads = [(0.0, place) for place in range(min(FIT_PLACES, max(1, len(known))))]
+    rows = []
+    for fit in sorted(known, key=lambda r: (-(r["_cost"] or 0.0), repr(r))):
+        load, place = loads[0]
+        heapq.heapreplace(loads, (load + (fit["_cost"] or 0.0) + 1.0, place))
+        rows.append((*fit, place))
+    return F.broadcast(spark.createDataFrame(rows, schema)), len(loads), any(r["_drawn"] for r in known)
+
+
+def _drawn_examples(train: DataFrame, fits: DataFrame, by: list[str], order: str, configs: dict[str, MlpConfig]) -> DataFrame:
+    """Rows that the fits of large groups read, with their number ``_number`` in the group's order.
+
+    Rows are counted per stretch of positions and numbered inside their stretch, so no task sees a whole group.
+    ``order`` must tell the rows of such a group apart.
+    """
+    large = fits.where(F.col("_drawn").isNotNull())
+    groups = large.select(*by).distinct()
+    own = null_safe(train, groups, by).withColumn("_stretch", F.floor(F.col(order) / RANK_ROWS))
+    before = Window.partitionBy(*by).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    starts = own.groupBy(*by, "_stretch").agg(F.count(F.lit(1)).alias("_held")).select(
+        *by, "_stretch", F.coalesce(F.sum("_held").over(before), F.lit(0)).alias("_start")
+    )
+    inside = F.row_number().over(Window.partitionBy(*by, "_stretch").orderBy(order))
+    numbered = null_safe(own.withColumn("_inside", inside), starts, [*by, "_stretch"]).withColumn(
+        "_number", (F.col("_start") + F.col("_inside") - 1).cast("long")
+    ).drop("_start", "_inside", "_stretch")
+    schema = T.StructType([*fits.schema.fields, T.StructField("_number", T.LongType())])
+
+    def draw(batches):
+        for pdf in batches:
+            for fit in pdf.to_dict("records"):
+                config = configs[fit["_config"]]
+                rows = [rows_of_fit(int(fit["_rows"]), int(fit["_width"]), config, int(s)) for s in fit["_seeds"]]
+                found = np.unique(np.concatenate(rows))
+                out = pdf.iloc[:0].reindex(range(len(found)))
+                for c in pdf.columns:
+                    out[c] = pd.Series([fit[c]] * len(found), dtype=pdf[c].dtype)
+                yield out.assign(_number=found)
+
+    wanted = large.repartition("_place").mapInPandas(draw, schema)
+    return null_safe(numbered, wanted, [*by, "_number"])
 
 
 def train_grouped_mlp(
@@ -204,18 +355,19 @@ def train_grouped_mlp(
     input width.
 
     A run is a config and a seed. Either ``by`` contains ``config`` and ``seed`` columns, or ``runs``
-    lists what every group is trained with; then a group's rows are sent once, whatever the number of
-    runs. Rows are put in ``order`` before training, so a result depends on rows, config and seed alone.
-    Of examples with a ``role``, only those with ``train`` take part. A group that exceeds its config's
-    ``max_rows`` raises. ``snapshots`` keeps the layers of every epoch, from which `training_history`
-    measures errors. Use ``save_point`` on a result read repeatedly.
+    lists what every group is trained with; then a group's rows are sent once per config, and all its seeds train
+    together. Rows are put in ``order`` before training, so a result depends on rows, config and seed alone.
+    Of examples with a ``role``, only those with ``train`` take part. A task holds at most the rows that the
+    steps of its fit draw (epochs x steps x batch per seed); a group with more rows is numbered in its ``order``,
+    which must tell its rows apart, and only drawn rows are sent. ``snapshots`` keeps the layers of every epoch,
+    from which `training_history` measures errors. ``examples`` are read more than once, so save them beforehand. Use
+    ``written`` or ``save_point`` on a result read repeatedly.
     """
     by = list(by)
     if (runs is None) != ({"config", "seed"} <= set(by)):
         raise ValueError("give config and seed either as group columns or as runs")
     train = examples.where(F.col("role") == "train") if "role" in examples.columns else examples
     train = train.select(*by, order, F.col(target).cast("double").alias("_y"), "features")
-    check_group_sizes(train, by, {name: c.max_rows for name, c in configs.items()}, runs)
     added = [] if runs is None else [T.StructField("config", T.StringType()), T.StructField("seed", T.LongType())]
     schema = T.StructType(
         [f for f in train.schema.fields if f.name in by]
@@ -230,23 +382,45 @@ def train_grouped_mlp(
     )
     keys = [f.name for f in train.schema.fields if f.name in by]
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        pdf = pd.concat(parts, ignore_index=True)
         group = {k: pdf[k].iloc[0] for k in keys}
-        pdf = pdf.sort_values(order, kind="stable")
-        x, y = _matrix(pdf["features"]), pdf["_y"].to_numpy(np.float64)
-        out = []
-        for config, seed in runs or [(group["config"], group["seed"])]:
-            kept: list = []
-            layers, history = fit_network(
-                x, y, configs[config], int(seed), (lambda now: kept.append(_pack(now))) if snapshots else None  # noqa: B023
-            )
-            out.append({
-                **group, "config": config, "seed": int(seed), "width": x.shape[1], "train_rows": len(x),
-                "layers": _pack(layers), "history": history, "snapshots": kept,
-            })
+        config, seeds = pdf["_config"].iloc[0], [int(s) for s in pdf["_seeds"].iloc[0]]
+        count, part = int(pdf["_rows"].iloc[0]), pdf["_number"].notna().iloc[0]
+        pdf = pdf.sort_values("_number" if part else order, kind="stable")
+        numbers = pdf["_number"].to_numpy(np.int64) if part else None
+        x, y = np.stack(pdf["features"].to_numpy()), pdf["_y"].to_numpy(np.float64)
+        kept: list = []
+        keep = (lambda now: kept.append([_pack(layers) for layers in now])) if snapshots else None
+        fitted = fit_networks(x, y, configs[config], seeds, keep, numbers, count)
+        out = [
+            {
+                **group, "config": config, "seed": seed, "width": x.shape[1], "train_rows": count,
+                "layers": _pack(layers), "history": history, "snapshots": [now[i] for now in kept],
+            }
+            for i, (seed, (layers, history)) in enumerate(zip(seeds, fitted, strict=True))
+        ]
         return pd.DataFrame(out)[[f.name for f in schema.fields]]
 
-    return train.groupBy(*by).applyInPandas(fit, schema)
+    def fit_each(batches):
+        parts, last = [], None
+        for pdf in batches:
+            fits = [tuple(None if v != v else v for v in row) for row in zip(*[pdf[c] for c in (*keys, "_config")])]
+            starts = [i for i in range(len(fits)) if not i or fits[i] != fits[i - 1]] + [len(fits)]
+            for start, stop in zip(starts, starts[1:]):
+                if parts and fits[start] != last:
+                    yield fit(parts)
+                    parts = []
+                last = fits[start]
+                parts.append(pdf.iloc[start:stop])
+        if parts:
+            yield fit(parts)
+
+    fits, places, partly = placed_fits(fits_of(train, by, configs, runs))
+    whole = null_safe(train, fits.where(F.col("_drawn").isNull()), by).withColumn("_number", F.lit(None).cast("long"))
+    rows = whole.unionByName(_drawn_examples(train, fits, by, order, configs)) if partly else whole
+    placed = rows.repartitionById(places, "_place").sortWithinPartitions(*by, "_config", order)
+    return placed.mapInPandas(fit_each, schema)
 
 
 def _meet(examples: DataFrame, models: DataFrame, by: Sequence[str], order: str, rows: int, sent: Sequence[str]):
@@ -264,6 +438,49 @@ def _meet(examples: DataFrame, models: DataFrame, by: Sequence[str], order: str,
     return blocked.groupBy(*keyed).cogroup(placed.groupBy(*[f"_model_{c}" for c in keyed]))
 
 
+def _sent_models(models: DataFrame, by: Sequence[str], runs: Sequence[str]) -> list | None:
+    """Models as rows, if all their weights are few enough to be sent to every task."""
+    weights = F.aggregate("layers", F.lit(0), lambda n, layer: n + F.size(layer["weights"]) + F.size(layer["bias"]))
+    total = models.agg(F.sum(weights.cast("long")), F.count(F.lit(1))).first()
+    if (total[0] or 0) + 100 * total[1] > SENT_WEIGHTS:
+        return None
+    return models.select(*by, *runs, "width", "layers").collect()
+
+
+def _score_sent(examples: DataFrame, models: DataFrame, sent: list, by: Sequence[str], runs: Sequence[str]) -> DataFrame:
+    """Score rows where they are, with models sent to the tasks."""
+    by, runs = list(by), list(runs)
+    kept = [f for f in examples.schema.fields if f.name != "features"]
+    schema = T.StructType([*kept, *[models.schema[c] for c in runs], T.StructField("prediction", T.DoubleType())])
+    names, columns = [f.name for f in kept], [f.name for f in schema.fields]
+    known: dict[tuple, list] = {}
+    for m in sent:
+        known.setdefault(tuple(m[c] for c in by), []).append(m)
+    spread = examples.sparkSession.sparkContext.broadcast(known)
+
+    def score(batches):
+        for pdf in batches:
+            groups: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(*[pdf[c] for c in by])):
+                groups.setdefault(tuple(None if v != v else v for v in key), []).append(i)
+            parts = []
+            for key, rows in groups.items():
+                own = pdf.iloc[rows]
+                found = spread.value.get(key)
+                if not found:
+                    parts.append(own[names].assign(**{c: None for c in runs}, prediction=np.nan))
+                    continue
+                x = _matrix(own["features"])
+                parts += [
+                    own[names].assign(**{c: m[c] for c in runs}, prediction=predict(unpack(m["layers"], int(m["width"])), x))
+                    for m in found
+                ]
+            yield pd.concat(parts, ignore_index=True)[columns] if parts else pd.DataFrame({c: [] for c in columns})
+
+    scored = examples.mapInPandas(score, schema)
+    return scored.withColumn("prediction", F.nanvl("prediction", F.lit(None).cast("double")))
+
+
 def score_mlp(
     examples: DataFrame, models: DataFrame, by: Sequence[str], order: str = "pos", rows: int = SCORE_ROWS,
     runs: Sequence[str] = (),
@@ -272,8 +489,12 @@ def score_mlp(
 
     ``runs`` names columns of ``models`` that tell several models of a group apart: every example then
     comes once per model of its group, with these columns. An example whose group has no model keeps a
-    null prediction.
+    null prediction. ``models`` are read twice, so save them beforehand. Up to ``SENT_WEIGHTS`` weights in all, counted
+    first, the models go to the rows and no row moves; beyond, blocks of rows meet their models.
     """
+    sent = _sent_models(models, by, runs)
+    if sent is not None:
+        return _score_sent(examples, models, sent, by, runs)
     kept = [f for f in examples.schema.fields if f.name != "features"]
     told = [models.schema[c] for c in runs]
     schema = T.StructType([*kept, *told, T.StructField("prediction", T.DoubleType())])

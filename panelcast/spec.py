@@ -32,8 +32,7 @@ class PanelSpec:
 class MlpConfig:
     """Network and solver settings of one model family; the defaults are fixed values of the published run.
 
-    One fit runs in one task and holds all rows of its group there. ``max_rows`` bounds that: a larger
-    group raises with its key and size. Set it to what a task's memory allows, or to None for no bound.
+    One fit runs in one task and holds at most the rows that its steps draw: epochs x steps x batch.
     """
 
     hidden: tuple[int, ...] = (100, 25)
@@ -44,7 +43,6 @@ class MlpConfig:
     batch: int = 16
     patience: int = 3
     reshuffle: bool = True
-    max_rows: int | None = 1_000_000
 
 
 @dataclass(frozen=True)

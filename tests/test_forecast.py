@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 
 from conftest import SIGNALS, make_panel, to_spark
 from panelcast.operators.contracts import ContractError, check_output_schema
-from panelcast.operators.mlp import fit_network, loss_gradients, new_layers, predict, score_mlp, train_grouped_mlp, training_history, unpack
+from panelcast.operators import mlp
+from panelcast.operators.mlp import (
+    drawn_rows, fit_network, fit_networks, fits_of, loss_gradients, new_layers, placed_fits, predict, score_mlp,
+    train_grouped_mlp, training_history, unpack,
+)
 from panelcast.plans.forecast import city_features, evaluate, evaluate_files, forecast, forecast_files, prepare
 from panelcast.sources.csv import label_schema, read_back
 from panelcast.spec import (
@@ -231,12 +235,71 @@ def test_errors_of_every_epoch_are_measured_over_all_rows(spark, count):
     assert np.allclose([v for v in row["snapshots"][-1][0]["weights"]], row["layers"][0]["weights"])
 
 
-def test_a_group_above_its_bound_raises_with_its_key(spark):
-    df, by = _series(spark, 50), ["city", "seed", "config"]
-    with pytest.raises(ValueError, match="'city': 'a'.*'rows': 50"):
-        train_grouped_mlp(df, by, {"t": dataclasses.replace(SMALL, max_rows=49)})
-    for bound in (50, None):
-        assert train_grouped_mlp(df, by, {"t": dataclasses.replace(SMALL, max_rows=bound)}).first()["train_rows"] == 50
+def test_a_large_group_sends_only_the_rows_it_draws(spark):
+    """A group of ten times the rows its steps draw trains as one task holding all its rows would."""
+    tiny = MlpConfig(hidden=(3, 2), dropout=(0.1, 0.0), epochs=2, steps=5, batch=4)
+    assert drawn_rows(tiny) == 40
+    df, by = _series(spark, 400), ["city", "seed", "config"]
+    small = _series(spark, 30).withColumn("city", F.lit(None).cast("string"))
+    both = df.withColumn("pos", F.col("pos") * 700 + 3).unionByName(small).repartition(7)
+    got = {r["city"]: r for r in train_grouped_mlp(both, by, {"t": tiny}).collect()}
+    for city, rows in (("a", df), (None, small)):
+        pdf = rows.toPandas().sort_values("pos")
+        layers, history = fit_network(np.stack(pdf.features.to_numpy()).astype(float), pdf.y.to_numpy(), tiny, 1)
+        assert got[city]["train_rows"] == len(pdf) and [h["lr"] for h in got[city]["history"]] == [h["lr"] for h in history]
+        for packed, (w, b) in zip(got[city]["layers"], layers, strict=True):
+            np.testing.assert_allclose(packed["weights"], w.ravel(), rtol=1e-12)
+            np.testing.assert_allclose(packed["bias"], b, rtol=1e-12)
+
+
+def test_stacked_seeds_train_as_they_would_alone():
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(50, 6)), rng.normal(size=50)
+    config = MlpConfig(hidden=(5, 4), dropout=(0.3, 0.5), epochs=3, steps=9, patience=1)
+    seen = []
+    together = fit_networks(x, y, config, [3, 1, 2], lambda now: seen.append(now))
+    for i, seed in enumerate([3, 1, 2]):
+        layers, history = fit_network(x, y, config, seed)
+        assert history == together[i][1]
+        for (w, b), (v, c), (u, _) in zip(layers, together[i][0], seen[-1][i], strict=True):
+            assert np.array_equal(w, v) and np.array_equal(b, c) and np.array_equal(u, v)
+
+
+def test_fits_are_spread_over_tasks(spark):
+    rows = [(e, k, p, float(p % 5), [1.0 * p, 2.0]) for e in "abc" for k in range(9) for p in range(20)]
+    df = spark.createDataFrame(rows, "city string, fold int, pos long, y double, features array<float>")
+    models = train_grouped_mlp(df, ["city", "fold"], {"t": SMALL}, runs=[("t", 1), ("t", 2)])
+    tasks = models.select("city", "fold", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len(tasks) == 27 and len({r["task"] for r in tasks}) == 27
+
+
+def test_longest_fits_come_first_and_many_share_places(spark, monkeypatch):
+    sizes = [(str(i), 10 + i, 5 + 7 * (i % 4)) for i in range(40)]
+    df = spark.createDataFrame(
+        [(e, [0.0] * width) for e, rows, width in sizes for _ in range(rows)], "city string, features array<float>"
+    )
+    costs = fits_of(df, ["city"], {"t": SMALL}, [("t", 1)])
+    fits, places, partly = placed_fits(costs)
+    placed = fits.orderBy("_place").collect()
+    assert places == 40 and not partly
+    assert [r["_cost"] for r in placed] == sorted((r["_cost"] for r in placed), reverse=True)
+    monkeypatch.setattr(mlp, "FIT_PLACES", 7)
+    fits, places, _ = placed_fits(costs)
+    loads = [r["s"] for r in fits.groupBy("_place").agg(F.sum("_cost").alias("s")).collect()]
+    assert places == len(loads) == 7 and max(loads) - min(loads) <= max(r["_cost"] for r in placed)
+    monkeypatch.setattr(mlp, "PLACED_FITS", 10)
+    fits, places, _ = placed_fits(costs)
+    assert fits.count() == 40 and places == 7
+
+
+def test_models_beyond_the_sending_bound_meet_their_rows(spark, monkeypatch):
+    df = _series(spark, 60, held=20).drop("config", "seed")
+    models = train_grouped_mlp(df, ["city"], {"t": SMALL}, runs=[("t", 1), ("t", 2)]).cache()
+    rows = df.unionByName(df.where("pos < 3").withColumn("city", F.lit(None).cast("string")))
+    sent = score_mlp(rows, models, ["city"], runs=["config", "seed"]).orderBy("city", "pos", "seed").collect()
+    monkeypatch.setattr(mlp, "SENT_WEIGHTS", 0)
+    met = score_mlp(rows, models, ["city"], runs=["config", "seed"]).orderBy("city", "pos", "seed").collect()
+    assert sent == met and len(sent) == 163 and sum(r["prediction"] is None for r in sent) == 3
 
 
 def test_runs_share_the_rows_of_a_group(spark):
