@@ -100,7 +100,7 @@ def loss_gradients(
 
 def drawn_rows(config: MlpConfig) -> int:
     """Row draws of one fit, at most."""
-    return config.epochs * config.steps * config.batch
+    return max(1, config.epochs * config.steps) * config.batch
 
 
 def _first_order(count: int, config: MlpConfig, rng: np.random.Generator) -> np.ndarray:
@@ -155,19 +155,22 @@ class _RmsProp:
     """
 
     def __init__(self, weights: np.ndarray):
-        self.v, self.work = np.zeros_like(weights), np.empty_like(weights)
-
-    def apply(self, weights: np.ndarray, g: np.ndarray, rates: np.ndarray) -> None:
-        np.clip(g, -GRADIENT_LIMIT, GRADIENT_LIMIT, out=g)
-        np.multiply(g, 1.0 - RMS_DECAY, out=self.work)
-        self.work *= g
-        self.v *= RMS_DECAY
-        self.v += self.work
-        np.sqrt(self.v, out=self.work)
-        self.work += RMS_EPSILON
-        g *= rates[:, None]
-        g /= self.work
-        weights -= g
+        self.v, self.work = np.zeros_like(weights), np.empty_like(weights[0])
+
+    def apply(self, weights: np.ndarray, gradients: np.ndarray, rates: np.ndarray) -> None:
+        # One network after another: its weights, slopes and squares stay in the processor's cache.
+        work = self.work
+        for w, g, v, rate in zip(weights, gradients, self.v, rates):
+            np.clip(g, -GRADIENT_LIMIT, GRADIENT_LIMIT, out=g)
+            np.multiply(g, 1.0 - RMS_DECAY, out=work)
+            work *= g
+            v *= RMS_DECAY
+            v += work
+            np.sqrt(v, out=work)
+            work += RMS_EPSILON
+            g *= rate
+            g /= work
+            w -= g
 
 
 class _ReduceOnPlateau:
