@@ -1,20 +1,16 @@
-"""Tree models on MLlib: every fit is distributed over the rows of its training table."""
+"""Tree models: forests of our own, boosting and a count model on MLlib. Every fit is distributed over its training rows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
-from functools import reduce
+from collections.abc import Sequence
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import (
-    GBTRegressor,
-    GeneralizedLinearRegression,
-    RandomForestRegressor,
-)
+from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.functions.scalar import expm1_target, log1p_target
+from panelcast.operators.forest import FittedForest, ForestPlan, fit_forests
 from panelcast.operators.storage import checkpoint_dir
 
 FEATURES = "_features"
@@ -52,18 +48,14 @@ def forest_regressor(
     min_leaf: int = 5,
     max_depth: int = 12,
     seed: int = 42,
-) -> FittedTree:
-    """Random forest with a minimum leaf size, optionally on log(1+y)."""
-    forest = RandomForestRegressor(
-        featuresCol=FEATURES,
-        labelCol="_label",
-        numTrees=trees,
-        minInstancesPerNode=min_leaf,
-        maxDepth=max_depth,
-        featureSubsetStrategy="onethird",
-        seed=seed,
-    )
-    return _fit(forest, train, columns, target, log_target)
+    extra: bool = False,
+    criterion: str = "squared",
+    keys: Sequence[str] | None = None,
+) -> FittedForest:
+    """A forest over all rows with a minimum leaf size, optionally on log(1+y), with random thresholds (``extra``) or
+    Poisson splits: see `fit_forests`."""
+    plan = ForestPlan(trees, min_leaf, max_depth, extra=extra, criterion=criterion, log_target=log_target, seed=seed)
+    return fit_forests(train, columns, target, plan, keys=keys)
 
 
 def boosted_regressor(
@@ -106,18 +98,3 @@ def poisson_regressor(
         featuresCol=FEATURES, labelCol="_label", family="poisson", link="log", regParam=regularisation
     )
     return _fit(glm, train, columns, target, False)
-
-
-def predict_by_entity(
-    train: DataFrame, held: DataFrame, entity: str, fits: Mapping[object, Callable[[DataFrame], FittedTree]]
-) -> DataFrame:
-    """One model per listed entity on its own rows, predictions stacked.
-
-    For a short, declared list of series that differ in kind: every fit is a distributed job of its own.
-    Many similar series belong into one grouped job (``train_grouped_mlp``) or one pooled model.
-    """
-    parts = [
-        fit(train.where(F.col(entity) == name)).predict(held.where(F.col(entity) == name))
-        for name, fit in fits.items()
-    ]
-    return reduce(DataFrame.unionByName, parts)

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from panelcast.functions.scalar import round_nearest_nonneg
 from panelcast.operators import screen, trees
 from panelcast.operators.evaluate import mae
+from panelcast.operators.forest import ForestPlan, fit_forests
 from panelcast.operators.history import (
     history_complete,
     lead_in_circular,
@@ -41,6 +42,7 @@ GROUP = ["entity", "config", "seed"]
 FULL = MlpConfig()
 NARROW = MlpConfig(hidden=(48, 12))
 FOLDS, SEEDS = 3, (1, 2, 3)
+COUNT_FOREST, LOG_FOREST = ForestPlan(extra=True, criterion="poisson"), ForestPlan(log_target=True)
 WIDTH = len(multiscale_names(SIGNALS))
 TRUE = "true AS"
 
@@ -330,19 +332,18 @@ def _inside(scored: DataFrame, train: DataFrame, *by: str) -> DataFrame:
 def forest(spark, d):
     """500 trees over the pooled rows of all series."""
     train, held, names = _design(flag_week(spark, d))
-    return _inside(trees.forest_regressor(train, names, "target").predict(held), train)
+    return _inside(trees.forest_regressor(train, names, "target", keys=["entity", "time"]).predict(held), train)
 
 
 @query("forest_by_entity", HELD_SQL)
 def forest_by_entity(spark, d):
-    """A count forest for the series with the largest mean and log forests for the others; which series
-    there are comes from the data (a handful of flags)."""
+    """Random thresholds and Poisson splits for the series with the largest mean, forests of log(1 + y) for the
+    others; which series there are comes from the data (a handful of flags)."""
     train, held, names = _design(flag_week(spark, d))
     ranked = [r["entity"] for r in train.groupBy("entity").agg(F.avg("target").alias("m")).orderBy(F.desc("m"), "entity").collect()]
-    fits = {
-        e: (lambda rows, log=bool(i): trees.forest_regressor(rows, names, "target", log)) for i, e in enumerate(ranked)
-    }
-    return _inside(trees.predict_by_entity(train, held, "entity", fits), train, "entity")
+    plans = {e: COUNT_FOREST if not i else LOG_FOREST for i, e in enumerate(ranked)}
+    forests = fit_forests(train, names, "target", plans, "entity", ["entity", "time"])
+    return _inside(forests.predict(held), train, "entity")
 
 
 BEATS_SQL = f"{FLAG_SQL} SELECT entity, COUNT(*) AS rows, {TRUE} not_negative, {TRUE} learned FROM flag_week WHERE seq >= 51 AND seq < n - 52 GROUP BY 1"

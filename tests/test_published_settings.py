@@ -32,16 +32,18 @@ def test_forests_by_entity_have_all_trees(monkeypatch):
         def collect(self):
             return [{"entity": "A"}, {"entity": "B"}]
 
-    def fit_all(train, held, entity, fits):
-        for fit in fits.values():
-            fit(None)
+    class Fitted:
+        def predict(self, held):
+            return held
 
     monkeypatch.setattr(models, "flag_week", lambda spark, d: None)
     monkeypatch.setattr(models, "_design", lambda panel: (Train(), None, ["x"]))
     monkeypatch.setattr(models, "_inside", lambda *a: None)
     monkeypatch.setattr(models.F, "avg", lambda c: type("C", (), {"alias": lambda self, a: None})())
     monkeypatch.setattr(models.F, "desc", lambda c: None)
-    monkeypatch.setattr(models.trees, "forest_regressor", lambda *a, trees=500: seen.append((a[3], trees)))
-    monkeypatch.setattr(models.trees, "predict_by_entity", fit_all)
+    monkeypatch.setattr(models, "fit_forests", lambda train, names, target, plans, *a: seen.append(plans) or Fitted())
     models.forest_by_entity(None, "")
-    assert seen == [(False, 500), (True, 500)]
+    (plans,) = seen
+    assert [(p.trees, p.min_leaf, p.extra, p.criterion, p.log_target) for p in plans.values()] == [
+        (500, 5, True, "poisson", False), (500, 5, False, "squared", True)
+    ]
