@@ -161,30 +161,34 @@ def read_conversations(
 ) -> DataFrame:
     """Parse every conversation's formatted text and return what it holds: (conversation, ``n_turns``,
     ``turns_sha256`` over role, newline, text, newline per turn, ``loss_chars``, ``loss_sha256`` over the
-    texts under the loss mask, ``formatted_chars``).
+    texts under the loss mask: cut from the segments by it and unescaped, ``formatted_chars``).
 
     Segments follow each other by turn, nulls first; equal turns by role, then text. They stream through
     the parser in sorted partitions: a task holds one turn and two hash states, however long the
     conversation. Rows with a null conversation key form one conversation.
     """
     kind = {"string": "string", "int": "int"}.get(segments.schema[conversation].dataType.simpleString(), "long")
-    ddl = f"{conversation} {kind}, {READ_TYPE}"
+    ddl = f"conversation {kind}, {READ_TYPE}"
+    at = lambda c: F.col(f"`{c}`")
     ordered = (
-        segments.select(conversation, turn, role, text, "segment")
-        .repartition(conversation)
-        .sortWithinPartitions(conversation, turn, F.coalesce(role, F.lit("")), F.coalesce(text, F.lit("")))
-        .select(F.col(conversation).cast(kind).alias(conversation), "segment")
+        segments.select(
+            at(conversation).cast(kind).alias("conversation"), at(turn).alias("turn"), F.coalesce(at(role), F.lit("")).alias("role"),
+            F.coalesce(at(text), F.lit("")).alias("text"), "segment", "loss_start", "loss_end",
+        )
+        .repartition("conversation")
+        .sortWithinPartitions("conversation", "turn", "role", "text")
+        .select("conversation", "segment", "loss_start", "loss_end")
     )
 
     def read(batches):
         now, out = None, []
         for batch in batches:
-            for conv, segment in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for conv, *written in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
                 if now is None or now.key != conv:
                     if now is not None:
                         out.append(now.row())
                     now = _Conversation(conv)
-                now.add(segment)
+                now.add(*written)
             if len(out) > 4096:
                 yield arrow_rows(out, ddl)
                 out = []
@@ -193,7 +197,7 @@ def read_conversations(
         if out:
             yield arrow_rows(out, ddl)
 
-    return ordered.mapInArrow(read, ddl)
+    return ordered.mapInArrow(read, ddl).withColumnRenamed("conversation", conversation)
 
 
 class _Conversation:
@@ -202,14 +206,15 @@ class _Conversation:
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
         self.n_turns = self.loss_chars = self.chars = 0
 
-    def add(self, segment: str) -> None:
+    def add(self, segment: str, loss_start: int | None, loss_end: int | None) -> None:
         self.chars += len(segment)
         for role, text in self.parser.feed(segment):
             self.n_turns += 1
             self.turns.update(f"{role}\n{text}\n".encode())
-            if role == TRAINED_ROLE:
-                self.loss_chars += len(text)
-                self.loss.update(text.encode())
+        if loss_start is not None:
+            said = _unescape(segment[loss_start:loss_end])
+            self.loss_chars += len(said)
+            self.loss.update(said.encode())
 
     def row(self) -> tuple:
         if self.parser.rest:

@@ -72,3 +72,16 @@ def test_loss_span(spark):
             assert r["loss_start"] is None
         else:
             assert chat._unescape(r["segment"][r["loss_start"] : r["loss_end"]]) == "a</s>b"
+
+
+def test_loss_text_is_what_the_mask_covers(spark):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "a</s>b é"), (1, 2, "assistant", "")]
+    df = spark.createDataFrame(rows, "`my conv` int, turn long, role string, text string")
+    segments = chat.format_turns(df)
+    good = chat.read_conversations(segments, "my conv").first()
+    assert good["my conv"] == 1 and tuple(good)[1:5] == expected([r[2:] for r in rows])
+    shifted = segments.withColumns({"loss_start": segments["loss_start"] + 1, "loss_end": segments["loss_end"] + 1})
+    wrong = chat.read_conversations(shifted, "my conv").first()
+    assert wrong["turns_sha256"] == good["turns_sha256"] and wrong["loss_sha256"] != good["loss_sha256"]
+    wide = segments.withColumn("loss_start", segments["loss_start"] * 0)
+    assert chat.read_conversations(wide, "my conv").first()["loss_chars"] > good["loss_chars"]
