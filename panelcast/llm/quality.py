@@ -54,6 +54,10 @@ def _repeated_words(ids: np.ndarray) -> int:
     return int((np.cumsum(edges)[:-1] > 0).sum())
 
 
+def _line_hash(words: list[bytes]) -> int:
+    return xxhash.xxh3_64_intdigest(b" ".join(words).lower()) - 2**63
+
+
 def measure_text(text: bytes) -> tuple[list[int], dict[int, int]]:
     """The measures of one text, and the words under each of its normalised lines' hashes."""
     words: list[bytes] = []
@@ -67,7 +71,7 @@ def measure_text(text: bytes) -> tuple[list[int], dict[int, int]]:
         words += own
         again += line in seen
         seen.add(line)
-        key = xxhash.xxh3_64_intdigest(b" ".join(own).lower()) - 2**63
+        key = _line_hash(own)
         lines[key] = lines.get(key, 0) + len(own)
     number: dict[bytes, int] = {}
     ids = np.fromiter((number.setdefault(w, len(number) + 1) for w in words), np.uint64, len(words))
@@ -113,13 +117,13 @@ def measure_documents(df: DataFrame, doc: str = "doc_id", host: str = "source",
 
 def judge_documents(
     df: DataFrame, doc: str = "doc_id", host: str = "source", text: str = "text",
-    min_docs: int = 100, host_share: float = 0.05, left_share: float = 0.3, min_words: int = MIN_WORDS,
+    max_docs: int = 100, left_share: float = 0.3, min_words: int = MIN_WORDS,
 ) -> DataFrame:
     """One row per row of ``df``: (doc, host, text_hash, the measures, ``base_failed``,
-    ``removed_words``, ``kept``).
+    ``removed_words``, ``removed_lines``: hashes of the lines it loses, null for none, ``kept``).
 
     General: the forecasting project has no texts. A line (words joined by single spaces, A-Z lower-cased) is above its host's limit if more than
-    ``min_docs`` and more than ``host_share`` of the host's documents hold it. Byte-identical texts count as
+    ``max_docs`` of the host's documents hold it, however large the host is. Byte-identical texts count as
     one document, so copies alone do not make a line boilerplate. Lines above the limit are removed from all
     documents of the host but the smallest that holds them. A document is rejected if it fails the
     single-document rules, or if removal leaves fewer than ``min_words`` words or less than ``left_share``
@@ -138,15 +142,15 @@ def judge_documents(
     holders = (
         lines.groupBy("host", "line", "text_hash").agg(F.min("doc").alias("first"))
         .groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs"), F.min("first").alias("first"))
-        .where(F.col("docs") > min_docs)
+        .where(F.col("docs") > max_docs)
     )
-    hosts = measured.groupBy("host").agg(F.countDistinct("text_hash").alias("host_docs"))
-    common = null_safe_join(holders, hosts, ["host"], "inner").where(F.col("docs") > F.lit(host_share) * F.col("host_docs"))
     removed = (
-        null_safe_join(lines, common.select("host", "line", "first"), ["host", "line"], "inner")
+        null_safe_join(lines, holders.select("host", "line", "first"), ["host", "line"], "inner")
         .where("doc > first")
         .groupBy("doc", "host", "text_hash", "line").agg(F.max("words").alias("words"))
-        .groupBy("doc", "host", "text_hash").agg(F.sum("words").alias("removed_words"))
+        .groupBy("doc", "host", "text_hash").agg(
+            F.sum("words").alias("removed_words"), F.collect_list("line").alias("removed_lines")
+        )
     )
     rows = measured.select(F.coalesce("doc", no_doc).alias("_doc"), "doc", "host", "text_hash", *MEASURES)
     judged = null_safe_join(
@@ -160,12 +164,40 @@ def judge_documents(
     return judged.drop("_doc").withColumn("kept", ~F.col("base_failed") & stays)
 
 
+def without_lines(text: str, lines: set[int]) -> str:
+    """``text`` without the lines whose normalised form has one of these hashes."""
+    return b"\n".join(
+        line for line in text.encode().split(b"\n") if not (own := line.split()) or _line_hash(own) not in lines
+    ).decode()
+
+
 def keep_good_documents(df: DataFrame, doc: str = "doc_id", host: str = "source", text: str = "text", **limits) -> DataFrame:
-    """The rows of ``df`` that `judge_documents` keeps, unchanged."""
-    bad = judge_documents(df, doc, host, text, **limits).where(~F.col("kept")).select("doc", "host", "text_hash").distinct()
+    """The rows of ``df`` that `judge_documents` keeps, their text without the lines above the limit.
+
+    Lines that stay are unchanged, joined by newlines; all other columns pass through.
+    """
+    judged = judge_documents(df, doc, host, text, **limits)
+    changed = judged.where(~F.col("kept") | F.col("removed_lines").isNotNull()).groupBy("doc", "host", "text_hash").agg(
+        F.bool_and("kept").alias("_kept"), F.first("removed_lines").alias("_gone")
+    )
     marks = ["_judged_doc", "_judged_host", "_judged_hash"]
-    keyed = free_names(df, marks, [doc, host, text]).withColumns({
+    keyed = free_names(df, [*marks, "_kept", "_gone"], [doc, host, text]).withColumns({
         marks[0]: F.col(f"`{doc}`").cast("long"), marks[1]: F.col(f"`{host}`").cast("string"),
         marks[2]: F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))),
     })
-    return null_safe_join(keyed, bad.toDF(*marks), marks, "left_anti").drop(*marks)
+    met = null_safe_join(keyed, changed.withColumnsRenamed(dict(zip(("doc", "host", "text_hash"), marks))), marks)
+    good = met.where(F.coalesce("_kept", F.lit(True))).drop(*marks, "_kept")
+    place = good.columns.index(text)
+
+    def clean(batches):
+        for batch in small_batches(batches, 1024):
+            gone = batch.column(batch.num_columns - 1)
+            columns = batch.columns[:-1]
+            if gone.null_count < len(gone):
+                columns[place] = pa.array([
+                    without_lines(t, set(lines)) if lines else t for t, lines in zip(columns[place].to_pylist(), gone.to_pylist(), strict=True)
+                ], columns[place].type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+
+    ordered = good.select(*[F.col(f"`{c}`") for c in good.columns if c != "_gone"], "_gone")
+    return ordered.mapInArrow(clean, T.StructType([f for f in ordered.schema.fields if f.name != "_gone"]))

@@ -173,10 +173,7 @@ keyed AS (
   SELECT doc_id, source, text, TRANSLATE(ARRAY_TO_STRING(ws, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key,
          LEN(ws) AS words FROM worded
 ), held AS (SELECT source, key, COUNT(DISTINCT text) AS docs, MIN(doc_id) AS first FROM keyed GROUP BY ALL),
-hosts AS (SELECT source, COUNT(DISTINCT text) AS host_docs FROM d GROUP BY source),
-common AS (
-  SELECT held.* FROM held JOIN hosts ON held.source IS NOT DISTINCT FROM hosts.source WHERE docs > 100 AND docs > 0.05 * host_docs
-), removed AS (
+common AS (SELECT * FROM held WHERE docs > 100), removed AS (
   SELECT k.doc_id, SUM(k.words) AS gone FROM keyed k JOIN common c ON k.key = c.key AND k.source IS NOT DISTINCT FROM c.source
   WHERE k.doc_id > c.first GROUP BY k.doc_id
 ), m AS (
