@@ -82,3 +82,40 @@ def test_native_plan_clashes_and_no_rows(docs):
     plan = out._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert secrets.find_secrets(df.where("false")).count() == 0
+
+
+COMMON = (
+    "the order of report user data index path file name value list item page table key row column query plan text line word "
+    "build test error count size time date start stop open close read write load save index update insert delete select join "
+    "group filter sort merge split batch stream window panel fold train score model weight tree forest layer input output"
+).split()
+
+
+def identifier(rng):
+    words = [rng.choice(COMMON) for _ in range(rng.randint(5, 10))]
+    style = rng.randrange(6)
+    titled = [w.title() for w in words]
+    return (
+        "_".join(words), "-".join(words), words[0] + "".join(titled[1:]), "_".join(titled), "/".join(words),
+        "".join(titled) + str(rng.randint(1, 99)),
+    )[style]
+
+
+def test_rare_keys_among_identifiers(docs):
+    """Random base62 keys as one in a hundred long tokens: recall by length, and false discoveries."""
+    rng = random.Random(11)
+    plain = [t for t in {identifier(rng) for _ in range(9000)} if len(t) >= 20]
+    symbols = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    keys = {n: {"".join(rng.choices(symbols, k=n)) for _ in range(25)} for n in (20, 32, 40)}
+    tokens = plain + [k for own in keys.values() for k in own]
+    rng.shuffle(tokens)
+    rows = [(i, " ".join(tokens[i : i + 40])) for i in range(0, len(tokens), 40)]
+    found = {
+        r["text"][s["start"] : s["stop"]]
+        for r in secrets.find_secrets(docs(rows)).collect() for s in r["spans"] if s["kind"] == "random"
+    }
+    recall = {n: len(own & found) / len(own) for n, own in keys.items()}
+    wrong = found - set().union(*keys.values())
+    print(recall, len(wrong))
+    assert recall[40] >= 0.9 and recall[32] >= 0.7
+    assert len(wrong) <= 0.1 * len(found)
