@@ -3,7 +3,8 @@
 Fingerprints are put into shards so that any two within the radius share one: of r + k blocks of bits at most
 r can differ, so some k agree, and every choice of k blocks is a shard key. Each shard builds a BK-tree
 (children keyed by their distance to the parent) that travels with the shard and is searched along the
-edges within the radius only. Shards give spanning links, never all pairs.
+edges within the radius only. Shards give spanning links, never all pairs. A crowded shard is split by further
+bits, and what is crowded still is dealt into parts that meet in pairs, so no tree grows with a family of texts.
 
 The forecasting project has no texts, so the operators are general.
 """
@@ -18,13 +19,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import free_names, limit_batches, null_safe_join, saved, small_batches, text_bytes
+from panelcast.llm.common import free_names, limit_batches, null_safe_join, pieces, saved, small_batches, text_bytes
 
 BITS = 64
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
 SHARD_SIZE = 48
+#: Values of a shard before it is split, and values that a search task is meant to get.
+PART_NODES = 2048
+TASK_VALUES = 100_000
 
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
@@ -156,14 +160,65 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def finer_masks(mask: int, radius: int) -> list[int]:
+    """Masks over the bits that ``mask`` leaves: values within the radius agree on one of them."""
+    free = [i for i in range(BITS) if not mask >> i & 1]
+    blocks = radius + 2
+    edges = [round(i * len(free) / blocks) for i in range(blocks + 1)]
+    spans = [sum(1 << i for i in free[a:b]) for a, b in zip(edges, edges[1:])]
+    return [a | b for a, b in combinations(spans, 2)]
+
+
+def shards(distinct: DataFrame, radius: int = RADIUS, shard_size: int = SHARD_SIZE, most: int | None = None) -> DataFrame:
+    """(shard, fingerprint): any two ``fingerprint`` values within the radius share a shard, which holds a few times ``most``
+    values at the very most, ``2 * most`` on average.
+
+    A shard with more than ``most`` values is sharded again by the bits that its key leaves open. One that is still
+    larger is dealt into parts by a hash, and every pair of parts is a shard.
+    """
+    most = PART_NODES if most is None else most
+    masks = shard_masks(distinct.count(), radius, shard_size)
+    signed = lambda own: F.array(*[F.lit(_signed(m)) for m in own])
+    keyed = distinct.select("fingerprint", F.posexplode(signed(masks)).alias("mask", "_bits")).select(
+        "fingerprint", "mask", F.struct("mask", F.col("fingerprint").bitwiseAND(F.col("_bits")).alias("key")).alias("first")
+    )
+    crowded = lambda df, key: saved(
+        df.groupBy(key).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > most), "crowded"
+    )
+    none = F.lit(0).cast("long")
+    whole = F.struct(F.lit(-1).alias("mask"), none.alias("key"))
+    no_parts = F.struct(F.lit(0).alias("one"), F.lit(0).alias("other"))
+    large = crowded(keyed, "first")
+    if large.isEmpty():
+        return keyed.select(F.struct("first", whole.alias("second"), no_parts.alias("parts")).alias("shard"), "fingerprint")
+    met = keyed.join(large, "first", "left")
+    plain = met.where(F.col("size").isNull()).select("first", whole.alias("second"), "fingerprint", no_parts.alias("parts"))
+    finer = F.array(*[signed(finer_masks(m, radius)) for m in masks])
+    again = met.where(F.col("size").isNotNull()).select(
+        "first", "fingerprint", F.posexplode(F.element_at(finer, F.col("mask") + 1)).alias("sub", "_bits")
+    ).select("first", F.struct(F.col("sub").alias("mask"), F.col("fingerprint").bitwiseAND(F.col("_bits")).alias("key")).alias("second"), "fingerprint")
+    both = again.withColumn("both", F.struct("first", "second"))
+    sized = both.join(crowded(both, "both"), "both", "left")
+    parts = F.coalesce(F.ceil(F.col("size") / most), F.lit(1)).cast("int")
+    own = F.pmod(F.xxhash64("fingerprint"), parts).cast("int")
+    pairs = F.when(parts == 1, F.array(no_parts)).otherwise(F.transform(
+        F.filter(F.sequence(F.lit(0), parts - 1), lambda p: p != own),
+        lambda p: F.struct(F.least(p, own).alias("one"), F.greatest(p, own).alias("other")),
+    ))
+    dealt = sized.select("first", "second", "fingerprint", F.explode(pairs).alias("parts"))
+    return plain.unionByName(dealt).select(F.struct("first", "second", "parts").alias("shard"), "fingerprint")
+
+
 def links(distinct: DataFrame, radius: int = RADIUS, shard_size: int = SHARD_SIZE) -> DataFrame:
     """(a, b): links that join all distinct ``fingerprint`` values within ``radius``, transitively."""
-    masks = shard_masks(distinct.count(), radius, shard_size)
-    keyed = distinct.select(
-        "fingerprint",
-        F.posexplode(F.array(*[F.col("fingerprint").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("mask", "key"),
+    rows = distinct.count()
+    tasks = pieces(rows * len(shard_masks(rows, radius, shard_size)), TASK_VALUES, least=32)
+    sharded = shards(distinct, radius, shard_size).select(
+        "fingerprint", F.col("shard.first.mask").alias("mask"), F.col("shard.first.key").alias("key"),
+        F.struct("shard.second", "shard.parts").alias("rest"),
+    ).repartition(tasks, "mask", "key", "rest").sortWithinPartitions("mask", "key", "rest", "fingerprint").select(
+        "fingerprint", "mask", "key", F.xxhash64("rest").alias("rest")
     )
-    sharded = keyed.repartition("mask", "key").sortWithinPartitions("mask", "key", "fingerprint")
 
     def search(batches):
         now, members, out = None, [], []
@@ -177,9 +232,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, shard_size: int = SHARD_SIZ
 
         for batch in batches:
             values = batch.column(0).to_numpy().view(np.uint64).tolist()
-            for key, value in zip(
-                zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True), values, strict=True
-            ):
+            for key, value in zip(zip(*[batch.column(i).to_pylist() for i in (1, 2, 3)], strict=True), values, strict=True):
                 if key != now:
                     close()
                     now, members = key, []

@@ -143,3 +143,49 @@ def test_long_and_short_texts_count_bits_alike():
     rng = np.random.default_rng(0)
     text = " ".join(map(str, rng.integers(0, 500, 4000)))
     assert simhash.fingerprint(text.encode()) == fingerprint(text)
+
+
+def family(seed, n, base, loose, bits):
+    """Values that share the bits outside ``loose`` and differ from ``base`` in some of the others."""
+    rng, out = random.Random(seed), {base}
+    while len(out) < n:
+        value = base
+        for b in rng.sample(loose, rng.randint(*bits)):
+            value ^= 1 << b
+        out.add(value)
+    return sorted(out)
+
+
+def smallest_of_groups(values, radius):
+    """Label of each value by comparing all pairs, some rows at a time."""
+    x = np.array(values, np.uint64)
+    label = np.arange(len(x))
+    near = [np.flatnonzero(np.bitwise_count(x ^ v) <= radius) for v in x]
+    while True:
+        low = np.array([label[own].min() for own in near])
+        low = np.minimum(low, low[low])
+        if (low == label).all():
+            return {v: values[label[i]] for i, v in enumerate(values)}
+        label = low
+
+
+def test_crowded_shards_are_split(spark, monkeypatch):
+    """A loose family, where shards split by further bits, and a tight one, whose shards are dealt into parts."""
+    monkeypatch.setattr(simhash, "PART_NODES", 100)
+    loose = family(1, 3000, 0x0123456789ABCDEF, list(range(0, 43)), (3, 9))
+    tight = family(2, 1500, 0xFEDCBA9876543210, list(range(40, 64)), (1, 3))
+    values = sorted({*loose, *tight})
+    rows = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fingerprint long").repartition(5)
+    shards = simhash.shards(rows, 4, shard_size=4)
+    sizes = [r["count"] for r in shards.groupBy("shard").count().collect()]
+    assert max(sizes) <= 3 * simhash.PART_NODES
+    assert shards.where("shard.parts.other > 0").count() > 0 and shards.where("shard.second.mask >= 0").count() > 0
+    label = {r["node"]: r["label"] for r in simhash.components(simhash.links(rows, 4, shard_size=4)).collect()}
+    unsigned = lambda v: v & ((1 << 64) - 1)
+    got = {}
+    for node, own in label.items():
+        got.setdefault(own, set()).add(unsigned(node))
+    want = {}
+    for v, own in smallest_of_groups(values, 4).items():
+        want.setdefault(own, set()).add(v)
+    assert {frozenset(g) for g in got.values()} == {frozenset(g) for g in want.values() if len(g) > 1}
