@@ -86,6 +86,16 @@ def row_weights(ids: np.ndarray, salt: int) -> np.ndarray:
     return np.searchsorted(_POISSON_STEPS, drawn(ids ^ np.uint64(salt)), side="right").astype(np.float64)
 
 
+def walked(codes: np.ndarray, feature: np.ndarray, cut: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The node that each row reaches in a tree."""
+    node, moving = np.zeros(len(codes), np.int64), np.arange(len(codes))
+    while len(moving):
+        moving = moving[feature[node[moving]] >= 0]
+        at = node[moving]
+        node[moving] = np.where(codes[moving, feature[at]] <= cut[at], left[at], right[at])
+    return node
+
+
 @dataclass
 class Tree:
     """A tree under way. ``open`` nodes are split next; for each, its path number and the codes left open per feature."""
@@ -126,14 +136,7 @@ class Tree:
 
     def nodes_of(self, codes: np.ndarray) -> np.ndarray:
         """The node that each row has reached."""
-        feature, cut, left, right = (np.array(x) for x in (self.feature, self.cut, self.left, self.right))
-        node = np.zeros(len(codes), np.int64)
-        moving = np.arange(len(codes))
-        while len(moving):
-            moving = moving[feature[node[moving]] >= 0]
-            at = node[moving]
-            node[moving] = np.where(codes[moving, feature[at]] <= cut[at], left[at], right[at])
-        return node
+        return walked(codes, *(np.array(x) for x in (self.feature, self.cut, self.left, self.right)))
 
     def counts(self, codes: np.ndarray, labels: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """(2, open nodes, features, codes) rows and sums; for ``extra`` the last axis is (left, all)."""
@@ -359,15 +362,18 @@ class FittedForest:
             return df.withColumn("prediction", F.lit(None).cast("double"))
         if len(lots) > 1:
             sums = sums.groupBy("row").agg(F.sum("total").alias("total"), F.sum("trees").alias("trees"))
-        keys = list(self.plans)
-        logged = [F.col("_part") == i for i, k in enumerate(keys) if self.plans[k].log_target]
-        mean = F.when(F.col("trees") > 0, F.col("total") / F.col("trees"))
-        met = numbered.join(sums.withColumnRenamed("row", "_row"), "_row", "left").withColumn("_mean", mean)
-        value = F.col("_mean")
-        for is_log in logged:
-            value = F.when(is_log, expm1_target("_mean")).otherwise(value)
-        clipped = F.when(F.col("_mean").isNotNull(), F.greatest(value, F.lit(0.0)))
-        return met.select(*df.columns, clipped.alias("prediction"))
+        met = numbered.join(sums.withColumnRenamed("row", "_row"), "_row", "left")
+        value = self._value(F.col("total"), F.col("trees"))
+        return met.select(*df.columns, F.when(value.isNotNull(), F.greatest(value, F.lit(0.0))).alias("prediction"))
+
+    def _value(self, total, trees):
+        """The mean of all trees, on the scale of the target."""
+        mean = F.when(trees > 0, total / trees)
+        value = mean
+        for i, plan in enumerate(self.plans.values()):
+            if plan.log_target:
+                value = F.when(F.col("_part") == i, expm1_target(mean)).otherwise(value)
+        return value
 
     def _sums(self, numbered: DataFrame, lot: list[tuple[int, int]]) -> DataFrame:
         first, last = min(lot), max(lot)
@@ -386,13 +392,9 @@ class FittedForest:
                 parts, total, trees = table["part"].to_numpy(zero_copy_only=False), np.zeros(len(table)), np.zeros(len(table), np.int64)
                 for part, own in sent.value.items():
                     rows = np.flatnonzero(parts == part)
-                    for feature, cut, left, right, value in own if len(rows) else []:
-                        node, moving = np.zeros(len(rows), np.int64), np.arange(len(rows))
-                        while len(moving):
-                            moving = moving[feature[node[moving]] >= 0]
-                            at = node[moving]
-                            node[moving] = np.where(codes[rows[moving], feature[at]] <= cut[at], left[at], right[at])
-                        total[rows] += value[node]
+                    held = codes[rows]
+                    for *shape, value in own if len(rows) else []:
+                        total[rows] += value[walked(held, *shape)]
                         trees[rows] += 1
                 yield pa.RecordBatch.from_arrays([table["row"].combine_chunks(), pa.array(total), pa.array(trees)], names=["row", "total", "trees"])
 
@@ -407,6 +409,19 @@ def _coded(df: DataFrame, columns: Sequence[str], edges: Mapping, entity: str |
     return df.withColumns({"_part": part, "_codes": codes})
 
 
+def coded_parts(train: DataFrame, columns: list[str], target: str, entity: str | None, parts: list, logged, keys) -> tuple[Mapping, DataFrame]:
+    """Quantile edges of the columns, and rows as (part, ``row`` hash, label, codes), written."""
+    label = F.col(target).cast("double")
+    rows = train.where(label.isNotNull() & ~F.isnan(label))
+    values = {f"_edges_{c}": F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
+    edges = _fixed(_edges(rows, values, []))
+    data = written(_coded(rows, columns, edges, entity, parts).where(F.col("_part").isNotNull()).select(
+        F.col("_part").alias("part"), F.xxhash64(*(keys or train.columns)).alias("row"),
+        F.when(logged, log1p_target(target)).otherwise(label).cast("double").alias("label"), F.col("_codes").alias("codes"),
+    ))
+    return edges, data
+
+
 def fit_forests(
     train: DataFrame, columns: Sequence[str], target: str, plan: ForestPlan | Mapping[object, ForestPlan],
     entity: str | None = None, keys: Sequence[str] | None = None,
@@ -420,18 +435,9 @@ def fit_forests(
     predicts null.
     """
     plans = {None: plan} if entity is None else dict(plan)
-    columns = list(columns)
-    label = F.col(target).cast("double")
-    rows = train.where(label.isNotNull() & ~F.isnan(label))
-    values = {f"_edges_{c}": F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
-    edges = _fixed(_edges(rows, values, []))
-    names = list(plans)
-    by_number = dict(enumerate(plans.values()))
+    columns, by_number = list(columns), dict(enumerate(plans.values()))
     logged = F.coalesce(*[F.when(F.col("_part") == i, F.lit(p.log_target)) for i, p in by_number.items()])
-    data = written(_coded(rows, columns, edges, entity, names).where(F.col("_part").isNotNull()).select(
-        F.col("_part").alias("part"), F.xxhash64(*(keys or train.columns)).alias("row"),
-        F.when(logged, log1p_target(target)).otherwise(label).cast("double").alias("label"), F.col("_codes").alias("codes"),
-    ))
+    edges, data = coded_parts(train, columns, target, entity, list(plans), logged, keys)
     sizes = {r["part"]: r["count"] for r in data.groupBy("part").count().collect()}
     small = {p: by_number[p] for p, n in sizes.items() if n <= PART_ROWS}
     large = {p: by_number[p] for p, n in sizes.items() if n > PART_ROWS}

@@ -1,4 +1,4 @@
-"""Tree models: forests of our own, boosting and a count model on MLlib. Every fit is distributed over its training rows."""
+"""Tree models: forests and boosting of our own, squared-error boosting and a linear count model on MLlib. Every fit is distributed over its training rows."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.functions.scalar import expm1_target, log1p_target
+from panelcast.operators.boost import BoostPlan, FittedBoost, fit_boosts
 from panelcast.operators.forest import FittedForest, ForestPlan, fit_forests
 from panelcast.operators.storage import checkpoint_dir
 
@@ -69,11 +70,16 @@ def boosted_regressor(
     min_child: int = 10,
     row_share: float = 0.85,
     feature_share: float = 0.8,
+    l1: float = 0.1,
+    l2: float = 10.0,
     seed: int = 42,
-) -> FittedTree:
-    """Boosted trees for ``absolute`` or ``squared`` error."""
-    if objective not in ("absolute", "squared"):
-        raise ValueError(f"boosting has no objective {objective!r}; for counts see poisson_regressor")
+    keys: Sequence[str] | None = None,
+) -> FittedBoost | FittedTree:
+    """Boosted trees over all rows for ``absolute`` error or ``poisson`` counts (see `fit_boosts`), or on MLlib for
+    ``squared`` error, which has no penalties."""
+    if objective != "squared":
+        plan = BoostPlan(objective, rounds, learning_rate, depth, min_child, row_share, feature_share, l1, l2, seed)
+        return fit_boosts(train, columns, target, plan, keys=keys)
     checkpoint_dir(train.sparkSession)
     boosted = GBTRegressor(
         featuresCol=FEATURES,

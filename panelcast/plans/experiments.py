@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.operators.contracts import check_finite_features
-from panelcast.operators.evaluate import fold_summary, outbreak_threshold
+from panelcast.operators.boost import BoostPlan, fit_boosts
+from panelcast.operators.evaluate import best_blend, blend_grid, fold_summary, impute_median, outbreak_threshold
 from panelcast.operators.fill import interpolate_linear
+from panelcast.operators.forest import ForestPlan, fit_forests
 from panelcast.operators.history import (
     lead_in_none,
     multiscale_features,
@@ -22,7 +24,7 @@ from panelcast.operators.history import (
 from panelcast.operators.mlp import score_mlp, train_grouped_mlp
 from panelcast.operators.position import expanding_folds
 from panelcast.operators.scale import apply_params, fit_scaling
-from panelcast.operators.storage import save_point
+from panelcast.operators.storage import save_point, written
 from panelcast.spec import HORIZON_ROWS, MlpConfig, PanelSpec
 
 SCALED_WEEK = "_week_scaled"
@@ -88,3 +90,39 @@ def summarise_grid(
     """Mean, worst and outbreak error per (entity, ``compare``) over folds and seeds."""
     thresholds = outbreak_threshold(folded.where("role = 'train'"), [spec.entity, "fold"], spec.target, q)
     return fold_summary(predictions, thresholds, spec.entity, compare, "y", "prediction", ("fold", "seed"))
+
+
+def tree_fold_predictions(
+    rows: DataFrame, spec: PanelSpec, columns: Sequence[str], folds: int, forests: Mapping[object, ForestPlan],
+    boosts: Mapping[object, BoostPlan], horizon: int = HORIZON_ROWS,
+) -> DataFrame:
+    """Validation rows of expanding folds with the ``forest`` and the ``boosted`` prediction of their series and fold.
+
+    ``rows`` carry the inputs ``columns`` (looking backwards only), seq and n; ``forests`` and ``boosts`` name the
+    listed series and their settings. Forests get missing inputs filled with medians of the fold's training rows, boosting
+    routes them itself. All series and folds grow in the same jobs.
+    """
+    entity = spec.entity
+    by, part = [entity, "fold"], "_series_fold"
+    listed = rows.where(F.col(entity).isin(list(forests)))
+    spread = written(expanding_folds(listed, folds, horizon).withColumn(
+        part, F.concat_ws("|", F.col(entity).cast("string"), "fold")
+    ))
+    train = F.col("role") == "train"
+    filled = written(impute_median(spread, spread.where(train), by, columns))
+    each = lambda plans: {f"{e}|{k}": plan for e, plan in plans.items() for k in range(1, folds + 1)}
+    keys = [entity, spec.time]
+    grove = fit_forests(filled.where(train), columns, spec.target, each(forests), part, keys)
+    boosted = fit_boosts(spread.where(train), columns, spec.target, each(boosts), part, keys)
+    first = grove.predict(filled.where(~train)).select(*keys, "fold", F.col("prediction").alias("forest"))
+    second = boosted.predict(spread.where(~train)).withColumnRenamed("prediction", "boosted").drop(part)
+    return second.join(first, [*keys, "fold"])
+
+
+def tree_blends(predictions: DataFrame, spec: PanelSpec, steps: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Errors of the blends (1 - w) forest + w boosted per (entity, fold, weight), and the best weight per entity over
+    all its folds."""
+    y = F.col(spec.target).cast("double")
+    rows = predictions.withColumn("_y", y)
+    by_fold = blend_grid(rows, "_y", "forest", "boosted", [spec.entity, "fold"], steps)
+    return by_fold, best_blend(blend_grid(rows, "_y", "forest", "boosted", [spec.entity], steps), [spec.entity])

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from panelcast.functions.scalar import round_nearest_nonneg
 from panelcast.operators import screen, trees
+from panelcast.operators.boost import BoostPlan
 from panelcast.operators.evaluate import mae
 from panelcast.operators.forest import ForestPlan, fit_forests
 from panelcast.operators.history import (
@@ -24,7 +25,9 @@ from panelcast.operators.history import (
 )
 from panelcast.operators.mlp import score_mlp, train_grouped_mlp, training_history
 from panelcast.operators.storage import save_point, scratch_path, written
-from panelcast.plans.experiments import fold_examples, fold_panel, run_grid, summarise_grid
+from panelcast.plans.experiments import (
+    fold_examples, fold_panel, run_grid, summarise_grid, tree_blends, tree_fold_predictions,
+)
 from panelcast.plans.forecast import SPLIT, city_features, count_column, evaluate, forecast, predict_entities
 from panelcast.queries.history import FLAG_LAGS, FLAG_SETTINGS, tree_panel
 from panelcast.queries.panels import FLAG_SPEC, FLAG_SQL, SIGNALS, SUPPLIER_SQL, flag_week, supplier_week, weekly_raw
@@ -361,10 +364,45 @@ def _beats_mean(fitted, train: DataFrame) -> DataFrame:
 
 @query("boosted_regressor", BEATS_SQL)
 def boosted(spark, d):
-    """Absolute loss; the published 500 rounds, which MLlib runs one after another."""
+    """Absolute loss; the published 500 rounds."""
+    train, _, names = _design(flag_week(spark, d))
+    keys = ["entity", "time"]
+    return _beats_mean(trees.boosted_regressor(train, names, "target", rounds=500, learning_rate=0.03, keys=keys), train)
+
+
+@query("boosted_counts", BEATS_SQL)
+def boosted_counts(spark, d):
+    """The same for the Poisson objective."""
     train, _, names = _design(flag_week(spark, d))
-    train = save_point(train)
-    return _beats_mean(trees.boosted_regressor(train, names, "target", rounds=500, learning_rate=0.03), train)
+    return _beats_mean(trees.boosted_regressor(train, names, "target", "poisson", keys=["entity", "time"]), train)
+
+
+@query(
+    "tree_blend_folds",
+    f"{FLAG_SQL} SELECT DISTINCT entity, CAST(k AS BIGINT) AS fold, CAST(52 AS BIGINT) AS rows, CAST(11 AS BIGINT) AS weights, "
+    f"{TRUE} ends_agree, {TRUE} best_is_least FROM flag_week, generate_series(1, {FOLDS}) g(k)",
+)
+def tree_blend_folds(spark, d):
+    """Forests, boosting and their blends over chronological folds, with the published settings."""
+    panel = lead_in_none(flag_week(spark, d))
+    wide = tree_panel(panel)
+    names = tree_feature_names(panel, wide, SIGNALS)
+    rows = written(history_complete(wide).select("entity", "time", "seq", "n", "target", *names))
+    ranked = [r["entity"] for r in rows.groupBy("entity").agg(F.avg("target").alias("m")).orderBy(F.desc("m"), "entity").collect()]
+    forests = {e: COUNT_FOREST if not i else LOG_FOREST for i, e in enumerate(ranked)}
+    boosts = {e: BoostPlan("absolute" if i else "poisson") for i, e in enumerate(ranked)}
+    predicted = written(tree_fold_predictions(rows, FLAG_SPEC, names, FOLDS, forests, boosts))
+    by_fold, best = tree_blends(predicted, FLAG_SPEC)
+    error = lambda c: F.avg(F.abs(F.col("target") - F.col(c)))
+    plain = predicted.groupBy("entity", "fold").agg(F.count(F.lit(1)).alias("rows"), error("forest").alias("_f"), error("boosted").alias("_b"))
+    at = lambda w: F.max(F.when(F.col("weight") == w, F.col("mae")))
+    ends = by_fold.groupBy("entity", "fold").agg(F.count(F.lit(1)).alias("weights"), at(0.0).alias("_0"), at(1.0).alias("_1"))
+    whole = predicted.groupBy("entity").agg(F.least(error("forest"), error("boosted")).alias("_alone"))
+    return plain.join(ends, ["entity", "fold"]).join(best, "entity").join(whole, "entity").select(
+        "entity", F.col("fold").cast("long").alias("fold"), "rows", "weights",
+        ((F.abs(F.col("_0") - F.col("_f")) < 1e-9) & (F.abs(F.col("_1") - F.col("_b")) < 1e-9)).alias("ends_agree"),
+        (F.col("mae") <= F.col("_alone") + 1e-9).alias("best_is_least"),
+    )
 
 
 @query("poisson_regressor", BEATS_SQL)
