@@ -38,3 +38,11 @@ def written(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the checkpoint folder."""
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` as an address with a scheme: without one it lies on the session's default file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    address = system.makeQualified(place).toString()
+    return "file://" + address.removeprefix("file:") if address.startswith("file:/") and not address.startswith("file://") else address

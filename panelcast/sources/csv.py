@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelcast.operators.relational import floating_nan_to_null
+from panelcast.sources.single_file import write_one_csv
 from panelcast.spec import CLIMATE_PANEL, VEGETATION_SIGNALS, PanelSpec
 
 POS = "pos"
@@ -94,8 +95,8 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_submission(df: DataFrame, path: str, columns: Sequence[str]) -> None:
-    """Write ``columns`` in ``pos`` order, as part files whose names follow the order."""
-    write_csv(df.orderBy(POS).select(*columns), path)
+    """Write ``columns`` in ``pos`` order as one file with a header, which appears only once it is complete."""
+    write_one_csv(df.orderBy(POS).select(*columns), path)
 
 
 def read_back(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
