@@ -40,11 +40,11 @@ def _piece_starts(pieces: DataFrame, by: list[str]) -> DataFrame:
     return null_safe(started, based, [*by, "_span"]).withColumn("_start", F.col("_base") + F.col("_in")).drop("_base", "_in", "_span")
 
 
-def null_safe(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """Inner equi-join in which a null key meets a null key."""
+def null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which a null key meets a null key; keys come from ``left``."""
     named = right.select(*[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in right.columns])
     meets = reduce(lambda a, b: a & b, [left[c].eqNullSafe(named[f"_r_{c}"]) for c in on])
-    return left.join(named, meets).drop(*[f"_r_{c}" for c in on])
+    return left.join(named, meets, how).drop(*[f"_r_{c}" for c in on])
 
 
 def exact_quantiles(
