@@ -128,14 +128,6 @@ def abs_error(y, prediction) -> Column:
     return F.abs(_col(y).cast("double") - _col(prediction).cast("double"))
 
 
-def pair_corr(x, y) -> Column:
-    """Aggregate: correlation over rows holding both values, null where either is constant."""
-    x, y = _col(x), _col(y)
-    both = x.isNotNull() & y.isNotNull()
-    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
-    return F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))
-
-
 def nan_to_null(x) -> Column:
     x = _col(x)
     return F.when(~F.isnan(x), x)
