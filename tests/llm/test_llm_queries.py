@@ -1,5 +1,7 @@
 """Registered text queries against their SQL or against loops, and the pipeline stage by stage."""
 
+import collections
+import hashlib
 import os
 import sys
 from pathlib import Path
@@ -73,3 +75,38 @@ def test_pipeline_stages(spark):
     assert sorted(map(tuple, run.select("doc_id", "n_tokens", "decoded_sha256").collect())) == sorted(
         (r["doc_id"], r["n_tokens"], r["decoded_sha256"]) for r in kept["encode"]
     )
+
+
+WHOLE = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, size long, fingerprint string"
+
+
+def _stages(spark, docs):
+    out = {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = common.saved(stage(spark, docs, SF), name)
+        out[name] = docs.collect()
+    return out
+
+
+def test_pipeline_on_odd_rows(spark):
+    """Nulls in every column, empty and long texts, repeated rows and columns named like those of the operators."""
+    words = [" ".join(f"w{i}x{j}" for j in range(15)) for i in range(30)]
+    rows = [(i, w, "en", "web" if i % 3 else "news", len(w), False, 1, "x") for i, w in enumerate(words)]
+    rows += [(100, None, None, None, None, None, None, None), (101, "", "en", "web", 0, None, None, None)]
+    rows += [(102, words[0], "en", None, None, True, 0, ""), (103, words[1], None, "web", 5, None, None, None)]
+    rows += [rows[5], rows[5], (104, " ".join(f"long{i}" for i in range(20000)), "en", "web", 1, None, None, None)]
+    got = _stages(spark, spark.createDataFrame(rows, WHOLE).repartition(4))
+    text = {r[0]: r[1] for r in rows}
+    assert {r["doc_id"] for r in got["quality_rules"]} == set(range(30)) | {102, 103, 104}
+    assert sum(r["doc_id"] == 5 for r in got["quality_rules"]) == 3
+    assert all(r["text"] == text[r["doc_id"]] and r["n_chars"] == len(r["text"]) for r in got["quality_rules"])
+    near = [r["text"] for r in got["near_dedup"]]
+    assert len(near) == len(set(near)) and {words[0], words[1], words[5], text[104]} <= set(near)
+    assert {r["doc_id"] for r in got["source_mix"]} <= {r["doc_id"] for r in got["near_dedup"]}
+    texts = collections.Counter(hashlib.sha256(r["text"].encode()).hexdigest() for r in got["source_mix"])
+    assert texts == collections.Counter(r["decoded_sha256"] for r in got["encode"])
+
+
+def test_pipeline_on_an_empty_table(spark):
+    got = _stages(spark, spark.createDataFrame([], WHOLE))
+    assert not any(got.values())
