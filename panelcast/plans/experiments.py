@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from panelcast.operators.contracts import check_finite_features
 from panelcast.operators.boost import BoostPlan, fit_boosts
-from panelcast.operators.evaluate import best_blend, blend_grid, fold_summary, impute_median, outbreak_threshold
+from panelcast.operators.evaluate import best_blend, blend_grid, fold_summary, outbreak_threshold
 from panelcast.operators.fill import interpolate_linear
+from panelcast.operators.folds import impute_fold_medians
 from panelcast.operators.forest import ForestPlan, fit_forests
 from panelcast.operators.history import (
     lead_in_none,
@@ -103,13 +104,11 @@ def tree_fold_predictions(
     routes them itself. All series and folds grow in the same jobs.
     """
     entity = spec.entity
-    by, part = [entity, "fold"], "_series_fold"
+    part = "_series_fold"
     listed = rows.where(F.col(entity).isin(list(forests)))
-    spread = written(expanding_folds(listed, folds, horizon).withColumn(
-        part, F.concat_ws("|", F.col(entity).cast("string"), "fold")
-    ))
-    train = F.col("role") == "train"
-    filled = written(impute_median(spread, spread.where(train), by, columns))
+    named = lambda df: written(df.withColumn(part, F.concat_ws("|", F.col(entity).cast("string"), "fold")))
+    spread, train = named(expanding_folds(listed, folds, horizon)), F.col("role") == "train"
+    filled = named(impute_fold_medians(listed, [entity], columns, folds, horizon))
     each = lambda plans: {f"{e}|{k}": plan for e, plan in plans.items() for k in range(1, folds + 1)}
     keys = [entity, spec.time]
     grove = fit_forests(filled.where(train), columns, spec.target, each(forests), part, keys)

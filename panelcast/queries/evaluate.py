@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from panelcast.functions.scalar import round_nearest_nonneg
 from panelcast.operators import evaluate as V
+from panelcast.operators import folds as O
 from panelcast.operators.blocks import with_history
 from panelcast.operators.history import trailing_mean
-from panelcast.operators.position import expanding_folds
-from panelcast.operators.storage import save_point, scratch_path
+from panelcast.operators.storage import save_point, scratch_path, written
 from panelcast.plans.forecast import assemble_submission
 from panelcast.queries.history import folds, folds_sql, over
 from panelcast.queries.panels import (
@@ -54,6 +54,10 @@ long AS (SELECT entity, fold, time, target, threshold, 'mean' AS model, mean_p A
   UNION ALL SELECT entity, fold, time, target, threshold, 'climatology', clim_p FROM p)"""
 
 
+def long_fold(df: DataFrame) -> DataFrame:
+    return df.withColumn("fold", F.col("fold").cast("long"))
+
+
 def stacked(predicted: DataFrame) -> DataFrame:
     """One row per (row, model)."""
     models = F.array(
@@ -97,7 +101,8 @@ def mae(spark, d):
 
 @query("outbreak_threshold", f"{PREDICTED_SQL} SELECT entity, fold, {sql6('threshold', 'threshold')} FROM thr")
 def outbreak_threshold(spark, d):
-    return rounded(V.outbreak_threshold(fold_parts(spark, d)[0], FOLD, "target"), *FOLD, threshold="threshold")
+    limits = O.fold_thresholds(written(supplier_week(spark, d, signals=[])), ["entity"], "target", 3)
+    return rounded(long_fold(limits), *FOLD, threshold="threshold")
 
 
 @query(
@@ -120,12 +125,29 @@ def outbreak_mae(spark, d):
     "COUNT(*) AS runs FROM runs GROUP BY 1, 2",
 )
 def fold_summary(spark, d):
-    train, predicted = predictions(spark, d)
-    thresholds = V.outbreak_threshold(train, FOLD, "target")
+    panel = written(supplier_week(spark, d, signals=[]))
+    predicted = O.fold_baselines(panel, ["entity"], "week", "target", 3)
+    predicted = predicted.withColumnsRenamed({"mean": "mean_p", "climatology": "clim_p"})
+    thresholds = O.fold_thresholds(panel, ["entity"], "target", 3)
     out = V.fold_summary(stacked(predicted), thresholds, "entity", "model", "target", "prediction", ("fold",))
     return rounded(out, "entity", "model", "runs", mean_mae="mean_mae", worst_mae="worst_mae", outbreak_mae="outbreak_mae")
 
 
+@query(
+    "fold_scaling",
+    SUPPLIER_SQL + folds_sql("supplier_week", 5)
+    + f" SELECT entity, fold, {sql6('AVG(qty)', 'qty_mean')}, {sql6('STDDEV_POP(qty)', 'qty_std')}, "
+    f"{sql6('AVG(price)', 'price_mean')}, {sql6('STDDEV_POP(price)', 'price_std')}, CAST(MIN(week) AS DOUBLE) AS week_low, "
+    "CAST(MAX(week) AS DOUBLE) AS week_high FROM folds WHERE role = 'train' GROUP BY 1, 2",
+)
+def fold_scaling(spark, d):
+    """Scaling parameters of five folds from one pass over the rows."""
+    panel = supplier_week(spark, d, signals=["qty", "price"])
+    names = ["qty_mean", "qty_std", "price_mean", "price_std"]
+    fitted = O.fold_scaling(panel, ["qty", "price"], ["entity"], 5, minmax_columns=["week"])
+    return rounded(long_fold(fitted), *FOLD, "week_low", "week_high", **{n: n for n in names})
+
+
 @query(
     "top_residuals",
     f"{PREDICTED_SQL}, r AS (SELECT entity, time, target, ABS(target - mean_p) AS e, "
@@ -224,9 +246,8 @@ def submission_summary(spark, d):
     "FROM folds JOIN med USING (entity, fold)",
 )
 def impute_median(spark, d):
-    spread = expanding_folds(save_point(region_day(spark, d)), 3).withColumn("fold", F.col("fold").cast("long"))
-    out = V.impute_median(spread, spread.where("role = 'train'"), FOLD, ["price", "balance"])
-    return rounded(out, *ROW, "role", price="price", balance="balance")
+    out = O.impute_fold_medians(written(region_day(spark, d)), ["entity"], ["price", "balance"], 3)
+    return rounded(long_fold(out), *ROW, "role", price="price", balance="balance")
 
 
 @query(

@@ -11,17 +11,20 @@ from panelcast.operators.blocks import with_history
 from panelcast.operators.fill import interpolate_linear
 from panelcast.operators.history import POS
 from panelcast.operators.scale import fit_minmax, fit_zscore
+from panelcast.operators.sliding import sliding_moments
 from panelcast.operators.storage import save_point
 from panelcast.plans.forecast import SPLIT, city_features
 from panelcast.queries.panels import (
     FLAG_SPEC,
     FLAG_SQL,
+    HOUR_SQL,
     REGION_SQL,
     SIGNALS,
     SUPPLIER_SQL,
     flag_week,
     region_day,
     supplier_week,
+    type_hour,
     weekly_raw,
 )
 from panelcast.queries.prepare import CIRCULAR_SQL, fourier_sql, split_at
@@ -253,6 +256,24 @@ def past_mean_shifted(spark, d):
     return windowed(supplier_week(spark, d, signals=["qty"]), max(TREE_MEANS), **columns)
 
 
+LONG_WINDOWS = (13, 52, 520)
+
+
+@query(
+    "sliding_moments",
+    f"{HOUR_SQL} SELECT entity, hour, "
+    + ", ".join(
+        f"{sql6(f'AVG(value) {over(k)}', f'mean_{k}')}, {sql6(f'STDDEV_POP(value) {over(k)}', f'std_{k}')}" for k in LONG_WINDOWS
+    )
+    + " FROM type_hour",
+)
+def long_moments(spark, d):
+    """Means and spreads of short and long windows from one set of pieces."""
+    wide = sliding_moments(type_hour(spark, d), E, P.SEQ, ["value"], LONG_WINDOWS)
+    names = {f"{s}_{k}": f"value_{s}_{k}" for k in LONG_WINDOWS for s in ("mean", "std")}
+    return rounded(wide, "entity", "hour", **names)
+
+
 # --- sorting and splits -----------------------------------------------------------------------------
 
 
