@@ -10,6 +10,7 @@ from panelcast.functions import scalar as S
 from panelcast.operators import contracts as C
 from panelcast.operators import relational as R
 from panelcast.operators.blocks import with_history
+from panelcast.operators.checksums import compare_tables as compare_by_checksum
 from panelcast.operators.history import (
     history_complete,
     lead_in_circular,
@@ -282,20 +283,31 @@ def apply_shared(spark, d):
     return rounded(_scaled(spark, d), "entity", "time", qty="qty", week="week")
 
 
-@query(
-    "diff_tables",
-    f"""{SUPPLIER_SQL}, p AS (SELECT *, AVG(target) OVER (PARTITION BY entity ORDER BY seq ROWS 3 PRECEDING) AS m
+DIFF_SQL = f"""{SUPPLIER_SQL}, p AS (SELECT *, AVG(target) OVER (PARTITION BY entity ORDER BY seq ROWS 3 PRECEDING) AS m
   FROM supplier_week)
 SELECT entity, COUNT(*) FILTER (WHERE seq >= 4) AS compared,
   COUNT(*) FILTER (WHERE seq >= 4 AND FLOOR(m + 0.5) <> FLOOR(m)) AS differing,
-  COUNT(*) FILTER (WHERE seq < 4) AS left_only, CAST(0 AS BIGINT) AS right_only FROM p GROUP BY 1""",
-)
-def diff_tables(spark, d):
+  COUNT(*) FILTER (WHERE seq < 4) AS left_only, CAST(0 AS BIGINT) AS right_only FROM p GROUP BY 1"""
+
+
+def rounded_and_cut(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Means rounded to the nearest count, and the later ones cut to whole counts."""
     mean = save_point(with_history(supplier_week(spark, d, signals=[]), ["entity"], SEQ,
                                    lambda w: {"m": trailing_mean("target", 4, w)}, back=3))
     nearest = mean.select(*KEYS, S.round_nearest_nonneg("m").alias("v"))
     cut = mean.where("seq >= 4").select(*KEYS, S.truncate_nonneg("m").alias("v"))
-    return R.diff_tables(nearest, cut, KEYS, "v", ["entity"])
+    return nearest, cut
+
+
+@query("diff_tables", DIFF_SQL)
+def diff_tables(spark, d):
+    return R.diff_tables(*rounded_and_cut(spark, d), KEYS, "v", ["entity"])
+
+
+@query("compare_tables", DIFF_SQL)
+def compare_tables(spark, d):
+    """The same counts by checksums: only rows of ranges that differ are joined."""
+    return compare_by_checksum(*rounded_and_cut(spark, d), KEYS, "v", ["entity"])
 
 
 # --- lead-ins and concatenation ---------------------------------------------------------------------
