@@ -3,7 +3,8 @@
 Hashes of all distinct lines are spread over shards. A shard's index is a minimal perfect hash with a short
 fingerprint and a document count per line, and the document that keeps the line where it is repeated.
 Documents are dealt into buckets; a bucket asks each shard once per distinct line, so a line that
-a third of all documents hold costs one question per bucket, and lines are never joined to each other.
+a third of all documents hold costs one question per bucket, and lines are never joined to each other. What a bucket
+asks about is what the shard is built from, so both happen in the shard's task.
 
 The forecasting project has no texts made of lines, so the operator is general.
 """
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelcast.llm import mph
-from panelcast.llm.common import SPACES, arrow_rows, free_names, limit_batches, pieces, saved, small_batches, text_bytes
+from panelcast.llm.common import SPACES, arrow_rows, free_names, limit_batches, pieces, small_batches, text_bytes
 
 BUCKET_BYTES = 4_000_000
 SHARD_BYTES = 64_000_000
@@ -28,8 +29,7 @@ NO_DOC = -(2**63)
 _STRIP = SPACES.encode()
 LINES_TYPE = "bucket int, shard int, high binary, low binary, docs binary, largest binary"
 INDEX_TYPE = (
-    "shard int, lines long, levels array<long>, bits binary, fingerprints binary, counts binary, "
-    "kept_lines binary, kept_docs binary"
+    "shard int, lines long, levels array<long>, bits binary, fingerprints binary, counts binary, keepers binary"
 )
 ANSWERS_TYPE = "bucket int, high binary, low binary, keeper binary"
 
@@ -100,57 +100,66 @@ def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
+def _counts_kind(min_docs: int) -> np.dtype:
+    """Counts saturate; they only need to tell whether a line is in ``min_docs`` documents."""
+    return np.dtype(np.uint16 if min_docs <= 65_535 else np.uint32)
+
+
+def _shard_arrays(table: pa.Table, min_docs: int) -> tuple:
+    """A row of the index: the perfect hash over the distinct lines of a shard and the arrays it points into."""
+    high, low = _joined(table["high"], np.uint64), _joined(table["low"], np.uint64)
+    docs, largest = _joined(table["docs"], "<u4"), _joined(table["largest"], np.int64)
+    order = np.lexsort((low, high))
+    high, low, docs, largest = (c[order] for c in (high, low, docs, largest))
+    first = _starts(high, low)
+    count, keeper = np.add.reduceat(docs.astype(np.int64), first), np.maximum.reduceat(largest, first)
+    high, low = high[first], low[first]
+    levels, bits = mph.build(high, low)
+    number = mph.Lookup(levels, bits).number(high, low)
+    kind = _counts_kind(min_docs)
+    fingerprints, counts, keepers = np.zeros(len(high), np.uint32), np.zeros(len(high), kind), np.zeros(len(high), np.int64)
+    fingerprints[number] = (low & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    counts[number] = np.minimum(count, np.iinfo(kind).max)
+    keepers[number] = keeper
+    return (
+        table["shard"][0].as_py(), len(high), levels, bits, fingerprints.tobytes(), counts.tobytes(),
+        keepers[counts >= min_docs].tobytes(),
+    )
+
+
 def line_index(lines: DataFrame, min_docs: int) -> DataFrame:
-    """One row per shard: the perfect hash over all its distinct lines and the arrays it points into."""
+    """One row per shard: the perfect hash over all its distinct lines, a fingerprint and a document count per line, and
+    the keeping document of every line whose count reaches ``min_docs``, in the order of the counts."""
 
     def build(table: pa.Table) -> pa.Table:
-        high, low = _joined(table["high"], np.uint64), _joined(table["low"], np.uint64)
-        docs, largest = _joined(table["docs"], "<u4"), _joined(table["largest"], np.int64)
-        order = np.lexsort((low, high))
-        high, low, docs, largest = (c[order] for c in (high, low, docs, largest))
-        first = _starts(high, low)
-        count, keeper = np.add.reduceat(docs.astype(np.int64), first), np.maximum.reduceat(largest, first)
-        high, low = high[first], low[first]
-        levels, bits = mph.build(high, low)
-        number = mph.Lookup(levels, bits).number(high, low)
-        fingerprints, counts = np.zeros(len(high), np.uint32), np.zeros(len(high), np.uint16)
-        fingerprints[number] = (low & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        counts[number] = np.minimum(count, 65_535)
-        often = count >= min_docs
-        kept = np.argsort(number[often])
-        row = (
-            table["shard"][0].as_py(), len(high), levels, bits, fingerprints.tobytes(), counts.tobytes(),
-            number[often][kept].astype(np.uint32).tobytes(), keeper[often][kept].tobytes(),
-        )
-        return pa.Table.from_batches([arrow_rows([row], INDEX_TYPE)])
+        return pa.Table.from_batches([arrow_rows([_shard_arrays(table, min_docs)], INDEX_TYPE)])
 
     return lines.groupBy("shard").applyInArrow(build, INDEX_TYPE)
 
 
-def probe_lines(lines: DataFrame, index: DataFrame) -> DataFrame:
-    """Per bucket and shard: the bucket's repeated lines and the document that keeps each of them."""
+def answer_lines(lines: DataFrame, min_docs: int) -> DataFrame:
+    """Per bucket and shard: the bucket's repeated lines and the document that keeps each of them.
+
+    A shard's task holds both its arrays and the lines that buckets ask about, which are those it was built from, so
+    line hashes are shuffled once. A line is repeated if its fingerprint is at its number and the count there says so.
+    """
 
-    def probe(asked: pa.Table, shard: pa.Table) -> pa.Table:
-        if not asked.num_rows or not shard.num_rows:
-            return pa.Table.from_batches([arrow_rows([], ANSWERS_TYPE)])
-        own = shard.to_pylist()[0]
+    def probe(table: pa.Table) -> pa.Table:
+        own = dict(zip((f.split()[0] for f in INDEX_TYPE.split(", ")), _shard_arrays(table, min_docs), strict=True))
         lookup = mph.Lookup(own["levels"], own["bits"])
-        prints = np.frombuffer(own["fingerprints"], np.uint32)
-        kept_lines, kept_docs = np.frombuffer(own["kept_lines"], np.uint32), np.frombuffer(own["kept_docs"], np.int64)
+        prints, keepers = np.frombuffer(own["fingerprints"], np.uint32), np.frombuffer(own["keepers"], np.int64)
+        often = np.frombuffer(own["counts"], _counts_kind(min_docs)) >= min_docs
+        rank = np.cumsum(often) - 1
         out = []
-        for row in asked.to_pylist():
-            high, low = np.frombuffer(row["high"], np.uint64), np.frombuffer(row["low"], np.uint64)
+        for bucket, high, low in zip(table["bucket"].to_pylist(), table["high"].to_pylist(), table["low"].to_pylist(), strict=True):
+            high, low = np.frombuffer(high, np.uint64), np.frombuffer(low, np.uint64)
             number = lookup.number(high, low)
-            there = (number >= 0) & (prints[number] == (low & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-            at = np.searchsorted(kept_lines, number)
-            hit = there & (at < len(kept_lines))
-            hit[hit] = kept_lines[at[hit]] == number[hit]
+            hit = (number >= 0) & (prints[number] == (low & np.uint64(0xFFFFFFFF)).astype(np.uint32)) & often[number]
             if hit.any():
-                out.append((row["bucket"], high[hit].tobytes(), low[hit].tobytes(), kept_docs[at[hit]].tobytes()))
+                out.append((bucket, high[hit].tobytes(), low[hit].tobytes(), keepers[rank[number[hit]]].tobytes()))
         return pa.Table.from_batches([arrow_rows(out, ANSWERS_TYPE)])
 
-    narrow = lines.select("bucket", "shard", "high", "low")
-    return narrow.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(probe, ANSWERS_TYPE)
+    return lines.groupBy("shard").applyInArrow(probe, ANSWERS_TYPE)
 
 
 def dedup_lines(
@@ -174,8 +183,7 @@ def dedup_lines(
         "_bucket", F.pmod(F.xxhash64(F.col(f"`{doc}`").cast("long")), F.lit(buckets)).cast("int")
     )
     dealt = bucketed.select("_bucket", doc, text).repartition(buckets, "_bucket")
-    lines = saved(bucket_lines(dealt, shards, doc, text, min_chars), "lines")
-    answers = probe_lines(lines, line_index(lines, min_docs))
+    answers = answer_lines(bucket_lines(dealt, shards, doc, text, min_chars), min_docs)
     schema = T.StructType([
         *kept_df.schema.fields, T.StructField(kept, T.StringType()),
         T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()),

@@ -69,3 +69,9 @@ def test_index_counts_all_lines(docs):
     index = lines.line_index(lines.bucket_lines(df, 3, "doc_id", "text", 20), 3).collect()
     assert sum(r["lines"] for r in index) == 51
     assert sorted(np.concatenate([np.frombuffer(r["counts"], np.uint16) for r in index]))[-2:] == [1, 50]
+
+
+def test_counts_decide_beyond_their_narrow_form(docs):
+    rows = [(i, "this line is in every document") for i in range(40)]
+    assert run(docs(rows), min_docs=40) == brute(rows, min_docs=40)
+    assert run(docs(rows), min_docs=70_000) == brute(rows, min_docs=70_000)
