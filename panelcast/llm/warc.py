@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.llm.common import arrow_rows, limit_batches, null_safe_join, pieces, saved, small_batches
+from panelcast.operators.storage import qualified
 
 BUNDLE_BYTES = 32_000_000
 FRAME_BYTES = 256_000
@@ -55,10 +56,6 @@ def _place(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri("file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file://") else uri)
 
 
-def _folder(path: str) -> str:
-    return path if "://" in path or path.startswith("file:/") else f"file://{path}"
-
-
 def _record(key, uri, payload: bytes, digest: str, size: int, top: tuple | None, ordinal: int, date: str) -> bytes:
     """One record; ``top`` is the (key, uri) of the response that a revisit refers to."""
 
@@ -185,7 +182,7 @@ def write_bundles(
     of the table of responses, which is written first: Spark broadcasts it if its files are small, and
     otherwise sorts and merges. A bundle is written as it streams by and appears only when it is whole.
     """
-    spark, folder = df.sparkSession, _folder(folder)
+    spark, folder = df.sparkSession, qualified(df.sparkSession, folder)
     body = F.coalesce(F.col(f"`{payload}`").cast("binary"), F.lit(b""))
     rows = df.select(
         F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{uri}`").cast("string").alias("uri"), body.alias("body")
@@ -208,7 +205,7 @@ def write_bundles(
         .withColumn("bundle", F.pmod(F.xxhash64("key", "uri", "same"), F.lit(bundles)))
         .select("bundle", "key", "uri", "same", "digest", "size", "again", "top.*", "body")
         .toDF("bundle", "key", "uri", "same", "digest", "size", "again", "top_key", "top_uri", "body")
-        .repartition(bundles, "bundle")
+        .repartitionById(bundles, F.col("bundle").cast("int"))
         .sortWithinPartitions("bundle", "key", "uri", "same")
     )
 
@@ -247,7 +244,7 @@ def write_bundles(
 def _bundles(spark: SparkSession, folder: str) -> DataFrame:
     return (
         spark.read.format("binaryFile").option("pathGlobFilter", "bundle-*.warc.zst")
-        .load(_folder(folder)).select("path", "length")
+        .load(qualified(spark, folder)).select("path", "length")
     )
 
 
@@ -265,14 +262,14 @@ def read_bundles(spark: SparkSession, folder: str, payloads: bool = True) -> Dat
                         rows = parse_records(data)
                         yield arrow_rows([r if payloads else (*r[:-1], None) for r in rows], RECORD_TYPE)
 
-    if not spark.read.parquet(f"{_folder(folder)}/index").take(1):
+    if not spark.read.parquet(f"{qualified(spark, folder)}/index").take(1):
         return spark.createDataFrame([], RECORD_TYPE)
     return _bundles(spark, folder).mapInArrow(read, RECORD_TYPE)
 
 
 def read_records(index: DataFrame, folder: str, wanted: DataFrame, key: str = "key") -> DataFrame:
     """The records whose key is in ``wanted``: one range read per frame that holds any of them."""
-    folder = _folder(folder)
+    folder = qualified(index.sparkSession, folder)
     hits = index.join(wanted.select(F.col(key).alias("key")).distinct(), "key", "left_semi")
     placed = hits.repartition("bundle").sortWithinPartitions("bundle", "frame", "frame_offset")
 

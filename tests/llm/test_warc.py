@@ -85,3 +85,14 @@ def test_damage_is_noticed():
     assert list(warc.parse_records(record))[0][-1] == b"abc"
     with pytest.raises(ValueError, match="damaged"):
         list(warc.parse_records(record.replace(b"abc", b"abd")))
+
+
+def test_paths_without_a_scheme_lie_on_the_default_file_system(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(1, "u", "a"), (2, "u", "a"), (3, None, None)], "page_id long, url string, html string")
+    asked = []
+    real = warc.qualified
+    monkeypatch.setattr(warc, "qualified", lambda session, path: asked.append(path) or real(session, path))
+    folder = str(tmp_path / "bundles")
+    warc.write_bundles(df, folder)
+    assert warc.read_bundles(spark, folder).count() == 3 and set(asked) == {folder}
+    assert real(spark, folder) == f"file://{folder}"
