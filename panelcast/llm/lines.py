@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelcast.llm import mph
-from panelcast.llm.common import SPACES, arrow_rows, free_names, limit_batches, pieces, small_batches, text_bytes
+from panelcast.llm.common import SPACES, arrow_rows, free_names, limit_batches, pieces, saved, small_batches, text_bytes
 
 BUCKET_BYTES = 4_000_000
 SHARD_BYTES = 64_000_000
@@ -183,7 +183,7 @@ def dedup_lines(
         "_bucket", F.pmod(F.xxhash64(F.col(f"`{doc}`").cast("long")), F.lit(buckets)).cast("int")
     )
     dealt = bucketed.select("_bucket", doc, text).repartition(buckets, "_bucket")
-    answers = answer_lines(bucket_lines(dealt, shards, doc, text, min_chars), min_docs)
+    answers = answer_lines(saved(bucket_lines(dealt, shards, doc, text, min_chars), "lines"), min_docs)
     schema = T.StructType([
         *kept_df.schema.fields, T.StructField(kept, T.StringType()),
         T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()),
